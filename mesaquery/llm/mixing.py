@@ -83,6 +83,23 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, ca
     return s.withColumn("_water", level).select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+def _place(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Every document with its place among its source's words, and the sources' targets."""
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *_order(seed)), "mix")
+    sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    targets = source_targets(sources).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = materialise(targets, "targets")
+    at = prefix_sums(sized, "source", "_key", "size", sized.count(), ["doc_id", "size", "_tie"], "_at")
+    t = targets.withColumnRenamed("source", "_src")
+    at = at.join(t, at["source"].eqNullSafe(t["_src"]), "left").drop("_src")
+    left = F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("_at")
+    return at.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")), targets
+
+
+def _order(seed: str) -> list[Column]:
+    return [random_key(F.col("doc_id"), seed).alias("_key"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("_tie")]
+
+
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, last, taken) for every document.
 
@@ -90,17 +107,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     its words the cut leaves of one more copy; taken = epochs * size + last, and
     the sum of taken over a source is its target, rounded down.
     """
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("_key"), F.crc32(F.coalesce("text", F.lit(""))).alias("_tie")), "mix")
-    sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("_rows"))
-    targets = materialise(source_targets(sources.select("source", "source_size")), "targets")
-    rows = sized.count()
-    at = prefix_sums(sized, "source", "_key", "size", rows, ["doc_id", "size", "_tie"], "_at")
-    t = targets.withColumnRenamed("source", "_src")
-    at = at.join(t, at["source"].eqNullSafe(t["_src"]), "left").drop("_src")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
-    at = at.withColumn("epochs", epochs)
-    left = F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("_at")
-    at = at.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+    at, _ = _place(docs, seed)
     return at.withColumn("taken", F.col("epochs") * F.col("size") + F.col("last")).drop("_key", "_tie", "_at")
 
 
@@ -109,21 +116,32 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+#: Sources up to which their cuts are broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 50_000
+
+
+def mix_documents(docs: DataFrame, seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The mix itself: a row for each copy taken, with the columns of ``docs``.
 
-    In each source one document at most is cut: its last copy keeps the words
-    that the budget still holds, single-spaced. Documents without words take no
-    room and stay once.
+    A source's cut is the place of the last document that it reaches, so a
+    document learns from one row of its source how often it is taken, and no
+    text is shuffled. In each source one document at most is cut: its last copy
+    keeps the words that the budget still holds, single-spaced. Documents
+    without words take no room and stay once.
     """
     names = docs.columns
-    numbered = materialise(docs.withColumn("_tie", F.crc32(F.coalesce("text", F.lit("")))), "mix-in")
-    plan = mix(numbered, seed).groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("_epochs"), F.max("last").alias("_last"))
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "source": "_src", "size": "_size"})
-    d = numbered.withColumn("_n", n_words(F.col("text")))
-    d = d.join(plan, d["doc_id"].eqNullSafe(plan["_id"]) & d["source"].eqNullSafe(plan["_src"]) & (d["_n"] == plan["_size"]), "inner")
-    lengths = F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array_repeat(F.col("_n"), F.col("_epochs").cast("int")), F.when(F.col("_last") > 0, F.array("_last")).otherwise(F.array().cast("array<bigint>"))))
-    d = d.withColumn("_take", F.explode(lengths))
+    at, targets = _place(docs, seed)
+    cuts = at.where("last > 0").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "size", "_tie", "last")).alias("_c")).withColumnRenamed("source", "_s")
+    per_source = targets.select(F.col("source").alias("_src"), F.col("epochs").alias("_epochs")).join(cuts, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
+    per_source = materialise(per_source, "cuts")
+    if per_source.count() <= broadcast_sources:
+        per_source = F.broadcast(per_source)
+    d = docs.select("*", n_words(F.col("text")).alias("_n"), *_order(seed)).join(per_source, docs["source"].eqNullSafe(F.col("_src")), "left")
+    place = F.struct("_key", "doc_id", F.col("_n").alias("size"), "_tie")
+    cut = F.struct(*(F.col(f"_c.{c}").alias(c) for c in ("_key", "doc_id", "size", "_tie")))
+    last = F.when(F.col("_c").isNull(), F.lit(0)).when(place < cut, F.col("_n")).when(place.eqNullSafe(cut), F.col("_c.last")).otherwise(F.lit(0)).cast("long")
+    copies = F.concat(F.array_repeat(F.col("_n"), F.col("_epochs").cast("int")), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("_take", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(copies)))
     whole = F.col("_take") == F.col("_n")
     d = d.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_take").cast("int")), " ")))
     if "n_chars" in names:

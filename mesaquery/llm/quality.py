@@ -118,7 +118,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     both = F.struct(counts.alias("c"), by_line.alias("l"))
     names = {"n_words": "c", "n_repeat_words": "c", "word_chars": "l", "n_symbols": "l", "n_dup_lines": "l", "lost_chars": "l", "clean": "l"}
-    return docs.withColumn("_q", let(both, lambda q: F.struct(*(q[part][name].alias(name) for name, part in names.items()))))
+    # explode() of one element, not an alias: a later filter on the verdict would otherwise compute all this once more
+    q = F.explode(F.transform(F.array(both), lambda q: F.struct(*(q[part][name].alias(name) for name, part in names.items()))))
+    return docs.select("*", q.alias("_q"))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
