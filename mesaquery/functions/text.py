@@ -54,7 +54,7 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def latin_share(text: Column) -> Column:
     """Latin letters over all letters; 0 without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace(text, r"[^\p{Latin}]", "")) / letters)
+    return F.when(letters == 0, 0.0).otherwise(F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", "")) / letters)
 
 
 def redact(text: Column) -> Column:
