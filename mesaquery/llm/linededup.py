@@ -91,8 +91,8 @@ def apply_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT DISTINCT doc_id, source, trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM (SELECT doc_id, source, unnest(ls) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT rid, source, trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM (SELECT rid, source, unnest(ls) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 h AS (SELECT source, count(*) AS n FROM d GROUP BY source HAVING count(*) >= {MIN_PAGES}),
 b AS (SELECT l.source, x FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, x, n HAVING count(*) >= {MIN_COUNT} AND count(*) / n::DOUBLE > {MAX_RATIO}::DOUBLE),
 g AS (SELECT source, list(x) AS bad FROM b GROUP BY source),

@@ -150,17 +150,17 @@ def apply_quality_rules(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM d),
-tri AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM w WHERE len(w) >= 3),
-win AS (SELECT doc_id, p, [w[p], w[p + 1], w[p + 2]] AS g FROM tri),
-rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY 1),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS ls FROM d),
+tri AS (SELECT rid, unnest(range(1, len(w) - 1)) AS p, w FROM w WHERE len(w) >= 3),
+win AS (SELECT rid, p, [w[p], w[p + 1], w[p + 2]] AS g FROM tri),
+rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY 1),
 ln AS (
-  SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c
-  FROM (SELECT doc_id, unnest(ls) AS x FROM w)),
+  SELECT rid, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c
+  FROM (SELECT rid, unnest(ls) AS x FROM w)),
 lost AS (
-  SELECT doc_id, sum(c) FILTER (WHERE
+  SELECT rid, sum(c) FILTER (WHERE
       length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) > {MAX_SYMBOL_SHARE}::DOUBLE * c
       OR len(regexp_extract_all(x, '[!?]{{2,}}([\x20\x09-\x0D]|$)')) > {MAX_SHOUT_SHARE}::DOUBLE * len(regexp_split_to_array(x, '[\x20\x09-\x0D]+'))
       OR len(regexp_extract_all(x, '{NAV}')) >= {NAV_SEPARATORS}
@@ -171,7 +171,7 @@ o AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(lost.dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_chars
-  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN lost ON lost.doc_id = w.doc_id)
+  FROM w LEFT JOIN cov ON cov.rid = w.rid LEFT JOIN lost ON lost.rid = w.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND lost_chars <= {MAX_LOSS}::DOUBLE * word_chars AS kept,
