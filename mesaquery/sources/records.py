@@ -65,18 +65,18 @@ def read_memory_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, front, ordinal, heading, content): notes of a folder tree, front matter apart, split at headings."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.col("_metadata.file_path"))
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
     parts = F.split(body, r"(?m)^(?=#{1,6} )")
     s = files.select("path", front.alias("front"), F.posexplode(parts).alias("ordinal", "section")).where(F.trim("section") != "")
     heading = F.regexp_extract("section", r"\A#{1,6} +([^\n]*)", 1)
-    return s.select("path", "front", "ordinal", heading.alias("heading"), F.trim(F.regexp_replace("section", r"\A#{1,6} +[^\n]*\n?", "")).alias("content"))
+    return s.select("path", "front", "ordinal", heading.alias("heading"), F.btrim(F.regexp_replace("section", r"\A#{1,6} +[^\n]*\n?", ""), F.lit(" \t\r\n")).alias("content"))
 
 
 def read_source_code(spark: SparkSession, path: str, glob: str = "*.py") -> DataFrame:
     """(path, ordinal, kind, name, first_line, code): functions and classes at the outer level, found by indentation."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("path", F.col("_metadata.file_path"))
     start = r"(?m)^(?=(?:async )?(?:def|class|func|function) )"
     s = files.select("path", F.posexplode(F.split("value", start)).alias("ordinal", "code"), F.split("value", start).alias("_all"))
     lines = F.size(F.split(F.array_join(F.slice("_all", F.lit(1), F.col("ordinal")), ""), "\n"))
