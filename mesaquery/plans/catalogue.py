@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import facts, graphs, lifecycle, relational, reports, retrieval, streams  # noqa: F401
+from . import evidence, facts, graphs, lifecycle, relational, reports, retrieval, streams, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -134,3 +134,28 @@ def test_idempotent_sink(spark, tmp_path):
     for batch, i in ((a, 0), (a, 0), (a.unionByName(spark.createDataFrame([("z", 3)], a.schema)), 1)):
         write(batch, i)
     assert sorted(r.h for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["x", "y", "z"]
+
+
+def test_boolean_expressions(spark):
+    from mesaquery.functions.query_text import boolean_filter
+
+    d = spark.createDataFrame([(1, "red fox jumps"), (2, "red dog"), (3, "blue fox and red hen"), (4, None)], "id long, t string")
+    hits = lambda q: sorted(r.id for r in d.where(boolean_filter(q, F.col("t"))).collect())
+    assert hits("red") == [1, 2, 3] and hits("red fox") == [1, 3] and hits('"red fox"') == [1]
+    assert hits("dog OR jumps") == [1, 2] and hits("red NOT fox") == [2] and hits("fo*") == [1, 3]
+    assert hits("(dog OR hen) AND red") == [2, 3] and hits("red AND (") == []
+
+
+def test_query_text():
+    from datetime import date
+
+    from mesaquery.functions import query_text as Q
+
+    day = date(2024, 3, 13)
+    assert Q.date_ranges("yesterday", day) == [(date(2024, 3, 12),) * 2]
+    assert Q.date_ranges("last month", day) == [(date(2024, 2, 1), date(2024, 2, 29))]
+    assert Q.date_ranges("winter 2023", day) == [(date(2023, 12, 1), date(2024, 2, 28))]
+    assert Q.date_ranges("last wednesday", day) == [(date(2024, 3, 6),) * 2]
+    assert Q.terms("What is the API of src/main.py in the API") == ["api", "src/main.py"]
+    assert Q.intent("why does it crash?") == "debug" and Q.parts("who is A, and what is B?") == ["who is A", "what is B"]
+    assert sum(Q.budget_split(1003).values()) == 1003
