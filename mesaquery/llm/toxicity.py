@@ -201,7 +201,8 @@ def _train(toxic: list[list[str]], clean: list[list[str]]) -> Model:
     clean_words = sorted(c, key=lambda w: (-c[w], w))
     negatives = dict.fromkeys([*clean_words[:800], *(clean_words[i] for i in rnd.permutation(len(clean_words))[:2500])])
     # first guess: words that several toxic documents have and no clean one; the most frequent are the landmarks
-    only = sorted((w for w in t if c[w] == 0 and t[w] > 1), key=lambda w: (-t[w], w))[: 3 * LANDMARKS]
+    often = max(2, len(toxic) // 100)  # rarer words stand in toxic documents by chance as well
+    only = sorted((w for w in t if c[w] == 0 and t[w] >= often), key=lambda w: (-t[w], w))[: 3 * LANDMARKS]
     only = only or sorted(t, key=lambda w: (-odds[w], w))[:LANDMARKS]
     positives = only
     marks = list(dict.fromkeys([*only[: LANDMARKS * 3 // 4], *clean_words[: LANDMARKS // 4]]))
@@ -226,7 +227,7 @@ def _train(toxic: list[list[str]], clean: list[list[str]]) -> Model:
             # each toxic document speaks for its most suspicious word that clean ones don't use
             mine = [w for w in t if c[w] == 0]
             margin = dict(zip(mine, model.margins(mine).tolist(), strict=True))
-            worst = Counter(max((w for w in d if w in margin), key=lambda w: (margin[w], w), default=None) for d in toxic)
+            worst = Counter(max((w for w in d if margin.get(w, -1.0) > -0.5), key=lambda w: (margin[w], w), default=None) for d in toxic)
             worst.pop(None, None)
             positives = list(dict.fromkeys([*worst, *(w for w in only if margin[w] > 0)]))
     return model
