@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 #: "On 3 May, Ann wrote:" before a quote belongs to the quote.
@@ -85,7 +85,7 @@ def link(messages: DataFrame) -> DataFrame:
     answers a message follows it, before unrelated later turns.
     """
     m = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), "text")
-    m = materialise(m.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, quote_depth int, own array<long>, quoted array<long>"), "chat")
+    m = materialise(map_arrow(m, _parsed, "conv_id long, turn long, role string, text string, quote_depth int, own array<long>, quoted array<long>"), "chat")
     said = m.select("conv_id", "turn", F.explode("own").alias("h")).groupBy("h", "conv_id").agg(F.min("turn").alias("turn"))
     quotes = m.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("h")).distinct()
     needed = said.join(quotes.select("h").distinct(), "h", "left_semi")

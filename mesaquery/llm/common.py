@@ -58,3 +58,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of a batch that goes to Python: texts may be very long, and several batches are in memory at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded memory; limits that were given to the application stay."""
+    spark = df.sparkSession
+    for key, value in BATCH.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+    return df.mapInArrow(f, schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 #: Weight of content against presentation in a node's importance.
 GAMMA = 0.9
@@ -170,7 +170,7 @@ def host_of(url: Column) -> Column:
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of the style nodes outside articles, merged over each host's pages."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_emit, "host string, node long, kind int, feature long")
+    rows = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), _emit, "host string, node long, kind int, feature long")
     counts = rows.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"))
     c, shown = F.col("c"), F.col("kind") == 0
     nodes = counts.groupBy("host", "node").agg(
@@ -192,4 +192,4 @@ def extract(pages: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFra
     small = cut.count() <= broadcast_nodes
     p = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("_host"))
     joined = p.join(F.broadcast(per_host) if small else per_host.hint("merge"), p["_host"] == per_host["_h"], "left")
-    return joined.select("page_id", "url", "html", "_host", "_cut").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined.select("page_id", "url", "html", "_host", "_cut"), _extract, "page_id long, url string, text string, n_chars long")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 UNKNOWN = "application/octet-stream"
 #: Payload sizes of the digest are positive multiples of this, padded with PAD.
 UNIT, PAD = 576, b"\xff"
@@ -197,7 +199,7 @@ def _sniffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sniff_column(df: DataFrame, id_: str, blob: str, declared: str) -> DataFrame:
     """id, corrected media_type, false_signatures and the embedded media carved from each blob."""
     d = df.select(F.col(id_).cast("long"), F.col(blob).cast("binary"), F.col(declared).cast("string"))
-    return d.mapInArrow(_sniffed, "id long, media_type string, false_signatures long, carved array<struct<media_type:string,offset:bigint,content:binary>>")
+    return map_arrow(d, _sniffed, "id long, media_type string, false_signatures long, carved array<struct<media_type:string,offset:bigint,content:binary>>")
 
 
 def store(payload: bytes) -> bytes:
@@ -242,4 +244,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_report(docs: DataFrame) -> DataFrame:
     """Every whole text stored as media, found again by its signature, validated and read back."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

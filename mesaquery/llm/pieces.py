@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 SPACE = "▁"
 #: Entries of each table of remembered parts and pairs; a full table is emptied.
-TABLE = 300_000
+TABLE = 120_000
 #: Longer parts are encoded each time they come.
-LONGEST_KEPT = 48
+LONGEST_KEPT = 32
 #: Texts on which a model is compared with the installed library before it is used.
 PROBES = ("", " ", "a", "  two  spaces ", "tab\tand\nline", "éè 漢字 \U0001f600‍", SPACE + "x", "ﬁ Ａ <s></s>", "aaaaaaaaaaaaaaaaa" * 3)
 
@@ -241,9 +243,9 @@ def _ids(name: str):
 
 def encode_report(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _digests(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, source, n_tokens, ids and decoded text of every document."""
-    return docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_ids(model), "doc_id long, source string, n_tokens long, ids array<int>, decoded string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "source", "text"), _ids(model), "doc_id long, source string, n_tokens long, ids array<int>, decoded string")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -80,7 +80,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with fp as a signed 64-bit integer."""
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(d, _fingerprints, "doc_id long, fp long")
 
 
 def _levels(count: int, seed: int) -> list[tuple[int, int]]:
@@ -154,7 +154,7 @@ def _search(members: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarr
 def _compare(q: np.ndarray, who: np.ndarray, lo: np.ndarray, hi: np.ndarray, members: np.ndarray, order: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Exact distances of queries to leaf ranges, a bounded number of pairs at a time."""
     sizes = hi - lo
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, int(sizes.sum()), 1 << 20))
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 18, int(sizes.sum()), 1 << 18))
     for w, a, n in zip(*(np.split(x, np.unique(cuts)) for x in (who, lo, sizes)), strict=True):
         total = int(n.sum())
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(total)

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: The bounded sample of labelled documents.
 MAX_TOXIC, MAX_CLEAN = 1000, 1500
 FOLDS = 5
@@ -265,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     sides = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = sides[0].unionByName(sides[1])  # at most MAX_TOXIC + MAX_CLEAN rows
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_distinct_words, "toxic int, words array<string>").toArrow()
+    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), _distinct_words, "toxic int, words array<string>").toArrow()
     rows = sorted(zip(found["toxic"].to_pylist(), found["words"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
     return fit([w for y, w in rows if y], [w for y, w in rows if not y])
 
@@ -310,4 +312,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = _SCORERS[name].texts(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), _held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
