@@ -9,8 +9,10 @@ again, and the walk steps back. Whether two pieces agree is settled by merging
 their joint text once and remembered.
 
 Pieces never hold the space mark after another character (checked on loading),
-so texts part at spaces; the ids of short parts are remembered in a bounded
-table. Characters without a piece fall back to their UTF-8 bytes.
+so texts part at spaces; within a part, two characters that stand side by side
+in no piece can't be joined either, which cuts punctuation and unknown
+characters off. The ids of short parts and segments are remembered in bounded
+tables. Characters without a piece fall back to their UTF-8 bytes.
 
 Edge cases: null and empty texts encode to the begin and end ids alone. Texts
 are whole, of any length; a part without spaces costs time linear in its length.
@@ -22,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SPACE = "▁"
-#: Entries of each table of remembered parts and pairs; a full table is emptied.
+#: Entries of each table (parts, segments, pairs). A full table of parts becomes the older generation, from which
+#: what is met again comes back; other full tables are emptied. Together some 90 MB a worker.
 TABLE = 120_000
 #: Longer parts are encoded each time they come.
 LONGEST_KEPT = 32
@@ -63,14 +68,18 @@ class PieceCoder:
         self.ids = {lib.id_to_piece(i): i for i in plain}
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
         self.begin, self.end = lib.bos_id(), lib.eos_id()
-        if not self.byte_ids or any(lib.is_unused(i) for i in range(n)) or any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError(f"{path}: not a BPE model with byte fallback whose pieces begin words")
+        if not self.byte_ids or any(lib.is_unused(i) for i in range(n)) or any(SPACE in p.lstrip(SPACE) or any(c not in self.ids for c in p) for p in self.ids):
+            raise ValueError(f"{path}: not a BPE model with byte fallback, pieces that begin words and a piece for each of their characters")
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        self.piece = {i: p for p, i in self.ids.items()}
+        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.parts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.segments: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         # what an id decodes to by itself; bytes from 128 up depend on their neighbours and are left to decode()
         self.text = [""] * n
         for p, i in self.ids.items():
@@ -98,58 +107,84 @@ class PieceCoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def agrees(self, left: str | None, right: str) -> bool:
-        """Whether ``right`` can follow ``left`` (None: stand alone) in an encoding."""
-        key = (left, right)
+    def agrees(self, left: int, right: int) -> bool:
+        """Whether a piece can follow another (-1: stand alone) in an encoding."""
+        key = (left + 1) << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= TABLE:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge((left or "") + right) == ([right] if left is None else [left, right])
+            want = [self.piece[right]] if left < 0 else [self.piece[left], self.piece[right]]
+            known = self.pairs[key] = self.merge("".join(want)) == want
         return known
 
-    def walk(self, text: str) -> list[str]:
-        """The pieces of a text by backtracking; characters without a piece stand for themselves."""
+    def walk(self, text: str) -> list[int]:
+        """The ids of a text of known characters, by backtracking."""
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for last, size in self.automaton.iter(text):
-            lengths[last - size + 1].append(size)  # for one place these come in rising order
-        for here in lengths:
-            if not here or here[0] != 1:
-                here.insert(0, 1)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for last, (size, i) in self.automaton.iter(text):
+            found[last - size + 1].append((last + 1, i))  # for one place the ends come in rising order
         failed = bytearray(n + 1)
-        found: list[str] = []
+        ids: list[int] = []
         tried: list[tuple[int, int]] = []
-        at, k = 0, len(lengths[0]) - 1 if n else -1
+        agrees, pairs = self.agrees, self.pairs
+        at, k, before = 0, len(found[0]) - 1, -1
         while at < n:
-            before = found[-1] if found else None
+            here = found[at]
             while k >= 0:
-                stop = at + lengths[at][k]
-                if not failed[stop] and self.agrees(before, text[at:stop]):
-                    break
+                stop, i = here[k]
+                if not failed[stop]:
+                    known = pairs.get((before + 1) << 32 | i)
+                    if known or known is None and agrees(before, i):
+                        break
                 k -= 1
             if k >= 0:
-                found.append(text[at:stop])
+                ids.append(i)
                 tried.append((at, k))
-                at = stop
-                k = len(lengths[at]) - 1 if at < n else -1
+                at, before = stop, i
+                k = len(found[at]) - 1 if at < n else -1
             else:
                 failed[at] = 1
-                found.pop()
+                ids.pop()
+                before = ids[-1] if ids else -1
                 at, k = tried.pop()
                 k -= 1
-        return found
+        return ids
+
+    def segment(self, text: str) -> bytes:
+        """Packed ids of a stretch without a cut; an unknown character stands alone and gives its bytes."""
+        if len(text) == 1 and text not in self.ids:
+            return np.array([self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")], "<u4").tobytes()
+        ids = self.walk(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(self, key: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a space mark and ``key``."""
-        ids: list[int] = []
-        for p in self.walk(SPACE + key):
-            i = self.ids.get(p)
-            ids.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")])
-        packed = np.array(ids, "<u4").tobytes()
+        if key in self.older:
+            return self._part(key, self.older[key])
+        text, joined = SPACE + key, self.neighbours
+        cuts = [i for i, two in enumerate(map(add, text, key), 1) if two not in joined]
+        if not cuts:
+            return self._part(key, self.segment(text))
+        head = text[1 : cuts[0]]  # a part by itself
+        out = [self.parts.get(head) or self.older.get(head) or self._part(head, self.segment(text[: cuts[0]]))]
+        for start, stop in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            tail = text[start:stop]
+            packed = self.segments.get(tail)
+            if packed is None:
+                packed = self.segment(tail)
+                if len(tail) <= LONGEST_KEPT:
+                    if len(self.segments) >= TABLE:
+                        self.segments.clear()
+                    self.segments[tail] = packed
+            out.append(packed)
+        return self._part(key, b"".join(out))
+
+    def _part(self, key: str, packed: bytes) -> bytes:
+        """Remember a part."""
         if len(key) <= LONGEST_KEPT:
             if len(self.parts) >= TABLE:
-                self.parts.clear()
+                self.older, self.parts = self.parts, {}
             self.parts[key] = packed
         return packed
 
@@ -159,8 +194,7 @@ class PieceCoder:
         if text:
             marked = text.replace(" ", SPACE)
             keys = [p[1:] for p in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + marked)] if SPACE * 2 in SPACE + marked else marked.split(SPACE)
-            known, part = self.parts.get, self.part
-            out = [known(k) or part(k) for k in keys]
+            out = [self.parts.get(k) or self.part(k) for k in keys]
         ids = np.empty(2 + sum(map(len, out)) // 4, "<u4")
         ids[0], ids[-1] = self.begin, self.end
         ids[1:-1] = np.frombuffer(b"".join(out), "<u4")
