@@ -159,3 +159,17 @@ def test_query_text():
     assert Q.terms("What is the API of src/main.py in the API") == ["api", "src/main.py"]
     assert Q.intent("why does it crash?") == "debug" and Q.parts("who is A, and what is B?") == ["who is A", "what is B"]
     assert sum(Q.budget_split(1003).values()) == 1003
+
+
+def test_changes_and_evidence(spark):
+    from mesaquery.operators import changes, evidence
+
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    log = spark.createDataFrame([(1, "x", 1, "upsert"), (1, "y", 2, "upsert"), (2, "b", 3, "delete"), (4, "d", 4, "upsert"), (4, "d", 5, "delete"), (5, "e", 6, "upsert")], "k long, v string, seq long, op string")
+    assert {tuple(r) for r in changes.apply_changes(base, log, "k", "seq", "op").collect()} == {(1, "y"), (3, "c"), (5, "e")}
+    assert [r[0] for r in spark.range(4).select(changes.backoff(F.col("id") * 3)).collect()] == [30, 240, 1920, 3600]
+    scored = spark.createDataFrame([(0, 1, o, s) for o, s in ((0, 9.0), (1, 8.0), (2, 7.0), (5, 6.0))] + [(0, 2, 1, 5.0)], "query_id long, id long, ordinal long, score double")
+    assert [(r.id, r.ordinal) for r in evidence.select_evidence(scored, 3).orderBy("place").collect()] == [(1, 0), (1, 2), (1, 5)]
+    docs = spark.createDataFrame([(1, "The Big Red fox, the big red fox"), (2, ""), (3, None)], "id long, t string")
+    names = spark.createDataFrame([("Big red FOX",), ("fox",), ("!!",)], "name string")
+    assert {tuple(r) for r in evidence.concept_links(docs, names, "id", "t", "name").collect()} == {(1, "Big red FOX", 2), (1, "fox", 2)}
