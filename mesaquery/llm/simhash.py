@@ -1,7 +1,7 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints are taken per text in Arrow batches. Distinct fingerprints, each
-with its smallest doc_id, are then searched for pairs at Hamming distance
+Fingerprints are taken per text in Arrow batches. Distinct fingerprints are
+then searched for pairs at Hamming distance
 MAX_BITS or less:
 
 * Routing. A vantage point measures the Hamming distance on one block of bits;
@@ -23,8 +23,8 @@ all queries of the cell. So no task holds more than CELL_ROWS members.
 
 Edge cases: a null, empty or blank text has fingerprint zero, and links like any
 other. Equal texts share a fingerprint and cost one row in the search, however
-many there are. A null doc_id never names a component; such a row takes its
-group's smallest doc_id, or null. An empty table gives an empty result.
+many there are. A null doc_id links like any other but never names a component;
+such a row takes its group's smallest doc_id, or null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def _signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [_signed(fingerprint(t.as_py())) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        more = range(2, b.num_columns)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *(b.column(i) for i in more)], names=["doc_id", "fp", *(b.schema.field(i).name for i in more)])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -239,25 +240,44 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(roots).withColumnRenamed("u", "node")
 
 
+def _components_of(distinct: DataFrame) -> DataFrame:
+    """(fp, component) of every row of ``distinct`` (fp, ...): the smallest fingerprint within reach, as a signed integer."""
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(distinct["fp"], F.coalesce("component", distinct["fp"]).alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     fps = materialise(fingerprints(docs), "simhash")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct.where("rep IS NOT NULL")))
-    mapped = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    of = _components_of(distinct).join(distinct, "fp")
+    names = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    mapped = of.join(names, "component").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(mapped, fps["fp"] == mapped["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def apply_near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+def row_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` with _h, a hash of all columns: never null, and equal for rows equal in all columns only."""
+    return docs.withColumn("_h", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+
 
-    Rows that repeat the kept doc_id are copies of it in all columns or differ in
-    some; of them the first by text stays.
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``groups`` (doc_id, h, component; a row for each of ``docs``).
+
+    The smallest doc_id stays, a null one only where all are null, and of rows
+    that share it the first by hash. Rows equal in all columns are one document.
     """
-    from pyspark.sql import Window
+    rows = groups.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("k")
+    keep = materialise(rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("_keep"), F.col("k.h").alias("_kh"), F.col("k.n").alias("_n")), "keep")
+    hashed = row_hash(docs)
+    kept = hashed.join(keep, (hashed["_h"] == keep["_kh"]) & hashed["doc_id"].cast("long").eqNullSafe(keep["_keep"]))
+    return kept.where("_n = 1").select(*docs.columns).unionByName(kept.where("_n > 1").select(*docs.columns).distinct())
+
 
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+def apply_near_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, judged by the texts: see ``keep_one``."""
+    d = row_hash(docs).select(F.col("doc_id").cast("long"), "text", F.col("_h").alias("h"))
+    fps = materialise(map_arrow(d, _fingerprints, "doc_id long, fp long, h long"), "simhash")
+    groups = fps.join(_components_of(materialise(fps.select("fp").distinct(), "distinct")), "fp")
+    return keep_one(docs, groups)

@@ -137,6 +137,20 @@ def test_one_of_each_group_stays(docs):
     assert len(kept) == len(set(kept)) == groups.select("component_id").distinct().count()
 
 
+def test_rows_with_null_or_repeated_ids_are_judged_by_text(spark):
+    a, b, c, d = (" ".join(word(random.Random(k * 1000 + i)) for i in range(80)) for k in range(4))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (1, c, "x"), (1, d, "x"), (1, d, "y"), (2, c, "x"), (None, c, "x")]
+    kept = [tuple(r) for r in simhash.apply_near_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted((i is None, i, t) if i else (True, 0, t) for i, t, _ in kept) == sorted([(True, 0, a), (True, 0, b), (False, 1, c), (False, 1, d)])
+
+
+def test_null_ids_link_others(spark, monkeypatch):
+    of = {"a": 0b11, "b": 0b1111, "c": 0b111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.create_map(*(F.lit(x).cast("string") if isinstance(x, str) else F.lit(x).cast("long") for p in of.items() for x in p))[F.col("text")].alias("fp")))
+    got = simhash.near_duplicates(spark.createDataFrame([(7, "a"), (None, "b"), (5, "c")], "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [5, 5, 5]
+
+
 def test_mix_totals_and_documents(docs):
     m = mixing.mix(docs).collect()
     by = defaultdict(list)
