@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from mesaquery.llm import chat, htmltree, kdtree, linededup, media, mixing, pieces, quality, queries, simhash, toxicity
+from mesaquery.llm import chat, htmltree, kdtree, linededup, media, mixing, pieces, quality, queries, shingles, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, key string, h string"
 
@@ -144,6 +144,35 @@ def test_rows_with_null_or_repeated_ids_are_judged_by_text(spark):
     assert sorted((i is None, i, t) if i else (True, 0, t) for i, t, _ in kept) == sorted([(True, 0, a), (True, 0, b), (False, 1, c), (False, 1, d)])
 
 
+def shingle_set(t):
+    w = split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("group_rows, frequent", [(4_000, 4), (7, 2), (1, 10**9)])
+def test_near_copies_brute_force(spark, monkeypatch, group_rows, frequent):
+    """Edited copies around similarity 0.8, chains of them, a common passage; few rows to a task force blocks."""
+    monkeypatch.setattr(shingles.links, "__defaults__", (0.8, group_rows))
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    r = random.Random(11)
+    passage, texts = [word(r) for _ in range(15)], [None, "", " \n", "one", "One", "two words here", "a b c d e", "a b c d e f"]
+    for n in (30, 60, 60, 200, 600):
+        w = [word(r) for _ in range(n)] + passage
+        for _ in range(14):
+            texts.append(" ".join(w))
+            if r.random() < 0.5:
+                w = list(w)
+            for p in r.sample(range(n), max(1, n // r.choice([20, 40, 60]))):
+                w[p] = word(r) + "q"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [shingle_set(t) for t in texts]
+    same = lambda a, b: sets[a] == sets[b] or bool(sets[a] | sets[b]) and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])
+    want = reach(range(len(texts)), same)
+    got = sorted(x.doc_id for x in simhash.apply_near_dedup(docs).collect())
+    assert got == sorted(set(want.values()))
+    assert 10 < len(got) < len(texts) - 20
+
+
 def test_null_ids_link_others(spark, monkeypatch):
     of = {"a": 0b11, "b": 0b1111, "c": 0b111111}
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.create_map(*(F.lit(x).cast("string") if isinstance(x, str) else F.lit(x).cast("long") for p in of.items() for x in p))[F.col("text")].alias("fp")))
