@@ -57,7 +57,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing will read again."""
+    for df in frames:
+        if folder := getattr(df, "_folder", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows and bytes of a batch that goes to Python: texts may be very long, and several batches are in memory at once.

@@ -4,7 +4,8 @@ Fingerprints are taken per text in Arrow batches. Distinct fingerprints are
 then searched for pairs at Hamming distance
 MAX_BITS or less:
 
-* Routing. A vantage point measures the Hamming distance on one block of bits;
+* Routing. A vantage point, chosen of a sample for the spread of its distances,
+  measures the Hamming distance on one block of bits;
   distances to the points of all levels name a fingerprint's cell (shard). By
   the triangle inequality two fingerprints at distance d lie at cells whose
   coordinates differ by d at most, and as the blocks of the levels are disjoint
@@ -18,13 +19,17 @@ MAX_BITS or less:
   large-star / small-star rounds join the forests across cells.
 
 More levels are used until the fullest cell holds CELL_ROWS fingerprints or all
-levels are in use; a cell still fuller is dealt into blocks, each of which gets
-all queries of the cell. So no task holds more than CELL_ROWS members.
+levels are in use; the members and the queries of a cell still fuller are dealt
+into blocks, and each two are a task. So no task holds more than CELL_ROWS of
+either. Other cells stay whole.
 
 Edge cases: a null, empty or blank text has fingerprint zero, and links like any
 other. Equal texts share a fingerprint and cost one row in the search, however
 many there are. A null doc_id links like any other but never names a component;
-such a row takes its group's smallest doc_id, or null. An empty table gives an empty result.
+such a row takes its group's smallest doc_id, or null. Ties (a bit set in exactly
+half the hashes) leave the bit zero. Only doc_id and text are read, so no other
+column can clash; ``apply_near_dedup`` returns all columns of its input as they
+are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import map_arrow, materialise
+from .common import discard, map_arrow, materialise
 
 MAX_BITS = 2
 SHINGLE = 3
@@ -50,6 +55,8 @@ SEED = 42
 CELL_ROWS = 40_000
 #: Level counts that routing may use: with r levels a block has 64 / r bits.
 ROUTES = (1, 2, 3, 4, 6, 8)
+#: Over-full cells up to which their block counts are broadcast (16 bytes each).
+FULL_CELLS = 100_000
 #: Shingles hashed at a time, for texts of any length.
 BLOCK = 1 << 15
 
@@ -84,21 +91,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(d, _fingerprints, "doc_id long, fp long")
 
 
-def _levels(count: int, seed: int) -> list[tuple[int, int]]:
-    """(vantage point, mask) per level: disjoint masks over all 64 bits."""
+#: Fingerprints of which vantage points are chosen.
+VANTAGE_ROWS = 512
+
+
+def _levels(count: int, seed: int, sample: np.ndarray) -> list[tuple[int, int]]:
+    """(vantage point, mask) per level: disjoint masks over all 64 bits; of 16 members of ``sample`` the one whose distances spread most is the point."""
     rnd = random.Random(seed)
     bits = list(range(64))
     rnd.shuffle(bits)
-    return [(rnd.getrandbits(64), sum(1 << b for b in bits[i::count])) for i in range(count)]
+    masks = [sum(1 << b for b in bits[i::count]) for i in range(count)]
+    some = sample[: VANTAGE_ROWS]
+    if not len(some):
+        return [(0, m) for m in masks]
+    few = some[:: max(1, len(some) // 16)][:16]
+    return [(int(max(few.tolist(), key=lambda v: np.bitwise_count((some ^ np.uint64(v)) & np.uint64(m)).var())), m) for m in masks]
 
 
 def _distance(fp: Column, vantage: int, mask: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(vantage)).cast("long")).bitwiseAND(F.lit(_signed(mask)).cast("long")))
 
 
-def _cells(fp: Column, count: int, offsets: list[tuple[int, ...]]) -> Column:
+def _cells(fp: Column, levels: list[tuple[int, int]], offsets: list[tuple[int, ...]]) -> Column:
     """The cells at ``offsets`` from a fingerprint's own, as packed integers; cells off the scale hold nothing and are met by no member."""
-    at = [_distance(fp, v, m) + MAX_BITS for v, m in _levels(count, 1)]
+    at = [_distance(fp, v, m) + MAX_BITS for v, m in levels]
     pack = lambda o: sum(((a + x).cast("long") * (1 << (7 * i)) for i, (a, x) in enumerate(zip(at, o, strict=True))), F.lit(0).cast("long"))
     return F.array(*(pack(o) for o in offsets))
 
@@ -112,35 +128,36 @@ def _offsets(count: int) -> list[tuple[int, ...]]:
 
 # --- inside a cell -----------------------------------------------------------
 
-_TREE = [(np.uint64(v), np.uint64(m)) for v, m in _levels(8, 2)]
+_DEPTH = 8
 _LEAF = 48
 
 
-def _rings(x: np.ndarray) -> np.ndarray:
+def _rings(x: np.ndarray, tree: list[tuple[int, int]]) -> np.ndarray:
     """Distances to the vantage points of all levels, a row a level."""
-    return np.stack([np.bitwise_count((x ^ v) & m).astype(np.int64) for v, m in _TREE])
+    return np.stack([np.bitwise_count((x ^ np.uint64(v)) & np.uint64(m)).astype(np.int64) for v, m in tree])
 
 
 def _search(members: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query index, member index) within MAX_BITS, found by descending the tree of ``members``."""
+    tree = _levels(_DEPTH, 2, members[:: max(1, len(members) // VANTAGE_ROWS)])
     keys = np.zeros(len(members), np.int64)
-    for ring in _rings(members):
+    for ring in _rings(members, tree):
         keys = keys * 9 + ring
     order = np.argsort(keys, kind="stable")
     keys, sorted_members = keys[order], members[order]
     for start in range(0, len(queries), 4096):
         q = queries[start : start + 4096]
-        rings = _rings(q)
+        rings = _rings(q, tree)
         who, prefix, left = np.arange(len(q)), np.zeros(len(q), np.int64), np.full(len(q), MAX_BITS)
         lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(members), np.int64)
-        for level in range(len(_TREE) + 1):
-            leaf = (hi - lo <= _LEAF) | (level == len(_TREE))
+        for level in range(_DEPTH + 1):
+            leaf = (hi - lo <= _LEAF) | (level == _DEPTH)
             if leaf.any():
                 yield from _compare(q, who[leaf], lo[leaf], hi[leaf], sorted_members, order, start)
             who, prefix, left = who[~leaf], prefix[~leaf], left[~leaf]
             if not len(who):
                 break
-            span = 9 ** (len(_TREE) - 1 - level)
+            span = 9 ** (_DEPTH - 1 - level)
             parts = []
             for step in range(-MAX_BITS, MAX_BITS + 1):
                 ring = rings[level][who] + step
@@ -179,14 +196,14 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def _forest(t: pa.Table) -> pa.Table:
     """One cell -> edges (rep, root) of a spanning forest of its links."""
     fp = t.column("fp").to_numpy().view(np.uint64)
-    rep, own = t.column("rep").to_numpy(), t.column("own").to_numpy(zero_copy_only=False).astype(bool)
-    by = np.lexsort((~own, rep))  # smaller doc_ids first: roots are the smallest
-    fp, rep, own = fp[by], rep[by], own[by]
-    at = np.flatnonzero(own)
+    rep, own, asks = t.column("rep").to_numpy(), *(t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("own", "asks"))
+    by = np.lexsort((~own, rep))  # smaller names first: roots are the smallest
+    fp, rep, own, asks = fp[by], rep[by], own[by], asks[by]
+    at, ask = np.flatnonzero(own), np.flatnonzero(asks)
     parent = np.arange(len(fp))
-    if len(at):
-        for a, b in _search(fp[at], fp):
-            _union(parent, a, at[b])
+    if len(at) and len(ask):
+        for a, b in _search(fp[at], fp[ask]):
+            _union(parent, ask[a], at[b])
     child = np.flatnonzero(parent != np.arange(len(parent)))
     return pa.table({"u": pa.array(rep[child], pa.int64()), "v": pa.array(rep[parent[child]], pa.int64())})
 
@@ -197,21 +214,31 @@ def _forest(t: pa.Table) -> pa.Table:
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v), u > v, that connect all fingerprints within MAX_BITS; ``distinct`` has one row (fp, rep) a fingerprint."""
     n = distinct.count()
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(VANTAGE_ROWS).toArrow().column("fp").to_numpy().view(np.uint64) if n > CELL_ROWS else np.empty(0, np.uint64)
     for count in ROUTES:
-        own = _cells(F.col("fp"), count, [(0,) * count])[0]
+        levels = _levels(count, 1, sample)
+        own = _cells(F.col("fp"), levels, [(0,) * count])[0]
         fullest = distinct.groupBy(own.alias("cell")).count().agg(F.max("count")).first()[0] or 0 if n > CELL_ROWS else n
         if fullest <= CELL_ROWS:
             break
-    routed = distinct.select("fp", "rep", F.posexplode(_cells(F.col("fp"), count, _offsets(count))).alias("o", "cell")).select("fp", "rep", "cell", (F.col("o") == 0).alias("own"))
+    routed = distinct.select("fp", "rep", F.posexplode(_cells(F.col("fp"), levels, _offsets(count))).alias("o", "cell")).select("fp", "rep", "cell", (F.col("o") == 0).alias("own"))
+    whole = routed.select("fp", "rep", "own", F.lit(True).alias("asks"), "cell", F.lit(0).alias("b"), F.lit(0).alias("q"))
     if fullest > CELL_ROWS:
-        # too many fingerprints in one small region: members in blocks, every query to every block
-        blocks = -(-fullest // (CELL_ROWS // 2))
-        block = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
-        routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("own", F.col("own") & (F.col("block") == block))
-        keys = ["cell", "block"]
-    else:
-        keys = ["cell"]
-    return routed.groupBy(*keys).applyInArrow(_forest, "u long, v long").where("u <> v").distinct()
+        # a region with too many fingerprints: its members in blocks, its queries in blocks, a task for each two; other cells stay whole
+        routed = materialise(routed, "routed")
+        blocks = lambda c: F.ceil(c / CELL_ROWS).cast("int")
+        sizes = routed.groupBy("cell").agg(F.count_if("own").alias("m"), F.count("*").alias("c")).where(F.col("m") > CELL_ROWS)
+        full = materialise(sizes.select(F.col("cell").alias("_cell"), blocks(F.col("m")).alias("_m"), blocks(F.col("c")).alias("_q")), "full")
+        small = full.count() <= FULL_CELLS
+        at = routed.join(F.broadcast(full) if small else full, routed["cell"] == full["_cell"], "left")
+        split = at.where("_cell IS NOT NULL")
+        block = lambda salt, k: F.pmod(F.xxhash64("fp", F.lit(salt)), k).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        members = split.where("own").select("fp", "rep", "own", F.lit(False).alias("asks"), "cell", block(1, F.col("_m")).alias("b"), every("_q").alias("q"))
+        queries = split.select("fp", "rep", F.lit(False).alias("own"), F.lit(True).alias("asks"), "cell", every("_m").alias("b"), block(2, F.col("_q")).alias("q"))
+        rest = at.where("_cell IS NULL").select("fp", "rep", "own", F.lit(True).alias("asks"), "cell", F.lit(0).alias("b"), F.lit(0).alias("q"))
+        whole = rest.unionByName(members).unionByName(queries)
+    return whole.groupBy("cell", "b", "q").applyInArrow(_forest, "u long, v long").where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,21 +247,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges stay the same: the
     rounds grow with the logarithm of the longest chain, not with a hub's degree.
     """
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = mark(edges)
-    while seen[0]:
+    count = edges.count()
+    while count:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialise(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
-        now = mark(edges)
-        if now == seen:
+        now = materialise(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        n = now.count()
+        same = n == count and now.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(large, edges)
+        edges, count = now, n
+        if same:
             break
-        seen = now
     labels = edges.groupBy("u").agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("u")).distinct().join(labels, "u", "left_anti").select("u", F.col("u").alias("component"))
     return labels.unionByName(roots).withColumnRenamed("u", "node")

@@ -151,8 +151,8 @@ def shingle_set(t):
 
 @pytest.mark.parametrize("group_rows, frequent", [(4_000, 4), (7, 2), (1, 10**9)])
 def test_near_copies_brute_force(spark, monkeypatch, group_rows, frequent):
-    """Edited copies around similarity 0.8, chains of them, a common passage; few rows to a task force blocks."""
-    monkeypatch.setattr(shingles.links, "__defaults__", (0.8, group_rows))
+    """Edited copies around similarity 0.8, chains of them, a common passage; few rows to a task force rings and blocks."""
+    monkeypatch.setattr(shingles.groups, "__defaults__", (5, 0.8, group_rows))
     monkeypatch.setattr(shingles, "FREQUENT", frequent)
     r = random.Random(11)
     passage, texts = [word(r) for _ in range(15)], [None, "", " \n", "one", "One", "two words here", "a b c d e", "a b c d e f"]
