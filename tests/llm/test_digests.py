@@ -1,6 +1,7 @@
 """The operators against brute force, on odd documents: nulls, empties, ties, repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -149,11 +150,11 @@ def shingle_set(t):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("group_rows, frequent", [(4_000, 4), (7, 2), (1, 10**9)])
-def test_near_copies_brute_force(spark, monkeypatch, group_rows, frequent):
+@pytest.mark.parametrize("group_rows, sketch", [(4_000, 64), (7, 64), (1, 10**6)])
+def test_near_copies_brute_force(spark, monkeypatch, group_rows, sketch):
     """Edited copies around similarity 0.8, chains of them, a common passage; few rows to a task force rings and blocks."""
     monkeypatch.setattr(shingles.groups, "__defaults__", (5, 0.8, group_rows))
-    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    monkeypatch.setattr(shingles, "SKETCH", sketch)
     r = random.Random(11)
     passage, texts = [word(r) for _ in range(15)], [None, "", " \n", "one", "One", "two words here", "a b c d e", "a b c d e f"]
     for n in (30, 60, 60, 200, 600):
@@ -309,6 +310,58 @@ def test_html_articles(spark):
         assert all(got[100 + i].text == f"Text {i} is its own {i * i}" and got[100 + i].n_chars == len(got[100 + i].text) for i in range(30))
 
 
+def plain_importance(pages):
+    """(node -> importance) of a host's pages by the textbook formulas, from lists."""
+    shown, texts, seen = defaultdict(list), defaultdict(list), set()
+    for page in pages:
+        kept, nodes = htmltree.candidates(page, "h")
+        main = tuple(t for _, _, t in kept)
+        if main in seen:
+            continue
+        seen.add(main)
+        for n, f in nodes:
+            shown[n].append(f)
+        for n, t in {(n, t) for n, _, t in kept}:
+            texts[n].append(t)
+    out = {}
+    for n, fs in shown.items():
+        m = len(fs)
+        presentation = -sum(c / m * math.log(c / m) for c in Counter(fs).values()) / math.log(m) if m > 1 else 1
+        content = 1 - sum(c * math.log(c) / math.log(m) for c in Counter(texts[n]).values()) / len(texts[n]) if m > 1 and texts[n] else 1
+        prior = htmltree.PRIOR + (m if n % 2 else 0)
+        out[n] = (m * ((1 - htmltree.GAMMA) * presentation + htmltree.GAMMA * content) + prior) / (m + prior)
+    return out
+
+
+def test_style_tree_brute_force(spark):
+    """Importance of nodes in articles too, against plain formulas; what repeats is cut, what HTML says is followed."""
+    r = random.Random(8)
+    part = lambda: " ".join(word(r) for _ in range(6))
+    pages = []
+    for i in range(60):
+        own = "".join(f"<p>{part()}</p>" for _ in range(r.randint(1, 3)))
+        html = f"<body><main><div class=box>Read our other stories</div><div class='related-work'>{part()}</div><div id='reply-theory'><span>{part()}</span></div>{own}<p>Set in {r.choice('AB')}.</p><div class='cookie-notice'>{part()}</div></main><div class=x>{part()}</div></body>"
+        pages.append((i, "http://h/" + str(i), html if i % 10 else pages[-1][2] if pages else html))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parsed = htmltree.parse(df)
+    want = plain_importance([p[2] for p in pages])
+    # the host is part of a node's key
+    assert sorted(round(v, 9) for v in want.values()) == sorted(round(x.importance, 9) for x in htmltree.importance(parsed).collect())
+    got = {x.page_id: x.text for x in htmltree.extract(df).collect()}
+    for i, _, html in pages:
+        want_text = [t for t in re.findall(r"(?:<p>|related-work'>|<span>)([^<]+)<", html)]
+        assert got[i].split("\n\n") == want_text, i
+
+
+def test_html_odd_markup():
+    texts = lambda h: [t for _, w, t in htmltree.candidates(h, "")[0] if w >= htmltree.THRESHOLD]
+    assert texts("<article><p>one</p><svg><p>two</p></article>") == ["one", "two"]
+    assert texts("<article><p>a <svg><g><text>icon</text></g></svg> b</p><select><option>x</select><p>c<script>var p='<p>'") == ["a b", "c"]
+    assert texts("<article><svg>x<p>one</p><p>two <svg>y</svg>three</p>") == ["one", "two three"]
+    assert texts("<article><object><div>deep</div></article>tail") == ["deep"]
+    assert texts("<article><noscript>no<p>no</noscript><p>yes<noscript>open") == ["yes open"] or texts("<article><p>yes</p><noscript>open") == ["yes", "open"]
+
+
 def test_quotes_link_replies(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt is long and slow."),
