@@ -1,31 +1,47 @@
 """Toxicity by a string-kernel support vector machine.
 
-The kernel counts subsequences of three characters with gaps: each occurrence
-weighs DECAY to the power of the stretch it spans, so "i*d-ioot" still shares
-most of what "idiot" has. Words carry end marks, kernels are normalised.
-Landmark words give Nyström features, in which a linear machine with squared
-hinge loss is trained on labelled sentences: a clean sentence speaks against all
-its words, a toxic one for its most suspicious word only, which is picked anew
-each round. A sentence's margin is that of its worst word, a text's margin that
-of its worst sentence, and a logistic curve makes it a score.
+The kernel counts subsequences of three letters with gaps: each occurrence
+weighs DECAY to the power of the letters it spans, and GAP to the power of the
+other characters, which are nothing but gaps: "i*d-ioot" and "i d i o t" still
+share most of what "idiot" has. A sentence enters by its windows (words, and runs
+of single letters): in the kernel of a whole sentence, one insult would drown
+among twenty words. Windows carry end marks, kernels are normalised.
+
+The machine is trained on labelled sentences, each labelled as its document is.
+Landmarks are windows of toxic sentences and of clean ones; they give Nyström
+features, in which a linear machine with squared hinge loss is trained. A clean
+sentence speaks against all its windows. A toxic document speaks by its most
+suspicious sentence, and by its others that come out as toxic; such a sentence
+speaks for its most suspicious window only; both are picked anew each round.
+Windows are judged by the odds of toxic to clean documents, so a few wrong
+labels don't undo an insult. A sentence's margin is that of its worst window, a
+text's margin that of its worst sentence, and a logistic curve makes it a score,
+0.5 where documents left out of training are told apart with fewest errors.
 
 The machine is linear in subsequence counts, so it collapses into one table of
-weights, a few hundred kB, whatever it was trained on: scoring a word is a table
-lookup for each of its subsequences. Words are scored once a worker.
+weights, a few hundred kB, whatever it was trained on: scoring a window is a table
+lookup for each of its subsequences. Windows are scored once a worker.
 
 Labels are learned only from rows with crc32(doc_id) mod 5 other than 0. Of
-those, at most MAX_TOXIC + MAX_CLEAN documents are taken, by a hash of doc_id.
-Texts are scored whole; the score sees nothing but the text.
+those, at most MAX_TOXIC + MAX_CLEAN documents are taken, by a hash of doc_id, one
+row of each, and of each SENTENCES sentences at most, by a hash of the sentence:
+this bounds what the driver holds. Texts are scored whole; the score sees nothing
+but the text.
 
 Edge cases: null, empty and word-free texts get the score of a text without any
-suspicious word. Equal texts get equal scores. Without labels of both kinds to
-learn from, every score is the share of toxic labels, or 0.
+suspicious word. Equal texts get equal scores, rows that repeat are scored each.
+Without labels of both kinds to learn from, every score is the share of toxic
+labels, or 0. A document labelled both ways counts as toxic; null labels and ids
+are left out of training. An empty table gives an empty result. Only the columns
+named are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,46 +53,54 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: The bounded sample of labelled documents.
+#: The bounded sample of labelled documents, and the sentences taken of each.
 MAX_TOXIC, MAX_CLEAN = 1000, 1500
+SENTENCES = 120
+#: A window is suspicious if the share of toxic documents that have it is this many times that of clean ones.
+ODDS = 8
 FOLDS = 5
-DECAY = 0.7
+DECAY, GAP = 0.7, 0.9
 #: Subsequences span this many characters at most; words are read in windows of WINDOW.
 SPAN, WINDOW = 6, 24
 LANDMARKS = 256
 ROUNDS = 3
 COST = 2.0
-#: Characters are told apart in so many classes: two end marks, a-z, 0-9, and the rest by code.
+#: Characters are told apart in so many classes: gaps, two end marks, a-z, 0-9, and other letters by code.
 CLASSES = 48
 KEPT_WORDS = 400_000
-#: Letters standing alone, four or more in a row, spell a word.
+#: Letters standing alone, four or more in a row, spell a word; the spaces are its gaps.
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){3,}")
+SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*[.!?]*")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def normalise(word: str) -> str:
-    """Case, accents and outer punctuation gone; inner symbols too."""
-    w = _EDGE.sub("", word)
+def normalise(window: str) -> str:
+    """Case, accents and outer punctuation gone; what stands between the letters stays, as a gap of the kernel."""
+    w = _EDGE.sub("", window)
     if not w.isascii():
         w = "".join(c for c in unicodedata.normalize("NFKD", w.casefold()) if not unicodedata.combining(c))
-    return "".join(filter(str.isalnum, w.lower()))
+    return w.lower()
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct raw words of a text, spelt-out ones joined."""
+def windows_of(text: str | None) -> set[str]:
+    """The distinct raw windows of a text or sentence."""
     t = (text or "").lower()
     found = set(t.split())
-    for m in SPELT.finditer(t):
-        found.add("".join(m[0].split()))
+    found.update(m[0] for m in SPELT.finditer(t))
     return found
 
 
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text: they end at a line's end or a full stop, question or exclamation mark before white space."""
+    return [x for m in SENTENCE.finditer(text or "") if (x := m[0].strip())]
+
+
 def _code(c: str) -> int:
     if "a" <= c <= "z":
         return ord(c) - 94  # 3..28
     if "0" <= c <= "9":
         return ord(c) - 19  # 29..38
-    return 39 + ord(c) % (CLASSES - 39)
+    return 39 + ord(c) % (CLASSES - 39) if c.isalnum() else 0
 
 
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,14 +117,18 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     """(positions in ``words``, codes, weights) by word length: a row a window, normalised to length one.
 
     Repeated subsequences stand apart in a row; the norm is taken over their sums.
+    Gap characters make no subsequences of their own.
     """
-    by_size: dict[int, list[tuple[int, list[int]]]] = {}
+    by_size: dict[int, list[tuple[int, list[int], list[int]]]] = {}
     for at, w in enumerate(words):
-        c = [1, *map(_code, w), 2]
+        c, gaps = [1, *map(_code, w), 2], []
+        if 0 in c:
+            gaps = [sum(x == 0 for x in c[:p]) for p, x in enumerate(c) if x] if len(c) < 256 else np.cumsum([x == 0 for x in c])[[x != 0 for x in c]].tolist()
+            c = [x for x in c if x]
         for s in range(0, max(1, len(c) - WINDOW // 2), WINDOW // 2):
             part = c[s : s + WINDOW]
             if len(part) >= 3:
-                by_size.setdefault(len(part), []).append((at, part))
+                by_size.setdefault(len(part), []).append((at, part, gaps[s : s + WINDOW]))
     for n, rows in by_size.items():
         if n not in _TRIPLES:
             _TRIPLES[n] = _triples(n)
@@ -111,12 +139,15 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             codes = (c[:, i] * CLASSES + c[:, j]) * CLASSES + c[:, k]
             order = np.argsort(codes, axis=1)
             codes, w = np.take_along_axis(codes, order, 1), weight[order]
+            if any(r[2] for r in rows[start : start + 1024]):
+                g = np.array([r[2] or [0] * n for r in rows[start : start + 1024]])
+                w = w * np.take_along_axis(GAP ** (g[:, k] - g[:, i]), order, 1)
             first = np.ones(codes.shape, bool)
             first[:, 1:] = codes[:, 1:] != codes[:, :-1]
             flat = np.flatnonzero(first.ravel())
             sums = np.add.reduceat(w.ravel(), flat)
             norms = np.sqrt(np.bincount(flat // codes.shape[1], sums**2, minlength=len(codes)))
-            yield at, codes, w / norms[:, None]
+            yield at, codes, w / np.maximum(norms, 1e-12)[:, None]
 
 
 @dataclass
@@ -170,41 +201,61 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return v[:-1], float(v[-1])
 
 
-def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model:
-    """Train on documents given as their distinct normalised words.
+#: A document: its sentences, each as its distinct normalised windows.
+Doc = list[list[str]]
+
+
+def fit(toxic: list[Doc], clean: list[Doc]) -> Model:
+    """Train on the sentences of labelled documents.
 
-    The logistic curve is fitted to margins that come from the other half of the
-    documents, so a machine that knows its own examples too well isn't trusted.
+    The logistic curve is fitted to margins of documents that a machine wasn't
+    trained on (in more parts where there are few, to leave it enough), so one that
+    knows its own examples too well isn't trusted.
     """
     share = len(toxic) / max(1, len(toxic) + len(clean))
     if len(toxic) < 2 or len(clean) < 2:
         return Model(np.zeros(CLASSES**3), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share else -30.0))
     margins, labels = [], []
-    for half in (0, 1):
-        part = _train(toxic[half::2], clean[half::2])
-        for y, docs in ((1.0, toxic[1 - half :: 2]), (0.0, clean[1 - half :: 2])):
-            margins += _worst(part, docs)
-            labels += [y] * len(docs)
+    parts = max(2, min(8, 1600 // len(toxic)))
+    for k in range(parts):
+        most = [[d for i, d in enumerate(docs) if i % parts != k] for docs in (toxic, clean)]
+        machine = _train(*most) if all(most) else None
+        for y, docs in ((1.0, toxic[k::parts]), (0.0, clean[k::parts])):
+            margins += _worst(machine, docs) if machine else []
+            labels += [y] * len(docs) if machine else []
     model = _train(toxic, clean)
-    model.slope, model.shift = _logistic(np.array(margins), np.array(labels))
+    x, y = np.array(margins), np.array(labels)
+    model.slope = _logistic(x, y)[0]
+    model.shift = -model.slope * _cut(x, y)
     return model
 
 
-def _worst(model: Model, docs: list[list[str]]) -> list[float]:
-    seen = sorted({w for d in docs for w in d})
+def _cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The margin that tells the two kinds apart with fewest errors; of equals the one in the widest gap."""
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
+    errors = np.r_[0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0]  # with the cut before each place
+    places = np.flatnonzero(errors[1:-1] == errors[1:-1].min()) + 1 if len(x) > 1 else np.array([0])
+    at = max(places, key=lambda p: (x[p] - x[p - 1], p))
+    return float((x[at - 1] + x[at]) / 2)
+
+
+def _worst(model: Model, docs: list[Doc]) -> list[float]:
+    seen = sorted({w for d in docs for s in d for w in s})
     margin = dict(zip(seen, model.margins(seen).tolist(), strict=True))
-    return [max((margin[w] for w in d), default=model.bias) for d in docs]
+    return [max((margin[w] for s in d for w in s), default=model.bias) for d in docs]
 
 
-def _train(toxic: list[list[str]], clean: list[list[str]]) -> Model:
-    t, c = (Counter(w for d in docs for w in set(d)) for docs in (toxic, clean))
-    odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((c[w] + 0.5) / (len(clean) + 1)) for w, n in t.items()}
+def _train(toxic: list[Doc], clean: list[Doc]) -> Model:
+    t, c = (Counter(w for d in docs for w in {w for s in d for w in s}) for docs in (toxic, clean))
+    odds = {w: ((n + 0.5) / (len(toxic) + 1)) / ((c[w] + 0.5) / (len(clean) + 1)) for w, n in t.items()}
+    suspicious = lambda w: odds[w] >= ODDS and c[w] <= t[w]
     rnd = np.random.default_rng(7)
     clean_words = sorted(c, key=lambda w: (-c[w], w))
     negatives = dict.fromkeys([*clean_words[:800], *(clean_words[i] for i in rnd.permutation(len(clean_words))[:2500])])
-    # first guess: words that several toxic documents have and no clean one; the most frequent are the landmarks
-    often = max(2, len(toxic) // 100)  # rarer words stand in toxic documents by chance as well
-    only = sorted((w for w in t if c[w] == 0 and t[w] >= often), key=lambda w: (-t[w], w))[: 3 * LANDMARKS]
+    # first guess: windows that several toxic documents have, and clean ones hardly ever; the most frequent are landmarks
+    often = max(2, len(toxic) // 100)  # rarer ones stand in toxic documents by chance as well
+    only = sorted((w for w in t if t[w] >= often and suspicious(w)), key=lambda w: (-t[w], w))[: 3 * LANDMARKS]
     only = only or sorted(t, key=lambda w: (-odds[w], w))[:LANDMARKS]
     positives = only
     marks = list(dict.fromkeys([*only[: LANDMARKS * 3 // 4], *clean_words[: LANDMARKS // 4]]))
@@ -226,12 +277,14 @@ def _train(toxic: list[list[str]], clean: list[list[str]]) -> Model:
             names = list(c)
             margin = dict(zip(names, model.margins(names).tolist(), strict=True))
             negatives.update(dict.fromkeys(sorted(names, key=lambda w: (-margin[w], w))[:1000]))
-            # each toxic document speaks for its most suspicious word that clean ones don't use
-            mine = [w for w in t if c[w] == 0]
+            mine = [w for w in t if suspicious(w)]
             margin = dict(zip(mine, model.margins(mine).tolist(), strict=True))
-            worst = Counter(max((w for w in d if margin.get(w, -1.0) > -0.5), key=lambda w: (margin[w], w), default=None) for d in toxic)
-            worst.pop(None, None)
-            positives = list(dict.fromkeys([*worst, *(w for w in only if margin[w] > 0)]))
+            spoken: Counter[str] = Counter()
+            for d in toxic:
+                # the most suspicious window of each sentence; the worst sentence speaks, and those that come out as toxic
+                worst = sorted((max((margin[w], w) for w in s if w in margin) for s in d if any(w in margin for w in s)), reverse=True)
+                spoken.update({w for i, (x, w) in enumerate(worst) if x > 0 or i == 0 and x > -0.5})
+            positives = list(dict.fromkeys([*(w for w in spoken if t[w] > 1), *(w for w in only if margin[w] > 0)])) or positives
     return model
 
 
@@ -254,10 +307,13 @@ def _held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [sorted({n for w in words_of(t.as_py()) if (n := normalise(w))}) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+        docs = []
+        for t in b.column(2):
+            some = sorted(set(sentences(t.as_py())), key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x))[:SENTENCES]
+            docs.append([sorted({n for w in windows_of(x) if (n := normalise(w))}) for x in some])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "sentences"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -267,8 +323,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     sides = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = sides[0].unionByName(sides[1])  # at most MAX_TOXIC + MAX_CLEAN rows
-    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), _distinct_words, "toxic int, words array<string>").toArrow()
-    rows = sorted(zip(found["toxic"].to_pylist(), found["words"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
+    found = map_arrow(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), _windows, "doc_id long, toxic int, sentences array<array<string>>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("toxic", "sentences")).alias("d")).select("d.toxic", "d.sentences").toArrow()  # one row an id
+    rows = sorted(zip(found["toxic"].to_pylist(), found["sentences"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
     return fit([w for y, w in rows if y], [w for y, w in rows if not y])
 
 
@@ -281,7 +338,7 @@ class _Scorer:
     def texts(self, texts: list[str | None]) -> list[float]:
         out = []
         for start in range(0, len(texts), 64):
-            sets = [words_of(t) for t in texts[start : start + 64]]
+            sets = [windows_of(t) for t in texts[start : start + 64]]
             new = [w for w in set().union(*sets) if w not in self.known]
             if len(self.known) + len(new) > KEPT_WORDS:
                 self.known.clear()
@@ -299,8 +356,6 @@ _SCORERS: dict[str, _Scorer] = {}
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
     spark = docs.sparkSession
-    import uuid
-
     name = uuid.uuid4().hex
     model = spark.sparkContext.broadcast(train(docs, labels))
 

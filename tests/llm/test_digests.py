@@ -293,6 +293,56 @@ def test_toxicity_learns_and_tolerates(spark):
     assert got[1002].score == got[1003].score < 0.5 and got[1004].predicted == 0
 
 
+def plain_kernel(a, b):
+    """The kernel by its definition: common letter triples, decayed by letters spanned and gap characters inside."""
+
+    def feature(w):
+        c = [(1, 0)]
+        gaps = 0
+        for x in w:
+            if toxicity._code(x):
+                c.append((toxicity._code(x), gaps))
+            else:
+                gaps += 1
+        c.append((2, gaps))
+        f = Counter()
+        for i in range(len(c)):
+            for j in range(i + 1, min(len(c), i + toxicity.SPAN)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    f[c[i][0], c[j][0], c[k][0]] += toxicity.DECAY ** (k - i + 1) * toxicity.GAP ** (c[k][1] - c[i][1])
+        norm = math.sqrt(sum(v * v for v in f.values()))
+        return {x: v / norm for x, v in f.items()} if norm else f
+
+    fa, fb = feature(a), feature(b)
+    return sum(v * fb.get(x, 0) for x, v in fa.items())
+
+
+def test_kernel_brute_force():
+    r = random.Random(4)
+    some = ["idiot", "i*d-i.o.t", "i d i o t", "a", "aa", "漢字", "x9-9", "banana"] + ["".join(r.choice("abci d*ot9é") for _ in range(r.randint(1, 18))) for _ in range(40)]
+    got = toxicity._kernel(some, some)
+    assert all(abs(got[i, j] - plain_kernel(a, b)) < 1e-5 for i, a in enumerate(some) for j, b in enumerate(some))
+    assert plain_kernel("idiot", "i*d-i.o.t") > 0.9 > 0.5 > plain_kernel("idiot", "riotous")
+
+
+def test_sentences_and_wrong_labels(spark):
+    assert toxicity.sentences("One. Two 3.5 of? No!\nLast e.g. this") == ["One.", "Two 3.5 of?", "No!", "Last e.g.", "this"]
+    assert toxicity.sentences(None) == toxicity.sentences(" \n ") == []
+    r = random.Random(6)
+    prose = lambda: [word(r) + word(r) for _ in range(30)]
+    docs = []
+    for i in range(500):
+        w = prose()
+        if i % 4 == 0 or i in (3, 7, 11):  # three insults under a clean label
+            w[5] = r.choice(["zqworth", "zqmoron"])
+        docs.append((i, ". ".join(" ".join(w[k : k + 6]) for k in range(0, 30, 6)), int(i % 4 == 0)))
+    docs += [(900, docs[0][1] + " of 900", 0)] * 3 + [(None, "no id", 1)]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.toxicity(d, spark.createDataFrame([(x[0], x[2]) for x in docs], "doc_id long, toxic int")).collect()}
+    held = [x for x in docs if x[0] is not None and x[0] < 500 and got[x[0]].held_out]
+    assert sum(got[i].predicted == y for i, _, y in held) >= 0.97 * len(held)
+
+
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Top</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class='cookie-notice'>We use</div>{}<div id=comments><p>First!</p></div><form>Send</form><footer>&copy; f</footer></body></html>"
 
 
@@ -359,7 +409,8 @@ def test_html_odd_markup():
     assert texts("<article><p>a <svg><g><text>icon</text></g></svg> b</p><select><option>x</select><p>c<script>var p='<p>'") == ["a b", "c"]
     assert texts("<article><svg>x<p>one</p><p>two <svg>y</svg>three</p>") == ["one", "two three"]
     assert texts("<article><object><div>deep</div></article>tail") == ["deep"]
-    assert texts("<article><noscript>no<p>no</noscript><p>yes<noscript>open") == ["yes open"] or texts("<article><p>yes</p><noscript>open") == ["yes", "open"]
+    assert texts("<article><noscript>no<p>no</noscript><p>yes</p><noscript>open") == ["yes", "open"]
+    assert texts("<article><p>yes</p><script>var open = 1; <p>no</p>") == ["yes"]
 
 
 def test_quotes_link_replies(spark):
