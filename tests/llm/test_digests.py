@@ -413,6 +413,84 @@ def test_html_odd_markup():
     assert texts("<article><p>yes</p><script>var open = 1; <p>no</p>") == ["yes"]
 
 
+def plain_links(rows):
+    """(conv, turn) -> parent, by comparing every quote with every message."""
+    fold = lambda ls: " ".join(" ".join(ls).casefold().split())
+    said, quoted = defaultdict(set), defaultdict(dict)
+    for c, t, _, text in rows:
+        paragraphs, run, level = [], [], 0
+        lines = (text or "").split("\n")
+        kinds = []
+        for i, x in enumerate(lines):
+            m = re.match(r"^[ \t]*((?:>[ \t]?)+)", x)
+            n = m[1].count(">") if m else 0
+            if m is None and i + 1 < len(lines) and re.match(r"^[ \t]*>", lines[i + 1]) and chat.ATTRIBUTION.match(x):
+                continue
+            kinds.append((n, x[m.end() :] if m else x))
+        for n, x in [*kinds, (-1, "")]:
+            if n != level or not x.strip():
+                if run:
+                    paragraphs.append((level, run))
+                run = []
+            level = n
+            if x.strip():
+                run.append(x)
+        for n, run in paragraphs:
+            folded = fold(run)
+            for u in {folded, *map(fold, ([x] for x in run)), *re.split(r"(?<=[.!?])\s+", folded)} - {""}:
+                if n == 0:
+                    said[u].add((c, t))
+                else:
+                    quoted[c, t][u] = min(n, quoted[c, t].get(u, n))
+    out = {}
+    for (c, t), us in quoted.items():
+        votes = defaultdict(lambda: [0, 0])
+        for u, n in us.items():
+            own = [x for x in said[u] if x[0] == c and x[1] < t]
+            others = [x for x in said[u] if x[0] != c]
+            p = min(own) if own else min(others) if others and len(u.split()) >= 3 else None
+            if p:
+                votes[p][0] += 1
+                votes[p][1] += n == 1
+        if votes:
+            out[c, t] = max(votes, key=lambda p: (votes[p][1] > 0, p[0] == c, votes[p][1], votes[p][0], p[1], p[0]))
+    return out
+
+
+def test_quotes_brute_force(spark):
+    """Random threads with rewrapped, nested, short and foreign quotes, repeated lines and repeated turns."""
+    r = random.Random(12)
+    sentence = lambda: " ".join(word(r) for _ in range(r.choice([1, 2, 5, 9]))).capitalize() + r.choice([".", "?", "!", ""])
+    rows = []
+    for c in range(25):
+        mine = []
+        for t in range(r.randint(1, 9)):
+            body = "\n".join(" ".join(sentence() for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3)))
+            if mine and r.random() < 0.7:
+                pool = mine if r.random() < 0.7 or not rows else [x[3] for x in rows]
+                words = r.choice(pool).split()
+                if r.random() < 0.5:
+                    words = r.choice(pool).split("\n")[0].split()
+                quote = [" ".join(words[k : k + 4]) for k in range(0, len(words), 4)] if r.random() < 0.6 else [" ".join(words)]
+                body = "\n".join([*(["Ann wrote:"] if r.random() < 0.3 else []), *(r.choice(["> ", ">", ">> ", "> > "] if k == 0 else ["> "]) + q for k, q in enumerate(quote)), body])
+            mine.append(body)
+            rows.append((c, t, "user", body if r.random() < 0.95 else None))
+    rows += [rows[5], rows[6]]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = plain_links(rows)
+    assert len(got) == len(rows) and len(want) > 20
+    parent = {(x.conv_id, x.turn): (x.parent_conv_id, x.parent_turn) for x in got if x.parent_conv_id is not None}
+    assert parent == want
+    up = {k: p for k, p in parent.items() if p[0] <= k[0]}
+    for x in got:
+        path = [(x.conv_id, x.turn)]
+        while path[0] in up:
+            path.insert(0, up[path[0]])
+        assert [tuple(p) for p in x.reply_path] == path and (x.thread_conv_id, x.root_turn, x.reply_depth) == (*path[0], len(path) - 1)
+    read = [(x.thread_conv_id, tuple(map(tuple, x.reply_path))) for x in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert read == sorted(read)
+
+
 def test_quotes_link_replies(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt is long and slow."),
@@ -422,6 +500,8 @@ def test_quotes_link_replies(spark):
         (1, 4, "user", "> nobody ever said these words\nok"),
         (2, 0, "user", ">  a NEW   topic about cats here.\nI like those cats too."),
         (3, 0, "user", None), (3, 1, "user", ""), (3, 1, "user", "again the same turn"),
+        (4, 0, "user", "Yes, please"), (4, 1, "user", "> Yes, please\nDone."), (5, 0, "user", "> Yes, please\nWhat?"),
+        (6, 0, "user", "> Use sorted()\n> on the list.\nWrapped anew."), (6, 1, "user", "Use sorted() on the list."), (None, 0, "user", "> Yes, please"), (4, None, "user", "x"),
     ]
     rows += [(9, i, "user", "We all say the same words.") for i in range(300)] + [(9, 300, "user", "> We all say the same words.\nYes we do say.")]
     got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -430,7 +510,8 @@ def test_quotes_link_replies(spark):
     where = lambda k: (at[k].parent_conv_id, at[k].parent_turn)
     assert where((1, 1)) == (1, 0) and where((1, 3)) == (1, 1) and where((1, 2)) == where((1, 4)) == (None, None)
     assert where((2, 0)) == (1, 2) and where((9, 300)) == (9, 0)
-    assert (at[1, 3].root_turn, at[1, 3].reply_depth, at[1, 3].quote_depth) == (0, 2, 2)
-    assert at[1, 1].text == "Use sorted() on the list." and at[3, 0].text == ""
-    order = [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.root_turn, r.turn))]
-    assert order == [0, 1, 3, 2, 4]
+    assert where((4, 1)) == (4, 0) and where((5, 0)) == where((None, 0)) == (None, None) and where((6, 0)) == (1, 1)
+    assert (at[1, 3].root_turn, at[1, 3].reply_depth, at[1, 3].quote_depth, at[6, 0].thread_conv_id, at[6, 0].root_turn) == (0, 2, 2, 1, 0)
+    assert at[1, 1].text == "Use sorted() on the list." and at[3, 0].text == "" and at[4, 1].formatted == "### user\nDone.\n"
+    order = [(r.conv_id, r.turn) for r in sorted((r for r in got if r.thread_conv_id == 1), key=lambda r: r.reply_path)]
+    assert order == [(1, 0), (1, 1), (1, 3), (6, 0), (1, 2), (2, 0), (1, 4)]
