@@ -1,10 +1,10 @@
 """Sharding by a k-d tree over document metadata.
 
 A node splits at the weighted median (weight: bytes) of its widest dimension;
-after DEPTH levels every leaf is a shard with its equal share of the bytes.
-Dimensions are doc_id, text length, and the code-point order of source and lang;
-the widest is the one whose range in the node is the largest part of its range
-in the whole table.
+after the levels that bring leaves to the target bytes, every leaf is a shard
+with its equal share. Dimensions are doc_id, text length, and the code-point rank
+of source and lang among all values; the widest is the one whose range in the
+node is the largest part of its range in the whole table.
 
 Medians are distributed: each pass makes one histogram per node (BINS bins over
 the node's current range, pre-aggregated map-side), keeps the bin the median
@@ -14,18 +14,22 @@ itself by a uniform hash of the document, in the same way. All nodes of a level
 share a pass, the driver sees one row a node, and a pass reads metadata only.
 
 Edge cases: a null text has size 1 and crc32 0; null metadata sorts first. Equal
-rows may part. With fewer documents than shards some shards stay empty. An empty
-table gives an empty result.
+rows may part, but rows equal in doc_id and text stand in one shard. With fewer
+documents than shards some shards stay empty. Ties of a median go by the hash. An
+empty table gives an empty result. Only doc_id, text, source and lang are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .mixing import prefix_sums
+from .mixing import prefix_sums, random_key
 
 DEPTH = 4
 #: Bins of a histogram pass; node count times this bounds what a pass shuffles.
@@ -33,29 +37,36 @@ BINS = 65536
 DIMENSIONS = ("d_id", "d_len", "d_source", "d_lang")
 #: 32 bits that split a tied value; the 60-bit key that orders slots.
 HASH, KEY = "h", "key"
+SEED = "shard-1"
+
 
+#: Distinct sources or languages up to which their ranks are broadcast (some 60 bytes each).
+BROADCAST_RANKS = 200_000
 
-def _code(c: Column) -> Column:
-    """The first seven UTF-8 bytes as an integer: code-point order, ties broken later by the hash. Null: -1."""
-    padded = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+def _ranked(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the code-point rank of ``column`` among its distinct values, null first; one row a value is ranked in one task."""
+    values = rows.groupBy(F.col(column).alias("_v")).agg(F.lit(1)).select("_v", (F.row_number().over(W.orderBy(F.col("_v").asc_nulls_first())) - 1).cast("long").alias(out))
+    values = materialise(values, "ranks")
+    side = F.broadcast(values) if values.count() <= BROADCAST_RANKS else values
+    return rows.join(side, rows[column].eqNullSafe(values["_v"]), "left").drop("_v")
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """One narrow row a document: the coordinates, its size and a uniform 60-bit hash of the document."""
     text = F.coalesce("text", F.lit(""))
-    crc = F.crc32(text)
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
-        crc.alias("text_crc32"),
+        F.crc32(text).alias("text_crc32"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("d_id"),
         F.length(text).cast("long").alias("d_len"),
-        _code(F.col("source")).alias("d_source"),
-        _code(F.col("lang")).alias("d_lang"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", crc), 32).alias(HASH),
-        F.shiftrightunsigned(F.xxhash64(crc, "doc_id"), 4).alias(KEY),
+        "source",
+        "lang",
+        random_key(F.col("doc_id"), F.col("text"), SEED).alias(KEY),
     )
+    rows = materialise(rows, "kd")
+    return _ranked(_ranked(rows, "source", "d_source"), "lang", "d_lang").select("doc_id", "size", "text_crc32", *DIMENSIONS, KEY, F.shiftright(F.col(KEY), 28).alias(HASH))
 
 
 #: node -> (dimension, value, hash), a dictionary per level; a row stands left if (coordinate, hash) < (value, hash).
@@ -131,10 +142,21 @@ def build(meta: DataFrame, depth: int = DEPTH) -> Levels:
     return levels
 
 
-def shard(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; slots run from 0 in each shard without gaps."""
+def levels_for(meta: DataFrame, target_bytes: int) -> int:
+    """Levels after which a leaf's share is ``target_bytes`` at most."""
+    total = meta.agg(F.sum("size")).first()[0] or 0
+    return max(0, math.ceil(math.log2(total / target_bytes))) if total > target_bytes else 0
+
+
+def shard(docs: DataFrame, depth: int = DEPTH, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard; slots run from 0 in each shard without gaps.
+
+    ``target_bytes`` decides the depth of the tree, else ``depth`` does. The
+    splits become one nested condition a row, so a run makes at most some
+    thousand shards; more are made by sharding each shard again.
+    """
     meta = materialise(metadata(docs), "kd")
-    levels = build(meta, depth)
+    levels = build(meta, depth if target_bytes is None else levels_for(meta, target_bytes))
     placed = meta.select("doc_id", "size", "text_crc32", KEY, assign(levels).cast("int").alias("shard")).withColumn("_one", F.lit(1).cast("long"))
     slots = prefix_sums(placed, "shard", KEY, "_one", placed.count(), ["doc_id", "text_crc32", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

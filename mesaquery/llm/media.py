@@ -7,16 +7,24 @@ its declared type; other valid media, not inside one already found, are carved.
 
 Edge cases: a null blob is an empty one and has type application/octet-stream.
 Chance signatures without valid structure are counted and dropped. Truncated
-media aren't carved. Equal blobs give equal rows. A blob is scanned whole.
+media aren't carved. Equal blobs give equal rows. A blob is scanned whole, of any
+length: validators that look for an end (zip, pdf) find it in tables made in one
+pass, and a walk over the blocks of a gif, jpeg or png stops where an earlier one
+came through and failed. Rows that repeat each come out; of signatures at one place
+the longest valid one counts. An empty table gives an empty result. Only the
+columns named are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -32,86 +40,160 @@ UNIT, PAD = 576, b"\xff"
 RATE = 8000
 
 
-def _riff(b: bytes, at: int) -> int:
+class Blob:
+    """Bytes, with where the ends of zip and pdf files are and where walks have failed; each is found once."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw = raw
+        self.failed: set[tuple] = set()
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of an archive -> its extent, by the end records that point at their start."""
+        b, out = self.raw, {}
+        for end in self.places(b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                n, start, note = struct.unpack_from("<IIH", b, end + 12)
+                at = end - start - n
+                if at >= 0 and end + 22 + note <= len(b):
+                    out.setdefault(at, end + 22 + note - at)
+        return out
+
+    @cached_property
+    def pdf_ends(self) -> list[int]:
+        return self.places(b"%%EOF")
+
+    @cached_property
+    def pdf_tables(self) -> list[int]:
+        return self.places(b"startxref")
+
+    def places(self, what: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(what), self.raw)]
+
+    def walk(self, kind: str, steps: Iterator[tuple]) -> int:
+        """The end of the media that ``steps`` walks through, or 0; each step is a state, the last one True and its end."""
+        seen = []
+        for state in steps:
+            if state[0] is True:
+                return state[1]
+            state = (kind, *state)
+            if state in self.failed:
+                break
+            seen.append(state)
+        self.failed.update(seen)
+        return 0
+
+
+def _riff(blob: Blob, at: int) -> int:
     """Extent of a RIFF/WAVE file with a fmt chunk before its data chunk, or 0."""
+    b = blob.raw
     if len(b) - at < 12 or b[at + 8 : at + 12] != b"WAVE":
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return 0
-    seen, p = [], at + 12
-    while p + 8 <= end:
-        seen.append(b[p : p + 4])
-        p += 8 + (n := struct.unpack_from("<I", b, p + 4)[0]) + (n & 1)
-    return end - at if p == end and b"fmt " in seen and b"data" in seen and seen.index(b"fmt ") < seen.index(b"data") else 0
-
-
-def _png(b: bytes, at: int) -> int:
-    p = at + 8
-    first = True
-    while p + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or (first and (kind != b"IHDR" or n != 13)):
-            return 0
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return 0
-        first, p = False, p + 12 + n
-        if kind == b"IEND":
-            return p - at
-    return 0
-
-
-def _gif(b: bytes, at: int) -> int:
+
+    def steps() -> Iterator[tuple]:
+        p, fmt, data = at + 12, False, False
+        while p + 8 <= end:
+            yield p, end, fmt, data
+            kind, n = struct.unpack_from("<4sI", b, p)
+            fmt = fmt or kind == b"fmt "
+            data = data or (fmt and kind == b"data")
+            p += 8 + n + (n & 1)
+        if p == end and data:
+            yield True, end
+
+    stop = blob.walk("wav", steps())
+    return stop - at if stop else 0
+
+
+def _png(blob: Blob, at: int) -> int:
+    b = blob.raw
+
+    def steps() -> Iterator[tuple]:
+        p, first = at + 8, True
+        while p + 12 <= len(b):
+            yield p, first
+            n, kind = struct.unpack_from(">I4s", b, p)
+            if p + 12 + n > len(b) or (first and (kind != b"IHDR" or n != 13)):
+                return
+            if zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+                return
+            first, p = False, p + 12 + n
+            if kind == b"IEND":
+                yield True, p
+
+    stop = blob.walk("png", steps())
+    return stop - at if stop else 0
+
+
+def _gif(blob: Blob, at: int) -> int:
+    b = blob.raw
     if len(b) - at < 13:
         return 0
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    images = 0
-
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
-
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at if images else 0
-        if b[p] == 0x21 and p + 2 < len(b):
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            f = b[p + 9]
-            p = blocks(p + 10 + (3 << (f & 7) + 1 if f & 0x80 else 0) + 1)
-            images += 1
-        else:
-            return 0
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    p = at + 2
-    scans = 0
-    while p + 4 <= len(b):
-        if b[p] != 0xFF or b[p + 1] in (0x00, 0xFF):
-            return 0
-        kind = b[p + 1]
-        if kind == 0xD9:
-            return p + 2 - at if scans else 0
-        n = struct.unpack_from(">H", b, p + 2)[0]
-        if n < 2:
-            return 0
-        p += 2 + n
-        if kind == 0xDA:
-            scans += 1
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0 or p + 1 >= len(b):
-                return 0
-            if b[p + 1] == 0xD9:
-                return p + 2 - at
-    return 0
 
-
-def _bmp(b: bytes, at: int) -> int:
+    def steps() -> Iterator[tuple]:
+        flags = b[at + 10]
+        p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+        images = False
+        while p < len(b):
+            yield p, images
+            if b[p] == 0x3B:
+                if images:
+                    yield True, p + 1
+                return
+            if b[p] == 0x21 and p + 2 < len(b):
+                p += 2
+            elif b[p] == 0x2C and p + 10 < len(b):
+                f = b[p + 9]
+                p += 11 + (3 << (f & 7) + 1 if f & 0x80 else 0)
+                images = True
+            else:
+                return
+            while p < len(b) and b[p]:
+                yield p, "data", images
+                p += 1 + b[p]
+            p += 1
+
+    stop = blob.walk("gif", steps())
+    return stop - at if stop else 0
+
+
+def _jpeg(blob: Blob, at: int) -> int:
+    b = blob.raw
+
+    def steps() -> Iterator[tuple]:
+        p, scans = at + 2, False
+        while p + 4 <= len(b):
+            yield p, scans
+            if b[p] != 0xFF or b[p + 1] in (0x00, 0xFF):
+                return
+            kind = b[p + 1]
+            if kind == 0xD9:
+                if scans:
+                    yield True, p + 2
+                return
+            n = struct.unpack_from(">H", b, p + 2)[0]
+            if n < 2:
+                return
+            p += 2 + n
+            if kind == 0xDA:
+                scans = True
+                while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                    yield p, "scan"
+                    p += 2
+                if p < 0 or p + 1 >= len(b):
+                    return
+                if b[p + 1] == 0xD9:
+                    yield True, p + 2
+
+    stop = blob.walk("jpeg", steps())
+    return stop - at if stop else 0
+
+
+def _bmp(blob: Blob, at: int) -> int:
+    b = blob.raw
     if len(b) - at < 54:
         return 0
     size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -120,23 +202,20 @@ def _bmp(b: bytes, at: int) -> int:
     return size if ok else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        n, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + n == end and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(blob: Blob, at: int) -> int:
+    return blob.archives.get(at, 0)
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else 0
+def _pdf(blob: Blob, at: int) -> int:
+    """To the first end mark, if a cross-reference table stands before it."""
+    ends, tables = blob.pdf_ends, blob.pdf_tables
+    i = bisect_left(ends, at)
+    j = bisect_left(tables, at)
+    return ends[i] + 5 - at if i < len(ends) and j < len(tables) and tables[j] < ends[i] else 0
 
 
 #: Magic bytes, media type, validator (extent from an offset, or 0).
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[Blob, int], int]], ...] = (
     (b"RIFF", "audio/wav", _riff),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -162,14 +241,14 @@ class Found:
 
 def sniff(blob: bytes | None) -> tuple[list[Found], int]:
     """Valid media in a blob, outermost ones only and in order, and the number of signatures that weren't valid."""
-    blob = blob or b""
+    known = Blob(blob or b"")
     found: list[Found] = []
     false, end = 0, 0
-    for last, (i, n) in _SCAN.iter(blob.decode("latin-1")):
+    for last, (i, n) in _SCAN.iter(known.raw.decode("latin-1")):
         at = last - n + 1
         if at < end:
             continue  # inside media already found
-        extent = FORMATS[i][2](blob, at)
+        extent = FORMATS[i][2](known, at)
         if extent:
             found.append(Found(FORMATS[i][1], at, extent))
             end = at + extent

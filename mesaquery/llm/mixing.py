@@ -4,16 +4,19 @@ Every document gets a hash-random key; within its source documents stand in key
 order; a distributed prefix sum of their word counts tells where each document
 lies; the source's budget is cut there, after as many whole epochs as fit.
 
-The prefix sum has two levels. Keys are uniform, so equal key ranges ("buckets")
-are a range sort with nearly equal parts, however large one source is: sums per
-(source, bucket) are small and are prefix-summed first; a window inside each
-bucket does the rest. No task ever holds a whole source.
+Keys are uniform, so equal key ranges ("buckets") are a range sort with nearly
+equal parts, however large one source is: a window inside each bucket, and the
+sums of the buckets are prefix-summed the same way, level by level, until few are
+left. No task ever holds a whole source.
 
 Edge cases: a null text has size 0 and takes 0. A null source is a source of its
-own and stands last. A source whose documents are all empty has target 0. Rows
-that repeat a doc_id are separate documents with the same key; which of them
-stands first makes no difference as they are told apart by text, or are equal.
-An empty table gives an empty result.
+own and stands last. A source whose documents are all empty has target 0. Keys
+come from doc_id and text, so rows with a null or repeated doc_id are dealt like
+others. Rows equal in doc_id, text and source are counted as one with so many
+copies, in the sums and at the cut, and each comes out; which of them the cut hits
+makes no difference. Ties between other rows need equal 60-bit keys; then doc_id
+and size decide. An empty table gives an empty result. ``mix_documents`` returns
+the columns of its input whatever their names; the others read the named ones only.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ SEED = "mix-1"
 BUCKET_ROWS = 4096
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    """A uniform 60-bit integer, the same on every run and in any SQL engine that has MD5."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/" + seed))), 1, 15), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A uniform 60-bit integer of a document, the same on every run and in any SQL engine that has MD5."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(text, F.lit(""))), F.lit("/" + seed))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def ordinal_bits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
@@ -47,20 +51,22 @@ def ordinal_bits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
     return max(0, min(40, math.ceil(math.log2(max(1, rows) / per_bucket)))) if rows > per_bucket else 0
 
 
-def prefix_sums(df: DataFrame, group: str, key: str, value: str, rows: int, order: list[str], out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, key: str, value: str, rows: int, order: list[str], out: str, level: int = 0) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that stand before this one by (key, *order).
 
     ``key`` holds uniform 60-bit integers. ``df`` should be cheap to read twice.
     """
     bits = ordinal_bits(rows)
-    df = df.withColumn("_b", F.shiftright(F.col(key), 60 - bits) if bits else F.lit(0).cast("long"))
-    sums = df.groupBy(group, "_b").agg(F.sum(value).alias("_s"))
-    before = sums.withColumn("_before", F.sum("_s").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), F.coalesce("_before", F.lit(0)).cast("long").alias("_before"))
-    inside = W.partitionBy(group, "_b").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = df.join(before, df[group].eqNullSafe(before["_g"]) & (df["_b"] == before["_bb"]), "inner")
-    return joined.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_g", "_b", "_bb", "_in", "_before")
+    before = lambda w: F.coalesce(F.sum(value).over(w.orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    if not bits:
+        return df.withColumn(out, before(W.partitionBy(group)))
+    b, g, k, s, above, inside = (f"_{x}{level}" for x in ("b", "g", "k", "s", "above", "inside"))
+    df = df.withColumn(b, F.shiftright(F.col(key), 60 - bits))
+    sums = df.groupBy(F.col(group).alias(g), F.shiftleft(F.col(b), 60 - bits).alias(k)).agg(F.sum(value).alias(s))
+    sums = prefix_sums(sums, g, k, s, 1 << bits, [], above, level + 1).select(g, k, above)
+    df = df.withColumn(inside, before(W.partitionBy(group, b)))
+    joined = df.join(sums, df[group].eqNullSafe(sums[g]) & (F.shiftleft(df[b], 60 - bits) == sums[k]), "inner")
+    return joined.withColumn(out, F.col(above) + F.col(inside)).drop(b, g, k, above, inside)
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = MAX_EPOCHS) -> DataFrame:
@@ -84,20 +90,20 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, ca
 
 
 def _place(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Every document with its place among its source's words, and the sources' targets."""
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *_order(seed)), "mix")
-    sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    """Every document (with its ``copies``) and its place among its source's words, and the sources' targets.
+
+    ``budget`` is what the cut leaves of one more epoch for all copies together.
+    """
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
+    sized = materialise(rows.groupBy("doc_id", "source", "size", "_key").agg(F.count("*").alias("copies")).withColumn("_all", F.col("size") * F.col("copies")), "mix")
+    sources = sized.groupBy("source").agg(F.sum("_all").cast("long").alias("source_size"))
     targets = source_targets(sources).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = materialise(targets, "targets")
-    at = prefix_sums(sized, "source", "_key", "size", sized.count(), ["doc_id", "size", "_tie"], "_at")
+    at = prefix_sums(sized, "source", "_key", "_all", sized.count(), ["doc_id", "size"], "_at")
     t = targets.withColumnRenamed("source", "_src")
     at = at.join(t, at["source"].eqNullSafe(t["_src"]), "left").drop("_src")
     left = F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("_at")
-    return at.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")), targets
-
-
-def _order(seed: str) -> list[Column]:
-    return [random_key(F.col("doc_id"), seed).alias("_key"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("_tie")]
+    return at.withColumn("budget", F.greatest(F.lit(0), F.least(F.col("_all"), left)).cast("long")), targets
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -108,7 +114,9 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     the sum of taken over a source is its target, rounded down.
     """
     at, _ = _place(docs, seed)
-    return at.withColumn("taken", F.col("epochs") * F.col("size") + F.col("last")).drop("_key", "_tie", "_at")
+    one = at.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("_copy") * F.col("size"))).cast("long")
+    return one.select("doc_id", "source", "size", "source_size", "target", "epochs", last.alias("last"), (F.col("epochs") * F.col("size") + last).alias("taken"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -125,35 +133,45 @@ def mix_documents(docs: DataFrame, seed: str = SEED, broadcast_sources: int = BR
 
     A source's cut is the place of the last document that it reaches, so a
     document learns from one row of its source how often it is taken, and no
-    text is shuffled. In each source one document at most is cut: its last copy
-    keeps the words that the budget still holds, single-spaced. Documents
-    without words take no room and stay once.
+    text is shuffled but that of the documents at a cut. In each source one copy at
+    most is cut: it keeps the words that the budget still holds, single-spaced.
+    Documents without words take no room and stay once.
     """
     names = docs.columns
     at, targets = _place(docs, seed)
-    cuts = at.where("last > 0").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "size", "_tie", "last")).alias("_c")).withColumnRenamed("source", "_s")
+    cuts = at.where("budget > 0").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "size", "budget")).alias("_c")).withColumnRenamed("source", "_s")
     per_source = targets.select(F.col("source").alias("_src"), F.col("epochs").alias("_epochs")).join(cuts, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
     per_source = materialise(per_source, "cuts")
     if per_source.count() <= broadcast_sources:
         per_source = F.broadcast(per_source)
-    d = docs.select("*", n_words(F.col("text")).alias("_n"), *_order(seed)).join(per_source, docs["source"].eqNullSafe(F.col("_src")), "left")
-    place = F.struct("_key", "doc_id", F.col("_n").alias("size"), "_tie")
-    cut = F.struct(*(F.col(f"_c.{c}").alias(c) for c in ("_key", "doc_id", "size", "_tie")))
-    last = F.when(F.col("_c").isNull(), F.lit(0)).when(place < cut, F.col("_n")).when(place.eqNullSafe(cut), F.col("_c.last")).otherwise(F.lit(0)).cast("long")
-    copies = F.concat(F.array_repeat(F.col("_n"), F.col("_epochs").cast("int")), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_take", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(copies)))
-    whole = F.col("_take") == F.col("_n")
-    d = d.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_take").cast("int")), " ")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_d"), F.col("source").alias("_of"), n_words(F.col("text")).alias("_n"), random_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
+    rows = rows.join(per_source, F.col("_of").eqNullSafe(F.col("_src")), "left")
+    place = F.struct("_key", F.col("_d.doc_id").alias("doc_id"), F.col("_n").alias("size"))
+    cut = F.struct(*(F.col(f"_c.{c}").alias(c) for c in ("_key", "doc_id", "size")))
+    at_cut = F.col("_c").isNotNull() & (F.col("_n") > 0) & place.eqNullSafe(cut)
+    # sizes of the copies taken: whole ones, and at the cut one of fewer words
+    whole = F.when(F.col("_c").isNotNull() & (place < cut), F.col("_epochs") + 1).otherwise(F.col("_epochs"))
+    others = rows.where(~at_cut).select("_d", "_n", F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_repeat(F.col("_n"), whole.cast("int"))).alias("_takes"))
+    same = rows.where(at_cut).groupBy("_d", "_of", "_n", "_epochs", F.col("_c.budget").alias("_budget")).agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(W.partitionBy("_of").orderBy(F.xxhash64("_d")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each variant of one document
+    budget = F.greatest(F.lit(0), F.least(F.col("_m") * F.col("_n"), F.col("_budget") - before * F.col("_n")))
+    same = same.withColumn("_left", budget.cast("long"))
+    rest = F.col("_left") % F.col("_n")
+    takes = F.concat(F.array_repeat(F.col("_n"), (F.col("_epochs") * F.col("_m") + F.expr("_left div _n")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    d = others.unionByName(same.select("_d", "_n", takes.alias("_takes"))).select("_d", "_n", F.explode("_takes").alias("_take"))
+    full = F.col("_take") == F.col("_n")
+    text = F.when(full, F.col("_d.text")).otherwise(F.array_join(F.slice(words(F.col("_d.text")), F.lit(1), F.col("_take").cast("int")), " "))
+    new = {"text": text}
     if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*names)
+        new["n_chars"] = F.when(full, F.col("_d.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return d.select(*(new.get(c, F.col(f"_d.`{c}`")).alias(c) for c in names))
 
 
 _W = ", ".join(f"{w}::DOUBLE" for w in WEIGHTS)
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPLIT}'), lambda x: x <> ''))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/{SEED}'), 1, 15))::BIGINT AS k FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, '')) || '/{SEED}'), 1, 15))::BIGINT AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, {MAX_EPOCHS}::DOUBLE * source_size AS cap, ([{_W}])[1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % {len(WEIGHTS)}] AS w FROM s),
 v AS (

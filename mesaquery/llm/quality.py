@@ -6,9 +6,11 @@ or that fails the document-level base rules, is rejected. All of it is column
 expressions over one row: no shuffle, no Python, no exploded rows.
 
 Edge cases: a null text counts as an empty one (zero words, base_failed, not
-kept). Rows that repeat are judged one by one. Repeated three-word windows are
-found by sorting 64-bit hashes of the windows with their positions, so cost per
-text is n log n in its words, at any length.
+kept). Rows that repeat are judged one by one. A share equal to its limit passes.
+Repeated three-word windows are found by sorting 64-bit hashes of the windows with
+their positions, so cost per text is n log n in its words, at any length. An empty
+table gives an empty result; columns of the table stay as they are whatever their
+names.
 """
 
 from __future__ import annotations
@@ -89,7 +91,8 @@ def repeat_words(w: Column) -> Column:
             return F.when(a.bitwiseXOR(b).bitwiseAND(high) == 0, words_equal).otherwise(F.lit(False))
 
         def repeated(s: Column) -> Column:
-            hits = F.filter(s, lambda e, k: same(e, F.get(s, k + 1)) | same(e, F.get(s, k - 1)))
+            # the second neighbour as well: a window of equal hash and other words may stand between two equal ones
+            hits = F.filter(s, lambda e, k: same(e, F.get(s, k + 1)) | same(e, F.get(s, k - 1)) | same(e, F.get(s, k + 2)) | same(e, F.get(s, k - 2)))
             return covered(F.sort_array(F.transform(hits, lambda e: e.bitwiseAND(F.bitwise_not(high)))))
 
         return let(F.sort_array(F.slice(F.transform(w, window), F.lit(1), F.size(w) - 2)), repeated)
@@ -98,7 +101,7 @@ def repeat_words(w: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add a struct column ``_q``: the base counts, characters lost to line rules and the cleaned text.
+    """Two structs a row: ``d`` with the columns of ``docs``, ``q`` with the base counts, characters lost to line rules and the cleaned text.
 
     Each intermediate array is let-bound, so that it is computed once a row, and
     the document's characters and symbols are sums over its lines.
@@ -120,33 +123,28 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     names = {"n_words": "c", "n_repeat_words": "c", "word_chars": "l", "n_symbols": "l", "n_dup_lines": "l", "lost_chars": "l", "clean": "l"}
     # explode() of one element, not an alias: a later filter on the verdict would otherwise compute all this once more
     q = F.explode(F.transform(F.array(both), lambda q: F.struct(*(q[part][name].alias(name) for name, part in names.items()))))
-    return docs.select("*", q.alias("_q"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), q.alias("q"))
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, clean_text, base_failed and kept.
-
-    Columns of these names in ``docs`` are replaced.
-    """
-    q = measure(docs, text)
-    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars"):
-        q = q.withColumn(name, F.col(f"_q.{name}"))
-    q = q.withColumn("clean_text", F.col("_q.clean")).drop("_q")
-    q = q.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return q.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= MAX_LOSS * F.col("word_chars")))
+    """Two structs a row: ``d`` with the columns of ``docs``, ``q`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, clean, base_failed and kept."""
+    failed = (F.col("q.n_words") < MIN_WORDS) | (100 * F.col("q.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q.n_words"))
+    kept = ~failed & (F.col("q.lost_chars") <= MAX_LOSS * F.col("q.word_chars"))
+    return measure(docs, text).select("d", F.struct("q.*", failed.alias("base_failed"), kept.alias("kept")).alias("q"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The digest: doc_id, base counts, verdicts and the characters that the line rules removed."""
-    return judge(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return judge(docs.select("doc_id", "text")).select("d.doc_id", *(f"q.{c}" for c in counts))
 
 
 def apply_quality_rules(docs: DataFrame) -> DataFrame:
     """Documents kept, with failing lines gone from their text; same columns as ``docs``."""
-    out = judge(docs).where("kept").withColumn("text", F.col("clean_text"))
+    new = {"text": F.col("q.clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("q.clean").cast(docs.schema["n_chars"].dataType)
+    return judge(docs).where("q.kept").select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""

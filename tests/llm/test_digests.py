@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -181,6 +182,30 @@ def test_null_ids_link_others(spark, monkeypatch):
     assert [r.component_id for r in got] == [5, 5, 5]
 
 
+def test_mix_cuts_exactly_among_repeated_rows(spark):
+    nine = [(1, " ".join(["w"] * 31), "s", "en", "c")] * 9
+    other = [(None, "x y z", None, "en", "c")] * 4 + [(None, "x y z", None, "de", "c")] * 3
+    for rows in (nine, other, nine + other):
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string")
+        targets = {r.source: r.target for r in mixing.mix(d).collect()}
+        taken = Counter()
+        for r in mixing.mix(d).collect():
+            taken[r.source] += r.taken
+        words = Counter()
+        out = mixing.mix_documents(d)
+        for r in out.collect():
+            words[r.source] += len(split(r.text))
+        assert words == taken == {s: int(t) for s, t in targets.items()} and out.columns == d.columns
+
+
+def test_prefix_sums_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing.ordinal_bits, "__defaults__", (4,))
+    r = random.Random(1)
+    rows = [(r.choice(["a", "a", None]), r.getrandbits(60), r.randint(0, 9)) for _ in range(500)]
+    got = mixing.prefix_sums(spark.createDataFrame(rows, "g string, k long, v long"), "g", "k", "v", 500, [], "o").collect()
+    assert sorted((x.k, x.o) for x in got) == sorted((k, sum(v2 for g2, k2, v2 in rows if g2 == g and k2 < k)) for g, k, _ in rows)
+
+
 def test_mix_totals_and_documents(docs):
     m = mixing.mix(docs).collect()
     by = defaultdict(list)
@@ -201,8 +226,8 @@ def test_mix_totals_and_documents(docs):
 
 
 def test_line_dedup_joins_agree(docs):
-    wide = {(r.doc_id, r.text) for r in linededup.drop_lines(docs.where("doc_id IS NOT NULL")).select("doc_id", F.col("clean_text").alias("text")).collect()}
-    long = {(r.doc_id, r.text) for r in linededup.drop_lines(docs.where("doc_id IS NOT NULL"), broadcast_lines=0).select("doc_id", F.col("clean_text").alias("text")).collect()}
+    wide = {(r.doc_id, r.text) for r in linededup.drop_lines(docs.where("doc_id IS NOT NULL")).select("d.doc_id", F.col("l.clean_text").alias("text")).collect()}
+    long = {(r.doc_id, r.text) for r in linededup.drop_lines(docs.where("doc_id IS NOT NULL"), broadcast_lines=0).select("d.doc_id", F.col("l.clean_text").alias("text")).collect()}
     assert wide == long and any(t and "Shared line" not in t and "rights" not in t for _, t in wide)
 
 
@@ -254,6 +279,21 @@ def test_sniffing_carves_and_corrects(spark):
     assert got[3].media_type == got[4].media_type == media.UNKNOWN and got[4].false_signatures == 1
 
 
+def test_sniffing_is_linear():
+    """Long runs of signatures without an end, or with one end for all; a walk doesn't go again where one failed."""
+    gif = b"GIF89a\x01\0\x01\0\0\0\0"
+    blobs = [b"PK\x03\x04" * 200_000, b"%PDF-" * 200_000 + b"%%EOF", (gif + b"!\xfe" + b"\x0d") * 30_000, b"RIFF" * 200_000, b"BM" * 300_000, b"\xff\xd8\xff\xe0\0\x04" * 100_000]
+    for b in blobs:
+        began = time.process_time()
+        found, false = media.sniff(b)
+        assert not found and false > 1000 and time.process_time() - began < 10
+    pdf = b"%PDF-1.4 x startxref 1 %%EOF"
+    archive = b"PK\x03\x04data" + b"PK\x01\x02dir" + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, 7, 8, 2) + b"hi"
+    found, _ = media.sniff(b"%PDF- " + b"x" * 9 + archive + pdf + archive)
+    assert [(f.media_type, f.length) for f in found][:1] == [("application/pdf", 6 + 9 + len(archive) + len(pdf))]
+    assert [(f.media_type, f.offset, f.length) for f in media.sniff(b"ab" + archive + b"cd" + pdf)[0]] == [("application/zip", 2, len(archive)), ("application/pdf", 4 + len(archive), len(pdf))]
+
+
 def test_shards(docs, rows):
     got = kdtree.shard(docs).collect()
     assert len(got) == len(rows)
@@ -266,6 +306,44 @@ def test_shards(docs, rows):
     assert all((r["size"], r.text_crc32) == sizes[r.doc_id] for r in got)
 
 
+def plain_tree(rows, depth):
+    """Shards of (doc_id, text, source, lang) by the definition, from sorted lists."""
+    ranks = [{v: i for i, v in enumerate(sorted({r[c] for r in rows}, key=lambda v: (v is not None, (v or "").encode())))} for c in (2, 3)]
+    key = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}/{hashlib.md5((r[1] or '').encode()).hexdigest()}/{kdtree.SEED}".encode()).hexdigest()[:15], 16) >> 28
+    at = [((-1 if r[0] is None else r[0], len(r[1] or ""), ranks[0][r[2]], ranks[1][r[3]]), key(r), len((r[1] or "").encode()) + 1, i) for i, r in enumerate(rows)]
+    whole = [max(1, max(x[0][d] for x in at) - min(x[0][d] for x in at)) for d in range(4)]
+    nodes = {0: at}
+    for _ in range(depth):
+        below = {}
+        for n, xs in nodes.items():
+            width = lambda d: (max(x[0][d] for x in xs) - min(x[0][d] for x in xs)) / whole[d]
+            d = max(range(4), key=lambda d: (width(d), -d))
+            xs.sort(key=lambda x: (x[0][d], x[1]))
+            half, run, cut = sum(x[2] for x in xs) // 2, 0, None
+            for x in xs:
+                run += x[2]
+                if run > half:
+                    cut = (x[0][d], x[1])
+                    break
+            for x in xs:
+                below.setdefault(2 * n + ((x[0][d], x[1]) >= cut), []).append(x)
+        nodes = below
+    return {x[3]: n for n, xs in nodes.items() for x in xs}
+
+
+def test_shards_brute_force(spark, rows):
+    r = random.Random(3)
+    some = [x[:2] + (x[3], x[2]) for x in rows]
+    some += [(r.randrange(10**6), " ".join(word(r) for _ in range(r.choice([1, 5, 50]))), "https://site-" + r.choice("abcdefgh"), r.choice(["en", None])) for _ in range(300)]
+    d = spark.createDataFrame([(*x, i) for i, x in enumerate(some)], "doc_id long, text string, source string, lang string, shard long").repartition(3)
+    for depth in (1, 4):
+        want = plain_tree(some, depth)
+        got = Counter((x.doc_id, x.text_crc32, x.shard) for x in kdtree.shard(d, depth).collect())
+        assert got == Counter((x[0], zlib.crc32((x[1] or "").encode()), want[i]) for i, x in enumerate(some))
+    total = sum(len((x[1] or "").encode()) + 1 for x in some)
+    assert {x.shard for x in kdtree.shard(d, target_bytes=total // 3).collect()} == {0, 1, 2, 3}
+
+
 def test_shards_are_even_with_ties(spark):
     d = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy of one text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
     b = [r.s for r in kdtree.shard(d).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
