@@ -75,9 +75,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sign_bits(v: Column) -> Column:
-    """Up to 64 sign bits of a vector as one integer, the first component highest."""
-    return F.aggregate(F.transform(v, lambda x: F.when(x > 0, 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    """The sign bits of a vector of any length, as an array of 64-bit words, the first component highest."""
+    bits = F.transform(v, lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / 64).cast("int") - 1)), lambda i: F.slice(bits, i * 64 + 1, 64))
+    return F.transform(words, lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    """Differing bits of two arrays of words of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

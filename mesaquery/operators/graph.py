@@ -6,24 +6,12 @@ Iterative ones cut their lineage by writing each round to the shared folder of
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: no lineage, no second computation."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "file:/tmp/checkpoints"
-    path = f"{place.rstrip('/')}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import cut, discard
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -64,18 +52,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank): weighted undirected PageRank, normalised to sum one; ``rounds`` is fixed, lineage is cut every five."""
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, least_change: float = 0.0) -> DataFrame:
+    """(node, rank): weighted undirected PageRank, normalised to sum one.
+
+    Links are partitioned by source once and kept so: a round shuffles ranks
+    only. Every five rounds lineage is cut, and the ranks that moved less than
+    ``least_change`` in sum end the rounds early.
+    """
     adj = undirected(edges)
     out = adj.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = cut(adj.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    stored = cut(adj.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = stored.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)  # what an executor loses is read again from the folder
     n = links.select("src").distinct().count()
     ranks = links.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
+    last = None
     for i in range(rounds):
         flow = links.join(ranks, links["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         ranks = flow.select("node", ((1 - damping) / n + damping * F.col("in")).alias("rank"))
-        if i % 5 == 4:
-            ranks = cut(ranks)
+        if i % 5 == 4 or i == rounds - 1:
+            ranks = cut(ranks, "ranks")
+            if last is not None and least_change and (ranks.join(last.withColumnRenamed("rank", "_was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_was")))).first()[0] or 0.0) < least_change:
+                break
+            last = ranks
+    links.unpersist()
+    discard(stored)
     return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("_all")))).select("node", (F.col("rank") / F.col("_all")).alias("rank"))  # the sum: one row
 
 
@@ -86,20 +87,29 @@ def cooccurrence(links: DataFrame, record: str, node: str, least: int) -> DataFr
     return x.join(y, "_r").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def spread(edges: DataFrame, seeds: DataFrame, hops: tuple[float, ...] = (0.7, 0.4), threshold: float = 0.3, bonus: tuple[float, ...] = (1.0, 1.2, 1.5, 1.8, 2.0), hub: int = 200) -> DataFrame:
-    """(node, activation): activation fades by hop; several paths of a hop add a bonus; hubs pass nothing on."""
+def spread(edges: DataFrame, seeds: DataFrame, hops: tuple[float, ...] = (0.7, 0.4), threshold: float = 0.3, bonus: tuple[float, ...] = (1.0, 1.2, 1.5, 1.8, 2.0), hub: int = 200, frontier_cap: int = 200) -> DataFrame:
+    """(node, activation) of the nodes that activation reaches from the seeds, seeds left out.
+
+    A hop hands on its own activation times the hop's fade times the edge's weight
+    (1 at most); what falls below the threshold is no path. A node keeps the best
+    activation of its paths; at the end, several paths multiply it, up to 1. Hubs
+    pass nothing on, and of a frontier the ``frontier_cap`` most active nodes do.
+    """
     adj = undirected(edges)
     deg = adj.groupBy("src").agg(F.count("*").alias("d"))
-    adj = cut(adj.join(deg, "src").where(F.col("d") <= hub).select("src", "dst"))
-    active = seeds.select(F.col("seed").alias("node"), F.lit(1.0).alias("activation"))
-    frontier = active
+    adj = cut(adj.join(deg, "src").where(F.col("d") <= hub).select("src", "dst", F.least("weight", F.lit(1.0)).alias("weight")))
+    seed = seeds.select(F.col("seed").alias("node")).distinct()
+    known = cut(seed.select("node", F.lit(1.0).alias("activation"), F.lit(1).cast("long").alias("paths")))
+    frontier = known
     for fade in hops:
-        paths = frontier.join(adj, frontier["node"] == adj["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("activation").alias("a"), F.count("*").alias("p"))
-        factor = F.get(F.array(*(F.lit(x) for x in bonus)), F.least(F.col("p"), F.lit(len(bonus))).cast("int") - 1)
-        step = paths.select("node", F.least(F.lit(1.0), F.lit(fade) * factor).alias("activation")).where(F.col("activation") >= threshold)
-        frontier = cut(step.join(active.select("node"), "node", "left_anti"))
-        active = active.unionByName(frontier)
-    return active
+        active = frontier.where(F.col("activation") >= threshold).orderBy(F.desc("activation"), "node").limit(frontier_cap)
+        new = active.join(adj, active["node"] == adj["src"]).select(F.col("dst").alias("node"), (F.col("activation") * fade * F.col("weight")).alias("a"))
+        new = new.where(F.col("a") >= threshold).join(seed, "node", "left_anti").groupBy("node").agg(F.max("a").alias("a"), F.count("*").alias("p"))
+        step = known.join(new, "node", "full").select("node", F.greatest("activation", "a").alias("activation"), (F.coalesce("paths", F.lit(0)) + F.coalesce("p", F.lit(0))).alias("paths"), (F.col("a").isNotNull() & (F.col("activation").isNull() | (F.col("a") > F.col("activation")))).alias("fresh"))
+        step = cut(step)
+        known, frontier = step.drop("fresh"), step.where("fresh")
+    factor = F.get(F.array(*(F.lit(x) for x in bonus)), F.least(F.col("paths"), F.lit(len(bonus))).cast("int") - 1)
+    return known.join(seed, "node", "left_anti").select("node", F.round(F.least(F.lit(1.0), F.col("activation") * factor), 4).alias("activation")).where(F.col("activation") >= threshold)
 
 
 def transitive(edges: DataFrame) -> DataFrame:

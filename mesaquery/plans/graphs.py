@@ -53,14 +53,26 @@ def pagerank(spark, d):
     return G.pagerank(graph_edges(spark, d)).select("node", F.round("rank", 8).alias("rank"))
 
 
-@query("spread_activation", f"""{E}, deg AS (SELECT src, count(*) AS g FROM adj GROUP BY src), ok AS (SELECT adj.src, dst FROM adj JOIN deg ON deg.src = adj.src WHERE g <= 200),
-h1 AS (SELECT dst AS node, least(1, 0.7::DOUBLE * [1.0, 1.2, 1.5, 1.8, 2.0][least(count(*), 5)]::DOUBLE) AS activation FROM ok WHERE src IN ('p1', 'p2') AND dst NOT IN ('p1', 'p2') GROUP BY dst),
-h2 AS (SELECT dst AS node, least(1, 0.4::DOUBLE * [1.0, 1.2, 1.5, 1.8, 2.0][least(count(*), 5)]::DOUBLE) AS activation FROM ok WHERE src IN (SELECT node FROM h1) AND dst NOT IN (SELECT node FROM h1) AND dst NOT IN ('p1', 'p2') GROUP BY dst)
-SELECT node, round(activation, 6) AS activation FROM (SELECT unnest(['p1', 'p2']) AS node, 1.0::DOUBLE AS activation UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 WHERE activation >= 0.3)""")
+WEIGHED = """we AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, avg(l_quantity) / 40 AS weight FROM lineitem GROUP BY 1, 2),
+wa AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM we UNION ALL SELECT dst, src, weight FROM we) GROUP BY 1, 2), wd AS (SELECT src, count(*) AS g FROM wa GROUP BY src),
+ok AS (SELECT wa.src, dst, least(weight, 1) AS weight FROM wa JOIN wd ON wd.src = wa.src WHERE g <= 200),
+h1 AS (SELECT dst AS node, max(0.7::DOUBLE * weight) AS a, count(*) AS p FROM ok WHERE src IN ('p1', 'p2') AND dst NOT IN ('p1', 'p2') AND 0.7::DOUBLE * weight >= 0.3 GROUP BY dst),
+f1 AS (SELECT node, a FROM h1 ORDER BY a DESC, node LIMIT 200),
+h2 AS (SELECT dst AS node, max(a * 0.4::DOUBLE * weight) AS a, count(*) AS p FROM ok JOIN f1 ON node = src WHERE dst NOT IN ('p1', 'p2') AND a * 0.4::DOUBLE * weight >= 0.3 GROUP BY dst),
+lv AS (SELECT node, max(a) AS a, sum(p) AS p FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node),
+act AS (SELECT node, round(least(1, a * CASE least(p, 5) WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.2 WHEN 3 THEN 1.5 WHEN 4 THEN 1.8 ELSE 2.0 END), 4) AS activation FROM lv)"""
+
+
+def weighed_edges(spark, d):
+    """Part -> supplier edges weighted by mean quantity, mostly below 1."""
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg((F.avg("l_quantity") / 40).alias("weight"))
+
+
+@query("spread_activation", f"WITH {WEIGHED} SELECT node, activation FROM act WHERE activation >= 0.3")
 def spread_activation(spark, d):
-    """Two hops of fading activation; hubs pass nothing on."""
-    a = G.spread(graph_edges(spark, d), _seeds(spark, "p1", "p2"))
-    return a.select("node", F.round("activation", 6).alias("activation"))
+    """Two hops of fading activation over weighted edges; several paths add, hubs pass nothing on."""
+    return G.spread(weighed_edges(spark, d), _seeds(spark, "p1", "p2"))
 
 
 @query("transitive_infer", "WITH e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) SELECT a.src, b.dst, min(a.dst) AS via FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2")

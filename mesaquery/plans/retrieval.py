@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import content_hash, jaccard, tokens
 from ..operators import retrieval as R
+from ..operators.lexicon import lexicon
 from ..session import knowledge, table, with_
 from .registry import query
 
@@ -33,7 +34,7 @@ def _vector_queries(spark, d, every: int = 100):
 @query("token_stats", rf"{K} SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM (SELECT id, unnest({TOK.format('content')}) AS term FROM knowledge) GROUP BY term HAVING count(*) >= 200")
 def token_stats(spark, d):
     """Term and document frequencies; tf is summed per document first, so nothing distinct is shuffled."""
-    p = R.postings(knowledge(spark, d))
+    p = lexicon(knowledge(spark, d)).postings
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where("tf >= 200")
 
 
@@ -66,7 +67,7 @@ def bm25_many(spark, d):
 def vocab_overlap(spark, d):
     """Damp lexical weight where no query word is in the vocabulary."""
     q = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    v = R.postings(knowledge(spark, d)).select("term").distinct().withColumn("has", F.lit(1))
+    v = lexicon(knowledge(spark, d)).terms.select("term", F.lit(1).alias("has"))
     g = q.join(v, "term", "left").groupBy("item_id").agg(F.count("has").alias("known"))
     return g.withColumn("weight", F.when(F.col("known") == 0, 0.3).otherwise(1.0))
 
@@ -90,12 +91,13 @@ def hamming_topk(spark, d):
     return R.hamming_candidates(table(spark, d, "embeddings"), _vector_queries(spark, d), 50).select("query_id", "id", F.col("distance").cast("long").alias("distance"))
 
 
-@query("hamming_rerank")
+@query("hamming_rerank", f"WITH b AS (SELECT v.vec_id, {_BITS.format('v')} AS bits FROM embeddings v), c AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.bits, v.bits)), v.vec_id) AS rn FROM b v JOIN b q ON q.vec_id % 100 = 0), r AS (SELECT query_id, id, round({_COS}, 9) AS score FROM c JOIN embeddings v ON v.vec_id = id JOIN embeddings q ON q.vec_id = query_id WHERE rn <= 200), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) SELECT query_id, id, round(score, 6) AS score, rank FROM t WHERE rank <= 10")
 def hamming_rerank(spark, d):
     """Sign-bit candidates re-ranked by exact cosine."""
     v, q = table(spark, d, "embeddings"), _vector_queries(spark, d)
     c = R.hamming_candidates(v, q, 200).select("query_id", "id")
-    return R.top_k(R.cosine_scores(v, q).join(c, ["query_id", "id"], "left_semi"), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    s = R.cosine_scores(v, q).join(c, ["query_id", "id"], "left_semi").withColumn("score", F.round("score", 9))
+    return R.top_k(s, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("per_label_topn", f"SELECT label, id, round(score, 6) AS score FROM (SELECT v.label, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY v.label ORDER BY round({_COS}, 9) DESC, v.vec_id) AS rn FROM embeddings v JOIN embeddings q ON q.vec_id = 0) WHERE rn <= 3")
