@@ -84,3 +84,9 @@ def sign_bits(v: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of words of one length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def route(answerable: Column, partial: Column, confidence: Column, rounds: Column, answer: float = 0.7, caveat: float = 0.4, most: int = 4) -> Column:
+    """answer, caveat, search_more or idk: what a confidence allows, searching on while rounds are left and the case is open."""
+    open_ = ((confidence >= caveat / 2) & (confidence < caveat)) | (answerable & (confidence >= caveat / 2) & (confidence < answer))
+    return F.when(answerable & (confidence >= answer), "answer").when(partial & (confidence >= caveat), "caveat").when((rounds < most) & open_, "search_more").otherwise("idk")

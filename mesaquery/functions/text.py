@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def _base(c: str) -> str:
+    """The letter that an accented one is made of, or the character itself."""
+    d = unicodedata.normalize("NFD", c)
+    return d[0] if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:]) else c
+
+
+#: Latin, Greek and Cyrillic letters with marks, and what they are without, by the Unicode decomposition.
+_MARKED = "".join(chr(i) for i in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)] if _base(chr(i)) != chr(i))
+_PLAIN = "".join(map(_base, _MARKED))
+
+
+def fold_accents(text: Column) -> Column:
+    """Letters without their marks; marks that stand by themselves go."""
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
+
+
 def normalised(text: Column) -> Column:
     """Trimmed, lower case, runs of white space as one space."""
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators import temporal
+from ..operators import stats, temporal
 from ..session import graph_edges, knowledge, table, tool_calls, with_
 from .registry import query
 
@@ -97,16 +97,20 @@ def cross_project_terms(spark, d):
 @query("tool_latency_report", f"""{C}, r AS (SELECT tool, duration_ms, ok, row_number() OVER (PARTITION BY tool ORDER BY duration_ms) AS rn, count(*) OVER (PARTITION BY tool) AS n FROM calls)
 SELECT tool, max(n) AS n, min(duration_ms) FILTER (WHERE rn >= ceil(0.5::DOUBLE * n)) AS p50, min(duration_ms) FILTER (WHERE rn >= ceil(0.95::DOUBLE * n)) AS p95, round(avg(CASE WHEN ok THEN 0 ELSE 1 END), 6) AS error_rate FROM r GROUP BY tool""")
 def tool_latency_report(spark, d):
-    """Nearest-rank percentiles and error rate by tool."""
+    """Nearest-rank percentiles and error rate by tool: a histogram finds the bins, only these are ranked."""
     c = tool_calls(spark, d)
-    rate = F.round(F.avg(F.when(F.col("ok"), 0).otherwise(1)), 6)
-    return c.groupBy("tool").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"), rate.alias("error_rate"))
+    rate = c.groupBy("tool").agg(F.round(F.avg(F.when(F.col("ok"), 0).otherwise(1)), 6).alias("error_rate"))
+    return stats.percentiles(c, "tool", "duration_ms", {"p50": 0.5, "p95": 0.95}).join(rate, "tool")
 
 
 @query("latency_interp", f"{C} SELECT tool, round(quantile_cont(duration_ms, 0.9), 6) AS p90 FROM calls GROUP BY tool")
 def latency_interp(spark, d):
-    """Interpolated percentile."""
-    return tool_calls(spark, d).groupBy("tool").agg(F.round(F.percentile("duration_ms", 0.9), 6).alias("p90"))
+    """Interpolated percentile: between the two nearest ranks, each found by histogram."""
+    c = tool_calls(spark, d)
+    n = c.where("duration_ms IS NOT NULL").groupBy("tool").agg(F.count("*").alias("_n"))
+    # the ranks below and above (n - 1) * p, as shares that the nearest rank maps back to them
+    at = (F.col("_n") - 1) * 0.9
+    return stats.interpolated(c, n, "tool", "duration_ms", at).select("tool", F.round("value", 6).alias("p90"))
 
 
 @query("latency_histogram", f"{C} SELECT tool, le, count(*) FILTER (WHERE duration_ms <= le) AS n FROM calls, (VALUES (1.0::DOUBLE), (5.0), (10.0), (50.0), (100.0), (500.0)) b(le) GROUP BY tool, le")

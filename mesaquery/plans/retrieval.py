@@ -163,25 +163,29 @@ def temporal_rerank(spark, d):
     return knowledge(spark, d).select("id", F.round(0.5 * F.least(F.lit(1.0), F.length("content") / 5000.0) + 0.5 * near, 6).alias("score"))
 
 
-@query("shared_entity", """WITH deg AS (SELECT l_partkey AS n, count(*) AS g FROM lineitem GROUP BY 1), b AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS n, max(l_quantity / 50) OVER (PARTITION BY l_orderkey, l_partkey) AS s FROM lineitem)
-SELECT b2.r AS record, round(max(0.4::DOUBLE * b1.s * b2.s / ln(1 + g)), 6) AS score FROM b b1 JOIN b b2 ON b1.n = b2.n AND b2.r <> b1.r JOIN deg ON deg.n = b1.n WHERE b1.r = 1 AND g <= 200 GROUP BY 1""")
+@query("shared_entity", """WITH b AS (SELECT l_orderkey AS r, l_partkey AS n, max(l_quantity / 50) AS s FROM lineitem GROUP BY 1, 2), deg AS (SELECT n, count(*) AS g FROM b GROUP BY 1),
+sd AS (SELECT n, max(0.4::DOUBLE * s) AS w FROM b WHERE r IN (1, 2, 3) GROUP BY 1), kept AS (SELECT sd.n, w / ln(1 + g) AS w FROM sd JOIN deg ON deg.n = sd.n WHERE g BETWEEN 2 AND 200 ORDER BY g, sd.n LIMIT 16),
+sc AS (SELECT r, round(sum(w * s), 9) AS score FROM b JOIN kept ON kept.n = b.n WHERE r NOT IN (1, 2, 3) GROUP BY 1) SELECT r AS record, round(score, 6) AS score FROM sc WHERE score >= 0.5 * (SELECT max(score) FROM sc)""")
 def shared_entity(spark, d):
-    """Records that share an entity with a seed record; hubs are cut, common entities count less."""
+    """Records that share entities with seed records: hubs and loners cut, the sixteen most specific kept, those at half the best score or more."""
     b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("r"), F.col("l_partkey").alias("n")).agg(F.max(F.col("l_quantity") / 50).alias("s"))
-    deg = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("n")).agg(F.count("*").alias("g")).where("g <= 200")
-    seed = b.where("r = 1").select("n", F.col("s").alias("s1"))
-    j = b.where("r <> 1").join(seed, "n").join(deg, "n")
-    return j.groupBy(F.col("r").alias("record")).agg(F.round(F.max(0.4 * F.col("s1") * F.col("s") / F.log(1 + F.col("g"))), 6).alias("score"))
+    seed = b.where(F.col("r").isin(1, 2, 3)).groupBy("n").agg(F.max(0.4 * F.col("s")).alias("w"))
+    deg = b.join(seed.select("n"), "n", "left_semi").groupBy("n").agg(F.count("*").alias("g")).where("g BETWEEN 2 AND 200")
+    kept = seed.join(deg, "n").orderBy("g", "n").limit(16).select("n", (F.col("w") / F.log1p("g")).alias("w"))
+    sc = b.where(~F.col("r").isin(1, 2, 3)).join(F.broadcast(kept), "n").groupBy(F.col("r").alias("record")).agg(F.round(F.sum(F.col("w") * F.col("s")), 9).alias("score"))  # sixteen nodes
+    best = sc.agg(F.max("score").alias("best"))  # one row
+    return sc.join(F.broadcast(best), F.col("score") >= 0.5 * F.col("best")).select("record", F.round("score", 6).alias("score"))
 
 
-@query("query_entity", """WITH m AS (SELECT p_brand AS e, count(*) AS n FROM part GROUP BY 1), h AS (SELECT l_orderkey AS r, count(DISTINCT p_brand) AS hits, sum(DISTINCT 1 / ln(2 + n)) AS w FROM lineitem JOIN part ON p_partkey = l_partkey JOIN m ON e = p_brand WHERE p_brand IN ('Brand#2', 'Brand#17') GROUP BY 1)
-SELECT r AS record, hits FROM h WHERE hits >= 2""")
+@query("query_entity", """WITH b AS (SELECT DISTINCT l_orderkey AS r, p_brand AS e FROM lineitem JOIN part ON p_partkey = l_partkey), m AS (SELECT e, count(*) AS n FROM b GROUP BY 1), k AS (SELECT e, 1 / ln(2 + n) AS idf FROM m WHERE e IN ('Brand#2', 'Brand#17', 'Brand#9')),
+h AS (SELECT r, sum(idf) * (1 + 0.5::DOUBLE * (count(*) - 1)) AS w FROM b JOIN k USING (e) GROUP BY 1) SELECT r AS record, round(w / (1 + w), 6) AS score FROM h""")
 def query_entity(spark, d):
-    """Records that hold all entities a query names."""
-    p = table(spark, d, "part").where(F.col("p_brand").isin("Brand#2", "Brand#17")).select("p_partkey", "p_brand")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    g = li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy(F.col("l_orderkey").alias("record")).agg(F.countDistinct("p_brand").alias("hits"))
-    return g.where("hits >= 2")
+    """Records by the entities a query names: rare ones weigh more, several of them more than their sum."""
+    p = table(spark, d, "part").where(F.col("p_brand").isin("Brand#2", "Brand#17", "Brand#9")).select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("e"))
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record"), "l_partkey").join(p, "l_partkey").select("record", "e").distinct()
+    idf = b.groupBy("e").agg((1 / F.log(2 + F.count("*"))).alias("idf"))
+    w = b.join(F.broadcast(idf), "e").groupBy("record").agg((F.sum("idf") * (1 + 0.5 * (F.count("*") - 1))).alias("w"))  # a row an entity named
+    return w.select("record", F.round(F.col("w") / (1 + F.col("w")), 6).alias("score"))
 
 
 @query("analogy_search", rf"{K}, t AS (SELECT id, project, list_distinct({TOK.format('content')}) AS s FROM knowledge), q AS (SELECT s, project FROM t WHERE id = 0) SELECT t.id, round(len(list_intersect(t.s, q.s))::DOUBLE / len(list_distinct(list_concat(t.s, q.s))), 6) AS similarity FROM t, q WHERE t.project <> q.project AND len(list_intersect(t.s, q.s))::DOUBLE / len(list_distinct(list_concat(t.s, q.s))) >= 0.1")
