@@ -69,3 +69,55 @@ def tag_period(tag: Column) -> Column:
         .when(tag.rlike(r"^\d{4}$"), F.to_date(F.concat(tag, F.lit("-01-01"))))
         .when(quarter != "", F.make_date(F.regexp_extract(tag, r"-(\d{4})$", 1).try_cast("int"), quarter.try_cast("int") * 3 - 2, F.lit(1)))
     )
+
+
+def event_time(said: Column, observed: Column) -> Column:
+    """first, last and precision of a time expression said on a day; nulls and "unknown" for what isn't one."""
+    text = F.lower(F.trim(said))
+    monday = F.to_date(F.date_trunc("week", observed))
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")).when(text == "today", observed).when(text == "yesterday", F.date_sub(observed, 1)).when(text == "tomorrow", F.date_add(observed, 1))
+    month = F.when(text.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.to_date(F.concat(text, F.lit("-01"))))
+    year = F.when(text.rlike(r"^\d{4}$"), F.to_date(F.concat(text, F.lit("-01-01")))).when(text == "last year", F.make_date(F.year(observed) - 1, F.lit(1), F.lit(1)))
+    week = F.when(text == "this week", monday).when(text == "last week", F.date_sub(monday, 7))
+    precision = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").when(year.isNotNull(), "year").when(week.isNotNull(), "week").otherwise("unknown")
+    last = F.coalesce(day, F.last_day(month), F.make_date(F.year(year), F.lit(12), F.lit(31)), F.date_add(week, 6))
+    return F.struct(F.coalesce(day, month, year, week).alias("first"), last.alias("last"), precision.alias("precision"))
+
+
+def tag_range(tag: Column) -> Column:
+    """first and last day of YYYY, YYYY-MM or Qn-YYYY; null for other tags."""
+    first = tag_period(tag)
+    last = F.when(tag.rlike(r"^\d{4}$"), F.make_date(F.year(first), F.lit(12), F.lit(31))).when(tag.startswith("Q"), F.last_day(F.add_months(first, 2))).otherwise(F.last_day(first))
+    return F.when(first.isNotNull(), F.struct(first.alias("first"), last.alias("last")))
+
+
+def best_range(content: Column, tags: Column) -> Column:
+    """first, last and source of the dates of a record: the stamp it opens with, else the span of ISO dates it names, else that of its tags."""
+    stamp = F.try_to_date(F.regexp_extract(content, r"^\s*\[(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    named = F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)), lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda x: x.isNotNull())
+    ranges = F.filter(F.transform(tags, tag_range), lambda x: x.isNotNull())
+    of = lambda a, b, source: F.struct(a.alias("first"), b.alias("last"), F.lit(source).alias("source"))
+    return (
+        F.when(stamp.isNotNull(), of(stamp, stamp, "entry")).when(F.size(named) > 0, of(F.array_min(named), F.array_max(named), "content"))
+        .when(F.size(ranges) > 0, of(F.array_min(F.transform(ranges, lambda r: r["first"])), F.array_max(F.transform(ranges, lambda r: r["last"])), "tag"))
+    )
+
+
+def interval(start: Column, end: Column, closed_start: Column, closed_end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), closed_start.alias("closed_start"), closed_end.alias("closed_end"))
+
+
+def interval_kind(i: Column) -> Column:
+    """interval, instant (no length, both ends closed) or invalid."""
+    both = i["closed_start"] & i["closed_end"]
+    return F.when((i["end"] < i["start"]) | ((i["end"] == i["start"]) & ~both), "invalid").when(i["end"] == i["start"], "instant").otherwise("interval")
+
+
+def holds(i: Column, point: Column) -> Column:
+    """Whether a point lies in an interval."""
+    return ((point > i["start"]) | ((point == i["start"]) & i["closed_start"])) & ((point < i["end"]) | ((point == i["end"]) & i["closed_end"]))
+
+
+def canonical_time(raw: Column) -> Column:
+    """ISO timestamps with a blank or T, with Z, an offset or neither (then UTC), as a timestamp; null for other texts."""
+    return F.try_to_timestamp(F.replace(F.trim(raw), F.lit(" "), F.lit("T")))

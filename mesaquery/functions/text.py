@@ -82,9 +82,16 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(t, r"\b[0-9]{9,}\b", "[NUMBER]")
 
 
-def strip_private(text: Column) -> Column:
+PRIVATE = r"(?s)<private>.*?</private>"
+
+
+def strip_private(text: Column, placeholder: str = "") -> Column:
     """Without sections between <private> and </private>."""
-    return F.regexp_replace(text, r"(?s)<private>.*?</private>", "")
+    return F.regexp_replace(text, PRIVATE, placeholder)
+
+
+def count_private(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(PRIVATE))
 
 
 def strip_ansi(text: Column) -> Column:
@@ -133,3 +140,35 @@ def content_kind(text: Column) -> Column:
         .when(text.rlike(r"(?m)^\s*(def|class|import|function|#include)\b"), "code")
         .otherwise("text")
     )
+
+
+#: Prepositions that open a modifier after a value ("at 9:30 on Mondays"): fixed values.
+MODIFIERS = tuple("on in at for from since until till every each during after before per with without via within near starting".split())
+
+
+def statement_tokens(text: Column) -> Column:
+    """Words of a statement, compounds such as 9:30 or a/b whole, case folded."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+(?:[./:-][\p{L}\p{N}_]+)*"), F.lit(0))
+
+
+def updates_value(new: Column, old: Column) -> Column:
+    """Whether one statement (as tokens) gives another value for what the other states.
+
+    They open with the same two words at least, differ in one run of up to eight
+    words without a common one, and end alike in a word at most, or in up to six
+    that a preposition opens; what they share is half of the longer one at least.
+    """
+    n, m = F.size(new), F.size(old)
+    least = F.least(n, m)
+    # the first place where they differ, from the front and from the back
+    def run(a: Column, b: Column, most: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), most))
+        return F.when(most < 1, 0).otherwise(F.coalesce(F.get(F.filter(places, lambda i: ~F.get(a, i - 1).eqNullSafe(F.get(b, i - 1))), F.lit(0)) - 1, most))
+
+    prefix = run(new, old, least)
+    suffix = run(F.reverse(new), F.reverse(old), least - prefix)
+    value = lambda t, k: F.slice(t, prefix + 1, F.greatest(F.lit(0), k - suffix - prefix))
+    a, b = value(new, n), value(old, m)
+    tail = (suffix <= 1) | ((suffix <= 6) & F.get(new, n - suffix).isin(*MODIFIERS))
+    short = F.size(a).between(1, 8) & F.size(b).between(1, 8)
+    return (prefix >= 2) & tail & short & ~F.arrays_overlap(a, b) & (2 * (prefix + suffix) >= F.greatest(n, m))

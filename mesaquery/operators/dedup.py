@@ -15,27 +15,55 @@ def exact_duplicates(docs: DataFrame, id_: str, key: Column) -> DataFrame:
     return k.join(k.groupBy("_k").agg(F.min("id").alias("keeper")), "_k").select("id", "keeper")
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, id_: str = "id", items: str = "items") -> DataFrame:
-    """(a, b, similarity), a < b: pairs of distinct sets with Jaccard similarity of at least the threshold.
-
-    Prefix filter: items are ordered from rare to frequent, and two sets that are
-    similar enough share an item among their first n - ceil(t * n) + 1. Equal
-    sets count once (by their smallest id), so copies cost nothing.
+def jaccard_pairs(sets: DataFrame, threshold: float, id_: str = "id", items: str = "items", block: str | None = None, strict: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of distinct sets with Jaccard similarity of at least the threshold (above it if ``strict``).
+
+    Items travel as 64-bit hashes. Prefix filter: they are ordered from rare to
+    frequent, and two sets that are similar enough share an item among their first
+    n - ceil(t * n) + 1. Candidates must pass two bounds before whole sets are
+    read: sizes near enough, and enough items left after the place where the
+    prefixes meet. Equal sets count once (by their smallest id), so copies cost
+    nothing; ``block`` (a column) keeps pairs within groups.
     """
-    d = sets.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(items)).alias("s")).where(F.size("s") > 0)
-    d = d.groupBy("s").agg(F.min("id").alias("id"))
+    group = F.col(block) if block else F.lit(0)
+    d = sets.select(F.col(id_).alias("id"), group.alias("g"), F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
+    d = d.groupBy("g", "s").agg(F.min("id").alias("id"))
     freq = d.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
-    ordered = d.select("id", F.explode("s").alias("x")).join(freq, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
-    ordered = ordered.select("id", F.transform("o", lambda e: e["x"]).alias("o")).withColumn("n", F.size("o"))
-    keep = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "x"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x")
-    close = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    cand = a.join(b, "x").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    ordered = d.select("id", "g", F.explode("s").alias("x")).join(freq, "x").groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
+    n = F.size("o")
+    keep = (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")
+    prefix = ordered.select("id", "g", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "e")).select("id", "g", "n", "p", F.col("e.x").alias("x"))
+    prefix = prefix.join(freq.where("f > 1").select("x"), "x", "left_semi")  # an item of one set alone meets nothing
+    a, b = (prefix.select(F.col("id").alias(k), "g", F.col("n").alias(f"n{k}"), F.col("p").alias(f"p{k}"), "x") for k in "ab")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    # the bound holds for the first item that two prefixes share; later ones of the pair are no worse than it
+    cand = a.join(b, ["g", "x"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.max(room).alias("room"), F.first(need).alias("need")).where("room >= need").select("a", "b")
     left, right = d.select(F.col("id").alias("a"), F.col("s").alias("sa")), d.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = cand.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    out = cand.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of similar word sets within a ``block``, (id, rep)): a set goes by its smallest id, and every record by its set.
+
+    Copies have the neighbours of their set, so nothing is lost by not pairing them.
+    """
+    s = sets.select("id", "block", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("s"))
+    rep = s.groupBy("block", "s").agg(F.min("id").alias("rep"))
+    return jaccard_pairs(sets, threshold, block="block", strict=True).select("a", "b"), s.join(rep, ["block", "s"]).select("id", "rep")
+
+
+def consolidate(records: DataFrame, threshold: float) -> DataFrame:
+    """(id, keeper, members, status) of records (id, block, items, n) in greedy groups: the longest (by ``n``, then the first) is kept."""
+    from .grouping import greedy_groups
+
+    links, of = similar_sets(records, threshold)
+    lead = greedy_groups(links).withColumnRenamed("id", "rep")
+    g = of.join(lead, "rep", "left").select("id", F.coalesce("leader", "rep").alias("leader")).join(records.select("id", "n"), "id")
+    keep = g.groupBy("leader").agg(F.max_by("id", F.struct(F.col("n"), -F.col("id"))).alias("keeper"), F.count("*").alias("members")).where("members > 1")
+    return g.join(keep, "leader").select("id", "keeper", "members", F.when(F.col("id") == F.col("keeper"), "active").otherwise("consolidated").alias("status"))
 
 
 def same_values(a: Column, b: Column) -> Column:

@@ -68,3 +68,44 @@ def daily_series(events: DataFrame, at: str, group: str, first: str, last: str)
     counts = events.groupBy(F.col(group), F.to_date(at).alias("day")).agg(F.count("*").alias("n"))
     days = events.select(group).distinct().withColumn("day", F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))))
     return days.join(counts, [group, "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def topic_episodes(records: DataFrame, key: str, at: str, vector: str, tags: str, gap_seconds: int = 3600, drop: float = 0.30, ties: str = "id") -> DataFrame:
+    """Add episode: a number that rises at a silence, a drop in cosine of more than ``drop``, or where neighbours share no tag; each only where both sides have what it needs."""
+    from ..functions import scoring as S
+
+    w = W.partitionBy(key).orderBy(at, ties)
+    r = records.withColumn("_t", F.lag(at).over(w)).withColumn("_v", F.lag(vector).over(w)).withColumn("_g", F.lag(tags).over(w))
+    silent = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")) > gap_seconds * 1_000_000
+    turned = 1 - S.cosine(S.as_double(F.col(vector)), S.as_double(F.col("_v"))) > drop
+    others = (F.size("_g") > 0) & (F.size(tags) > 0) & ~F.arrays_overlap("_g", tags)
+    start = F.when(F.col("_t").isNull() | F.coalesce(silent, F.lit(False)) | F.coalesce(turned, F.lit(False)) | F.coalesce(others, F.lit(False)), 1).otherwise(0)
+    return r.withColumn("_s", start).withColumn("episode", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_s", "_t", "_v", "_g")
+
+
+def chains(pointers: DataFrame) -> DataFrame:
+    """(id, origin, latest, depth) from pointers (id, next): both ends of each record's chain and its distance from the origin.
+
+    Pointers are doubled: a chain of n records takes log n rounds of equi-joins.
+    Records that form a ring have no end; their rounds stop when steps outgrow the table.
+    """
+    from .shared import cut
+
+    p = cut(pointers.select("id", "next"))
+    n = p.count()
+
+    def ends(of: DataFrame) -> DataFrame:
+        step = cut(of.where("next IS NOT NULL").select("id", F.col("next").alias("far"), F.lit(1).cast("long").alias("steps")))
+        reach = 1
+        while reach < n:
+            onward = step.select(F.col("id").alias("far"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
+            j = step.join(onward, "far", "left")
+            if j.where("_far IS NOT NULL").isEmpty():
+                break
+            step = cut(j.select("id", F.coalesce("_far", "far").alias("far"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+            reach *= 2
+        return step
+
+    down = ends(p).select("id", F.col("far").alias("latest"))
+    up = ends(p.where("next IS NOT NULL").select(F.col("next").alias("id"), F.col("id").alias("next"))).select("id", F.col("far").alias("origin"), F.col("steps").alias("depth"))
+    return p.select("id").join(down, "id", "left").join(up, "id", "left").select("id", F.coalesce("origin", "id").alias("origin"), F.coalesce("latest", "id").alias("latest"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))

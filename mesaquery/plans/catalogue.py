@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evidence, facts, graphs, lifecycle, relational, reports, retrieval, rules, streams, tiers, workflows  # noqa: F401
+from . import evidence, facts, graphs, lifecycle, relational, reports, retrieval, rules, streams, tiers, upkeep, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

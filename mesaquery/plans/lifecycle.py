@@ -115,13 +115,6 @@ def confidence_decay(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(F.greatest(F.lit(0.05), F.col("c_acctbal") / 10000 * stale), 9).alias("confidence"))
 
 
-@query("group_consolidation", f"{K}, h AS (SELECT id, length(content) AS n, sha256(substr(regexp_replace(lower(trim(content)), '\\s+', ' ', 'g'), 1, 40)) AS h FROM knowledge) SELECT h AS key, arg_max(id, (n, -id)) AS keeper, count(*) AS members FROM h GROUP BY h HAVING count(*) > 1")
-def group_consolidation(spark, d):
-    """Of records that begin alike the longest is kept."""
-    k = knowledge(spark, d).select("id", F.length("content").alias("n"), F.sha2(F.substring(T.normalised(F.col("content")), 1, 40), 256).alias("key"))
-    return k.groupBy("key").agg(F.max_by("id", F.struct(F.col("n"), -F.col("id"))).alias("keeper"), F.count("*").alias("members")).where("members > 1")
-
-
 @query("hard_erase", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 def hard_erase(spark, d):
     """A snapshot without the dependants of erased rows."""
