@@ -91,7 +91,12 @@ def boolean_filter(query: str, text: Column) -> Column:
         return out
 
 
+#: Days of a unit, and how far off "N units ago" may be; days that "recently" covers: fixed values.
 _UNITS = {"day": 1, "week": 7, "month": 30, "year": 365}
+_SLACK = {"day": 1, "week": 3, "month": 7, "year": 30}
+RECENT = 60
+_NUMBERS = {w: n for n, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"a": 1, "an": 1, "couple": 2, "few": 3, "several": 3}
+_NUMBER = r"(?:\d{1,3}|" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
 _MONTHS = "january february march april may june july august september october november december".split()
 _DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 _SEASONS = {"spring": (3, 5), "summer": (6, 8), "autumn": (9, 11), "fall": (9, 11), "winter": (12, 2)}
@@ -102,44 +107,95 @@ def _month(year: int, month: int) -> tuple[date, date]:
     return date(year, month, 1), following - timedelta(days=1)
 
 
+def _named_month(name: str) -> int | None:
+    """The number of a month by its name or first letters (three at least)."""
+    return next((i for i, m in enumerate(_MONTHS, 1) if len(name) >= 3 and m.startswith(name)), None)
+
+
+def _count(word: str | None) -> int:
+    return 1 if not word else int(word) if word.isdigit() else _NUMBERS[word]
+
+
 def date_ranges(query: str, today: date) -> list[tuple[date, date]]:
-    """Date ranges that a query names, both ends included; relative ones are counted from ``today``."""
+    """Date ranges that a query names, both ends included; relative ones are counted back from ``today``.
+
+    "N units ago" is that day, give or take the unit's slack, or from there to
+    today after "since"; "last month" and "past two weeks" are the days up to
+    today, "this week" begins at its first day.
+    """
     q, out = query.lower(), []
-    for y, m, d in re.findall(r"\b(\d{4})-(\d{2})-(\d{2})\b", q):
+
+    def add(lo, hi=None) -> None:
         try:
-            out.append((date(int(y), int(m), int(d)),) * 2)
+            a = lo() if callable(lo) else lo
+            out.append((a, (hi() if callable(hi) else hi) or a))
         except ValueError:
-            pass
-    for n, unit in re.findall(r"\b(\d+|a|an) (day|week|month|year)s? ago\b", q):
-        mid = today - timedelta(days=_UNITS[unit] * (1 if n in ("a", "an") else int(n)))
-        slack = timedelta(days={"day": 0, "week": 3, "month": 15, "year": 182}[unit])
-        out.append((mid - slack, mid + slack))
-    for word, shift in (("today", 0), ("yesterday", -1), ("tomorrow", 1)):
-        if re.search(rf"\b{word}\b", q):
-            out.append((today + timedelta(days=shift),) * 2)
-    for which, unit in re.findall(r"\b(last|this|next) (week|month|year)\b", q):
-        step = {"last": -1, "this": 0, "next": 1}[which]
-        if unit == "week":
-            monday = today - timedelta(days=today.weekday()) + timedelta(weeks=step)
-            out.append((monday, monday + timedelta(days=6)))
-        elif unit == "month":
-            n = today.year * 12 + today.month - 1 + step
-            out.append(_month(n // 12, n % 12 + 1))
+            pass  # no such day
+
+    back = lambda n, unit: today - timedelta(days=n * _UNITS[unit])
+    for since, n, unit in re.findall(rf"\b(?:(since)\b[^.?!]{{0,40}}?)?\b({_NUMBER})(?: of)? (day|week|month|year)s? ago\b", q):
+        mid, slack = back(_count(n), unit), timedelta(days=_SLACK[unit])
+        add(mid - slack, today if since else mid + slack)
+    for which, n, unit in re.findall(rf"\b(last|past|previous|this) (?:({_NUMBER})(?: of)? )?(day|week|month|year)s?\b", q):
+        if which == "this":
+            add({"day": today, "week": today - timedelta(days=today.weekday()), "month": today.replace(day=1), "year": today.replace(month=1, day=1)}[unit], today)
         else:
-            out.append((date(today.year + step, 1, 1), date(today.year + step, 12, 31)))
+            add(back(_count(n), unit), today)
+    for word, days in (("yesterday", (1, 1)), ("today", (0, 0)), ("the other day", (7, 0)), ("recently", (RECENT, 0)), ("lately", (RECENT, 0))):
+        if re.search(rf"\b{word}\b", q):
+            add(today - timedelta(days=days[0]), today - timedelta(days=days[1]))
     for name in re.findall(rf"\blast ({'|'.join(_DAYS)})\b", q):
-        back = (today.weekday() - _DAYS.index(name) - 1) % 7 + 1
-        out.append((today - timedelta(days=back),) * 2)
-    for name, y in re.findall(rf"\b({'|'.join(_MONTHS)}),? (\d{{4}})\b", q):
-        out.append(_month(int(y), _MONTHS.index(name) + 1))
+        add(today - timedelta(days=(today.weekday() - _DAYS.index(name) - 1) % 7 + 1))
+    for y, m, d in re.findall(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", q):
+        add(lambda y=y, m=m, d=d: date(int(y), int(m), int(d)))
+    named: list[str] = []
+    for d, name, y in re.findall(r"\b(\d{1,2})(?:st|nd|rd|th)? (?:of )?([a-z]{3,9}),? (\d{4})\b", q):
+        if (m := _named_month(name)) and not named.append(f"{name}{y}"):
+            add(lambda y=y, m=m, d=d: date(int(y), m, int(d)))
+    for name, d, y in re.findall(r"\b([a-z]{3,9}) (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})\b", q):
+        if (m := _named_month(name)) and not named.append(f"{name}{y}"):
+            add(lambda y=y, m=m, d=d: date(int(y), m, int(d)))
+    for name, y in re.findall(r"\b([a-z]{3,9}),? (\d{4})\b", q):
+        if (m := _named_month(name)) and f"{name}{y}" not in named:
+            add(*_month(int(y), m))
     for name, y in re.findall(rf"\b({'|'.join(_SEASONS)}),? (\d{{4}})\b", q):
         a, b = _SEASONS[name]
-        out.append((date(int(y), a, 1), date(int(y) + (b < a), b, 28)))
+        add(date(int(y), a, 1), date(int(y) + (b < a), b, 28))
     if not out:
-        out += [(date(int(y), 1, 1), date(int(y), 12, 31)) for y in re.findall(r"\b(?:in|during|since) ((?:19|20)\d{2})\b", q)]
+        for y in re.findall(r"(?<![\d-])((?:19|20)\d{2})(?![\d-])", q):
+            add(date(int(y), 1, 1), date(int(y), 12, 31))
     return out
 
 
+def relative_day(phrase: str, said: date) -> str | None:
+    """What a relative phrase denotes, said on a day: a day, a week relative to it, a month or a year; None for other phrases."""
+    p = " ".join(phrase.lower().split())
+    name = lambda d: f"{d:%a} {d.day} {d:%B %Y}"
+    days = {"today": 0, "tonight": 0, "yesterday": -1, "last night": -1, "tomorrow": 1, "the day before yesterday": -2}
+    if p in days:
+        return name(said + timedelta(days=days[p]))
+    if m := re.fullmatch(r"(last|next) (week|month|year)", p):
+        step = 1 if m[1] == "next" else -1
+        if m[2] == "week":
+            return f"the week {'after' if step > 0 else 'before'} {name(said)}"
+        n = said.year * 12 + said.month - 1 + step
+        return f"{date(n // 12, n % 12 + 1, 1):%B %Y}" if m[2] == "month" else str(said.year + step)
+    if m := re.fullmatch(rf"(last|next) ({'|'.join(_DAYS)})", p):
+        there = _DAYS.index(m[2])
+        if m[1] == "last":
+            return name(said - timedelta(days=(said.weekday() - there - 1) % 7 + 1))
+        return name(said + timedelta(days=(there - said.weekday() - 1) % 7 + 1))
+    if m := re.fullmatch(rf"({_NUMBER}) (day|week|month|year)s? ago", p):
+        n = _count(m[1])
+        if m[2] == "day":
+            return name(said - timedelta(days=n))
+        if m[2] == "week":
+            return f"the week before {name(said)}" if n == 1 else f"about {n} weeks before {name(said)}"
+        k = said.year * 12 + said.month - 1 - n
+        return f"around {date(k // 12, k % 12 + 1, 1):%B %Y}" if m[2] == "month" else f"around {said.year - n}"
+    return None
+
+
 def intent(query: str) -> str:
     """ordering, historical, debug, relational, factual or search, by the query's shape."""
     q = query.lower()

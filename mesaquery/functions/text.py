@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -172,3 +173,31 @@ def updates_value(new: Column, old: Column) -> Column:
     tail = (suffix <= 1) | ((suffix <= 6) & F.get(new, n - suffix).isin(*MODIFIERS))
     short = F.size(a).between(1, 8) & F.size(b).between(1, 8)
     return (prefix >= 2) & tail & short & ~F.arrays_overlap(a, b) & (2 * (prefix + suffix) >= F.greatest(n, m))
+
+
+def glob(text: Column, pattern: str) -> Column:
+    """A shell pattern over the whole text: * any run, ? one character, [a-z] and [^a-z] sets; case counts."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif end > 0:
+            inner = pattern[i + 1 : end]
+            out += "[" + ("^" if inner[0] in "^!" else "") + re.sub(r"([\\\[&])", r"\\\1", inner.lstrip("^!")) + "]"
+            i = end
+        else:
+            out += re.escape(c)
+        i += 1
+    return text.rlike(rf"(?s)\A{out}\z")
+
+
+def verbosity(question: Column) -> Column:
+    """compact, summary or full: paths, addresses, line numbers, code and many clauses ask for everything, few words for little."""
+    q = F.trim(question)
+    n = F.size(F.split(q, r"\s+"))
+    whole = q.rlike(r"(^|\s)[/~]\S*") | q.rlike(r"https?://\S+") | q.rlike(r"\bline\s+\d+|\b:\d{2,}\b") | q.rlike(r"\w\(\)|::") | q.rlike(r"(?i)\band\b.+\band\b")
+    return F.when(F.coalesce(q, F.lit("")) == "", "compact").when(whole | (n >= 10), "full").when(n <= 3, "compact").otherwise("summary")

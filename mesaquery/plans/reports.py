@@ -224,7 +224,9 @@ def mass_shares(spark, d):
     return g.select("tool", F.round(F.col("s") / F.sum("s").over(W.partitionBy(F.lit(1))) * 0.9, 6).alias("mass"))
 
 
-@query("evidence_combination")
+@query("evidence_combination", f"""WITH RECURSIVE {C.removeprefix('WITH ')}, g AS (SELECT actor, tool, count(*) FILTER (WHERE ok)::DOUBLE / (count(*) + 1) AS a, count(*) FILTER (WHERE NOT ok)::DOUBLE / (count(*) + 1) AS b, row_number() OVER (PARTITION BY actor ORDER BY tool) AS i FROM calls GROUP BY 1, 2),
+f AS (SELECT actor, i, a, b FROM g WHERE i = 1 UNION ALL SELECT g.actor, g.i, (f.a * g.a + f.a * (1 - g.a - g.b) + (1 - f.a - f.b) * g.a) / (1 - f.a * g.b - f.b * g.a), (f.b * g.b + f.b * (1 - g.a - g.b) + (1 - f.a - f.b) * g.b) / (1 - f.a * g.b - f.b * g.a) FROM f JOIN g ON g.actor = f.actor AND g.i = f.i + 1)
+SELECT actor, round(arg_max(a, i), 6) AS ok_mass, round(arg_max(b, i), 6) AS failed_mass FROM f GROUP BY actor""")
 def evidence_combination(spark, d):
     """Dempster's rule over each actor's tools, as a fold of two-hypothesis masses (ok, failed, unknown).
 

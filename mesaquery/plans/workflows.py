@@ -24,11 +24,11 @@ def boolean_search(spark, d):
     return knowledge(spark, d).where(Q.boolean_filter('license "version 2" OR (reserved NOT the)', F.col("content"))).select("id")
 
 
-@query("date_filter", f"{K} SELECT id FROM knowledge WHERE created_at::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' OR created_at::DATE = DATE '2024-02-01'")
+@query("date_filter", f"{K} SELECT id FROM knowledge WHERE created_at::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-17' OR created_at::DATE BETWEEN DATE '2023-12-31' AND DATE '2024-01-06' OR created_at::DATE = DATE '2024-02-01' OR created_at::DATE = DATE '2024-01-28'")
 def date_filter(spark, d):
     """Records whose date a query's phrases name."""
     keep = F.lit(False)
-    for lo, hi in Q.date_ranges("what was said last week or on 2024-02-01", date(2024, 1, 17)):
+    for lo, hi in Q.date_ranges("what was said last week, two weeks ago, on 2024-02-01 or on 28 Jan 2024", date(2024, 1, 17)):
         keep = keep | F.to_date("created_at").between(F.lit(lo), F.lit(hi))
     return knowledge(spark, d).where(keep).select("id")
 
@@ -198,7 +198,10 @@ def passage_ranking(spark, d):
     return R.top_k(R.bm25(p, q, id_="pid", text="passage"), 3).select("query_id", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("platt_fit")
+_NEWTON = ", ".join(f"s{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((p - y) * x) AS g1, sum(p - y) AS g0, sum(p * (1 - p) * x * x) AS h11, sum(p * (1 - p) * x) AS h10, sum(p * (1 - p)) AS h00 FROM (SELECT x, y, a, b, 1 / (1 + exp(-(a * x + b))) AS p FROM xy, p{i})), p{i + 1} AS (SELECT a - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS a, b - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS b FROM s{i})" for i in range(8))
+
+
+@query("platt_fit", f"{C}, xy AS (SELECT duration_ms / 100 AS x, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END AS y FROM calls), p0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), {_NEWTON} SELECT round(a, 6) AS slope, round(b, 6) AS shift FROM p8")
 def platt_fit(spark, d):
     """Slope and shift of a logistic calibration by Newton steps; each is one aggregate of five sums over all rows."""
     c = tool_calls(spark, d).select((F.col("duration_ms") / 100).alias("x"), F.col("ok").cast("double").alias("y"))

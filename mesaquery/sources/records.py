@@ -1,12 +1,14 @@
 """Readers of record files and exports, and the idempotent import sink.
 
 Every reader returns (source_id, role, content, created_at) or says otherwise;
-schemas are declared, never inferred; rows that don't parse are kept apart.
+schemas are declared, never inferred; rows that don't parse are kept apart. An
+export that is one JSON document is read by one task; the same records as JSON
+lines (``one_document=False``) are read in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,16 +34,16 @@ _MESSAGE = "struct<author:struct<role:string>,content:struct<parts:array<string>
 _TREE = f"id string, title string, current_node string, mapping map<string,struct<id:string,parent:string,message:{_MESSAGE}>>"
 
 
-def read_chat_tree(spark: SparkSession, path: str) -> DataFrame:
+def read_chat_tree(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Chat exports that hold a tree of messages: the thread from the current node up to the root, oldest first.
 
     The walk is a fold over one conversation's map; its length is the number of nodes.
     """
-    conv = spark.read.schema(_TREE).option("multiLine", True).json(path)
+    conv = spark.read.schema(_TREE).option("multiLine", one_document).json(path)
     node = lambda i: F.try_element_at("mapping", i)
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.map_keys("mapping"))))
     start = F.struct(F.coalesce("current_node", F.lit("")).alias("at"), F.array().cast("array<string>").alias("path"))
-    walk = F.aggregate(steps, start, lambda a, _: F.when(node(a["at"]).isNull(), a).otherwise(F.struct(F.coalesce(node(a["at"])["parent"], F.lit("")).alias("at"), F.concat(F.array(a["at"]), a["path"]).alias("path"))), lambda a: a["path"])
+    walk = F.aggregate(steps, start, lambda a, _: F.when(node(a["at"]).isNull(), a).otherwise(F.struct(F.coalesce(node(a["at"])["parent"], F.lit("")).alias("at"), F.concat(a["path"], F.array(a["at"])).alias("path"))), lambda a: F.reverse(a["path"]))
     rows = conv.select(F.col("id").alias("source_id"), "mapping", F.posexplode(walk).alias("turn", "_n")).withColumn("_m", F.try_element_at("mapping", F.col("_n"))["message"])
     out = rows.select("source_id", "turn", F.col("_m.author.role").alias("role"), F.array_join("_m.content.parts", "\n").alias("content"), F.timestamp_seconds("_m.create_time").alias("created_at"))
     return out.where(F.length(F.trim("content")) > 0)
@@ -50,22 +52,22 @@ def read_chat_tree(spark: SparkSession, path: str) -> DataFrame:
 _FLAT = "uuid string, name string, chat_messages array<struct<sender:string,text:string,created_at:string>>"
 
 
-def read_chat_list(spark: SparkSession, path: str) -> DataFrame:
+def read_chat_list(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Chat exports that hold flat message lists."""
-    conv = spark.read.schema(_FLAT).option("multiLine", True).json(path)
+    conv = spark.read.schema(_FLAT).option("multiLine", one_document).json(path)
     rows = conv.select(F.col("uuid").alias("source_id"), F.posexplode("chat_messages").alias("turn", "m"))
     return rows.select("source_id", "turn", F.col("m.sender").alias("role"), F.col("m.text").alias("content"), F.to_timestamp("m.created_at").alias("created_at")).where(F.length(F.trim("content")) > 0)
 
 
-def read_memory_export(spark: SparkSession, path: str) -> DataFrame:
+def read_memory_export(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Memory lists: objects with memory (or text), user_id and created_at."""
-    m = spark.read.schema("id string, memory string, text string, user_id string, created_at string").option("multiLine", True).json(path)
+    m = spark.read.schema("id string, memory string, text string, user_id string, created_at string").option("multiLine", one_document).json(path)
     return m.select(F.col("id").alias("source_id"), F.lit("user").alias("role"), F.coalesce("memory", "text").alias("content"), F.to_timestamp("created_at").alias("created_at")).where("content IS NOT NULL")
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(path, front, ordinal, heading, content): notes of a folder tree, front matter apart, split at headings."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("path", F.col("_metadata.file_path"))
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
     parts = F.split(body, r"(?m)^(?=#{1,6} )")
@@ -99,3 +101,17 @@ def export_markdown(records: DataFrame, path: str) -> None:
     """Markdown files, a folder a project, a section a record."""
     text = F.concat(F.lit("## "), F.coalesce("type", F.lit("note")), F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
     records.select("project", text.alias("value")).write.mode("overwrite").partitionBy("project").text(path)
+
+
+def manifest(records: DataFrame, by: str, line: Column) -> DataFrame:
+    """(file, records, bytes, digest) of an export with a file a value of ``by``: the digest joins the records' SHA-256 (60 bits each) by exclusive or, whatever their order."""
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
+    return records.groupBy(F.col(by).alias("file")).agg(F.count("*").alias("records"), F.sum(F.octet_length(line).cast("long") + 1).alias("bytes"), F.bit_xor(part).alias("digest"))
+
+
+def dispatch(spark: SparkSession, path: str, most_bytes: int = 50_000_000) -> DataFrame:
+    """(name, bytes, handler) of the files of a folder, contents unread: too large ones are refused, others go by their extension."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"))
+    ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    kind = F.when(ext.isin("md", "txt"), "text").when(ext.isin("json", "jsonl"), "records").when(ext.isin("py", "go", "js", "ts", "rs", "java"), "code").when(ext.isin("html", "htm"), "page").when(ext.isin("csv", "parquet"), "table").otherwise("unknown")
+    return files.select("name", "bytes", F.when(F.col("bytes") > most_bytes, "refused").otherwise(kind).alias("handler"))

@@ -1,7 +1,8 @@
 """Operators on hand-made inputs."""
 
 import json
-from datetime import datetime
+import re
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,7 +85,37 @@ def test_passages_keep_every_character(spark):
     text = "One. Two two! " + "x" * 1000 + ". End\nlast"
     d = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, content string")
     rows = sorted((r.ordinal, r.passage) for r in retrieval.passages(d, 40).collect())
-    assert "".join(p for _, p in rows) == text
+    assert "".join(p for _, p in rows) == text and all(len(p) <= 40 for _, p in rows)
+
+
+def test_passages_by_speaker(spark):
+    text = "user: one. Two two! three\nassistant: " + "word. " * 30 + "\nuser: end"
+    d = spark.createDataFrame([(1, text)], "id long, content string")
+    rows = [tuple(r) for r in retrieval.passages(d, 60).orderBy("ordinal").select("ordinal", "speaker", "passage").collect()]
+    want, start = [], 0
+    marks = [m.start() for m in re.finditer(r"(?m)^(?:user|assistant):", text)] + [len(text)]
+    for a, b in zip(marks, marks[1:]):
+        start = a
+        while start < b:
+            end = min(start + 60, b)
+            if end < b:
+                cut = max(text.rfind("\n", start, end), text.rfind(". ", start, end))
+                end = cut + 1 if cut > start else end
+            want.append((len(want), text[a:b].split(":")[0], text[start:end]))
+            start = end
+    assert rows == [w for w in want if w[2].strip()]
+
+
+def test_excerpts_and_packing(spark):
+    from mesaquery.operators import evidence
+
+    text = "Head of it. " + "filler words here. " * 60 + "The treasure is buried. " + "more filler. " * 60
+    cut = evidence.excerpt(text, "where is the treasure", 500)
+    assert "treasure" in cut and len(cut) <= 500 and evidence.excerpt("short", "q", 10) == "short"
+    assert evidence.excerpt("a" * 100, "q", 25).startswith("aaa") and len(evidence.excerpt("a" * 100, "q", 25)) == 25
+    assert evidence.shares([10, 1000, 1000], [1.0, 1.0, 0.5], 610) == [10, 400, 200] and evidence.shares([5], [1.0], 100) == [5]
+    assert evidence.annotated("we met yesterday, not yesterday [x]", date(2024, 3, 1)) == "we met yesterday [Thu 29 February 2024], not yesterday [x]"
+    assert evidence.annotated(None, date(2024, 3, 1)) is None
 
 
 def test_text_functions_on_nulls(spark):
@@ -147,13 +178,19 @@ def test_boolean_expressions(spark):
 
 
 def test_query_text():
-    from datetime import date
-
     from mesaquery.functions import query_text as Q
 
     day = date(2024, 3, 13)
     assert Q.date_ranges("yesterday", day) == [(date(2024, 3, 12),) * 2]
-    assert Q.date_ranges("last month", day) == [(date(2024, 2, 1), date(2024, 2, 29))]
+    assert Q.date_ranges("last month", day) == [(date(2024, 2, 12), day)]
+    assert Q.date_ranges("three weeks ago", day) == [(date(2024, 2, 18), date(2024, 2, 24))]
+    assert Q.date_ranges("since about a couple of days ago", day) == [(date(2024, 3, 10), day)]
+    assert Q.date_ranges("past two weeks", day) == [(date(2024, 2, 28), day)] and Q.date_ranges("this week", day) == [(date(2024, 3, 11), day)]
+    assert Q.date_ranges("on 8 May, 2023 or may 9th 2023", day) == [(date(2023, 5, 8),) * 2, (date(2023, 5, 9),) * 2]
+    assert Q.date_ranges("in May 2023", day) == [(date(2023, 5, 1), date(2023, 5, 31))] and Q.date_ranges("in 2021", day) == [(date(2021, 1, 1), date(2021, 12, 31))]
+    assert Q.date_ranges("recently", day) == [(date(2024, 1, 13), day)] and Q.date_ranges("on 2024-02-31", day) == []
+    assert Q.relative_day("last Thursday", day) == "Thu 7 March 2024" and Q.relative_day("two weeks ago", day) == "about 2 weeks before Wed 13 March 2024"
+    assert Q.relative_day("next month", date(2024, 12, 5)) == "January 2025" and Q.relative_day("some day", day) is None
     assert Q.date_ranges("winter 2023", day) == [(date(2023, 12, 1), date(2024, 2, 28))]
     assert Q.date_ranges("last wednesday", day) == [(date(2024, 3, 6),) * 2]
     assert Q.terms("What is the API of src/main.py in the API") == ["api", "src/main.py"]
