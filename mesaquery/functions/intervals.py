@@ -20,6 +20,46 @@ def allen(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     )
 
 
+def _relation(a: tuple[int, int], b: tuple[int, int]) -> str:
+    """The relation of two intervals given as numbers."""
+    (a1, a2), (b1, b2) = a, b
+    if a2 <= b1:
+        return "before" if a2 < b1 else "meets"
+    if b2 <= a1:
+        return "after" if b2 < a1 else "met_by"
+    if a1 == b1:
+        return "equals" if a2 == b2 else "starts" if a2 < b2 else "started_by"
+    if a2 == b2:
+        return "finishes" if a1 > b1 else "finished_by"
+    if a1 > b1:
+        return "during" if a2 < b2 else "overlapped_by"
+    return "contains" if a2 > b2 else "overlaps"
+
+
+def _compositions() -> dict[tuple[str, str], str]:
+    """(r1, r2) -> r3 wherever a r1 b and b r2 c leave one relation of a to c.
+
+    Six ends of three intervals take six places at most, so trying all intervals
+    on six places shows every case that there is.
+    """
+    spans = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    seen: dict[tuple[str, str], set[str]] = {}
+    for a in spans:
+        for b in spans:
+            for c in spans:
+                seen.setdefault((_relation(a, b), _relation(b, c)), set()).add(_relation(a, c))
+    return {k: next(iter(v)) for k, v in seen.items() if len(v) == 1}
+
+
+COMPOSITIONS = _compositions()
+
+
+def compose(first: Column, second: Column) -> Column:
+    """The relation that two compose to, where there is only one; else null."""
+    table = F.create_map(*(F.lit(v) for (x, y), z in sorted(COMPOSITIONS.items()) for v in (f"{x} {y}", z)))
+    return F.try_element_at(table, F.concat_ws(" ", first, second))
+
+
 def inverse(relation: Column) -> Column:
     """The relation read from the other side."""
     pairs = {"before": "after", "meets": "met_by", "overlaps": "overlapped_by", "starts": "started_by", "during": "contains", "finishes": "finished_by"}
@@ -44,12 +84,21 @@ def whole_days(a: Column, b: Column) -> Column:
     return F.floor(F.abs(F.unix_timestamp(b) - F.unix_timestamp(a)) / 86400).cast("long")
 
 
-def human(days: Column) -> Column:
-    """A duration in at most two units."""
-    y, m, d = F.floor(days / 365), F.floor(days % 365 / 30), days % 365 % 30
-    unit = lambda n, w: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {w}"), F.when(n == 1, "").otherwise("s")))
-    parts = F.filter(F.array(unit(y, "year"), unit(m, "month"), unit(d, "day")), lambda x: x.isNotNull())
-    return F.when(F.size(parts) == 0, "0 days").otherwise(F.array_join(F.slice(parts, 1, 2), " "))
+def _plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The Russian form of a counted noun."""
+    return F.when((n % 10 == 1) & (n % 100 != 11), one).when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), few).otherwise(many)
+
+
+def human(days: Column, lang: str = "en") -> Column:
+    """A number of days in words: years of 365, months of 30 and days, the two greatest that aren't zero."""
+    y, rest = F.floor(days / 365), days % 365
+    m, d = F.floor(rest / 30), rest % 30
+    if lang == "ru":
+        names = (_plural(y, "год", "года", "лет"), _plural(m, "месяц", "месяца", "месяцев"), _plural(d, "день", "дня", "дней"))
+    else:
+        names = tuple(F.when(n == 1, w).otherwise(w + "s") for n, w in ((y, "year"), (m, "month"), (d, "day")))
+    parts = F.filter(F.array(*(F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), w)) for n, w in zip((y, m, d), names, strict=True))), lambda x: x.isNotNull())
+    return F.when(F.size(parts) == 0, "0 дней" if lang == "ru" else "0 days").otherwise(F.array_join(F.slice(parts, 1, 2), " "))
 
 
 def range_distance(day: Column, lo: Column, hi: Column) -> Column:

@@ -210,6 +210,12 @@ def intent(query: str) -> str:
     return "factual" if re.match(r"\s*(who|what|when|where|which)\b", q) else "search"
 
 
+def expand(query: str, other: dict[str, tuple[str, ...]]) -> list[str]:
+    """A question and its variants with one word replaced by another of the same meaning."""
+    words = query.split()
+    return [query] + [" ".join([*words[:i], o, *words[i + 1 :]]) for i, w in enumerate(words) for o in other.get(w.lower(), ())]
+
+
 def parts(query: str) -> list[str]:
     """A compound question split at its joints; a query without any is one part."""
     found = [p.strip(" ?.") for p in re.split(r"\?\s+|;\s+|,?\s+and (?=(?:who|what|when|where|which|how|why)\b)|,?\s+as well as\s+", query)]

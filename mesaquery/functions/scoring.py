@@ -86,6 +86,12 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def gate(axes: tuple[Column, ...], mean: float = 0.6, worst: float = 0.3) -> tuple[Column, Column]:
+    """(score, passed) of a record scored on several axes."""
+    score = sum(axes[1:], axes[0]) / len(axes)
+    return score, (score >= mean) & (F.least(*axes) >= worst)
+
+
 def route(answerable: Column, partial: Column, confidence: Column, rounds: Column, answer: float = 0.7, caveat: float = 0.4, most: int = 4) -> Column:
     """answer, caveat, search_more or idk: what a confidence allows, searching on while rounds are left and the case is open."""
     open_ = ((confidence >= caveat / 2) & (confidence < caveat)) | (answerable & (confidence >= caveat / 2) & (confidence < answer))

@@ -175,6 +175,13 @@ def updates_value(new: Column, old: Column) -> Column:
     return (prefix >= 2) & tail & short & ~F.arrays_overlap(a, b) & (2 * (prefix + suffix) >= F.greatest(n, m))
 
 
+def name_variants(words: Column, most: int = 64) -> Column:
+    """Words and pairs of neighbours as written, small and in capitals, without repeats."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    names = F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return F.slice(F.array_distinct(F.concat(names, F.transform(names, F.lower), F.transform(names, F.upper))), 1, most)
+
+
 def glob(text: Column, pattern: str) -> Column:
     """A shell pattern over the whole text: * any run, ? one character, [a-z] and [^a-z] sets; case counts."""
     out, i = "", 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import levenshtein_ratio, number_tokens, tokens
+from ..functions.text import fold_accents, levenshtein_ratio, number_tokens, tokens
 
 
 def exact_duplicates(docs: DataFrame, id_: str, key: Column) -> DataFrame:
@@ -72,15 +72,22 @@ def same_values(a: Column, b: Column) -> Column:
     return (number_tokens(a) == number_tokens(b)) & (negations(a) == negations(b))
 
 
+PRONOUNS = tuple("he she it they him her them this that these those i we you".split())
+
+
 def resolve(mentions: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """mention -> entity by exact name, then alias; (mention, entity, how)."""
-    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
-    m = mentions.select("mention", key(F.col("mention")).alias("_k"))
+    """``mentions`` with entity and how: pronouns stay open, then exact names, then aliases, else the mention itself founds an entity.
+
+    Keys are folded: case, marks and punctuation don't count.
+    """
+    key = lambda c: F.lower(F.trim(F.regexp_replace(fold_accents(c), r"[^\p{L}\p{N}]+", " ")))
+    m = mentions.withColumn("_k", key(F.col("mention")))
     n = names.select(key(F.col("name")).alias("_k"), F.col("entity").alias("_e1")).groupBy("_k").agg(F.min("_e1").alias("_e1"))
     a = aliases.select(key(F.col("alias")).alias("_k"), F.col("entity").alias("_e2")).groupBy("_k").agg(F.min("_e2").alias("_e2"))
     j = m.join(n, "_k", "left").join(a, "_k", "left")
-    how = F.when(F.col("_e1").isNotNull(), "exact").when(F.col("_e2").isNotNull(), "alias").otherwise("new")
-    return j.select("mention", F.coalesce("_e1", "_e2").alias("entity"), how.alias("how"))
+    pronoun = F.col("_k").isin(*PRONOUNS)
+    how = F.when(pronoun, "pronoun").when(F.col("_e1").isNotNull(), "exact").when(F.col("_e2").isNotNull(), "alias").otherwise("new")
+    return j.withColumn("entity", F.when(~pronoun, F.coalesce("_e1", "_e2", F.trim("mention")))).withColumn("how", how).drop("_k", "_e1", "_e2")
 
 
 def nearest_name(values: DataFrame, vocabulary: DataFrame, value: str, word: str, least: float) -> DataFrame:

@@ -34,24 +34,6 @@ def jaccard_pairs(spark, d):
     return D.jaccard_pairs(k, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("value_guard", rf"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), n AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter({TOK.format('text')}, lambda x: regexp_matches(x, '[0-9]')))) = list_sort(list_distinct(list_filter({TOK.format('before')}, lambda x: regexp_matches(x, '[0-9]')))) AS same_numbers FROM c WHERE before IS NOT NULL) SELECT conv_id, turn, same_numbers FROM n""")
-def value_guard(spark, d):
-    """Whether a turn gives the same numbers as the one before."""
-    from ..operators.temporal import neighbours
-
-    c = neighbours(table(spark, d, "conversations"), "conv_id", ["turn"], "text").where("previous IS NOT NULL")
-    return c.select("conv_id", "turn", (T.number_tokens(F.col("text")) == T.number_tokens(F.col("previous"))).alias("same_numbers"))
-
-
-@query("alias_resolve", "WITH a(alias, e) AS (VALUES ('ring', 'small ring'), ('widget', 'red widget')), m AS (SELECT DISTINCT p_name AS mention FROM part UNION SELECT 'Ring ' UNION SELECT 'widget!' UNION SELECT 'gizmo') SELECT mention, CASE WHEN mention IN ('Ring ') THEN 'small ring' WHEN mention = 'widget!' THEN 'red widget' WHEN mention = 'gizmo' THEN NULL ELSE mention END AS entity, CASE WHEN mention IN ('Ring ', 'widget!') THEN 'alias' WHEN mention = 'gizmo' THEN 'new' ELSE 'exact' END AS how FROM m")
-def alias_resolve(spark, d):
-    """Mentions to entities by name, then alias."""
-    names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("entity")).distinct()
-    aliases = spark.sql("SELECT * FROM VALUES ('ring', 'small ring'), ('widget', 'red widget') AS a(alias, entity)")
-    extra = spark.sql("SELECT * FROM VALUES ('Ring '), ('widget!'), ('gizmo') AS m(mention)")
-    return D.resolve(names.select(F.col("name").alias("mention")).unionByName(extra), names, aliases)
-
-
 @query("lev_match", "WITH v AS (SELECT DISTINCT p_type AS value FROM part), w(word) AS (VALUES ('economi'), ('standart'), ('smal'), ('promotion')), j AS (SELECT value, word, 1 - levenshtein(lower(value), lower(word))::DOUBLE / greatest(length(value), length(word)) AS ratio FROM v, w) SELECT value, arg_max(word, (ratio, word)) AS word, round(max(ratio), 6) AS ratio FROM j WHERE ratio >= 0.5 GROUP BY value")
 def lev_match(spark, d):
     """The closest tag of a small vocabulary for each distinct value."""

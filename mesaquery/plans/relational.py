@@ -45,9 +45,10 @@ def prefix_range(spark, d):
     return table(spark, d, "customer").where(F.startswith(F.lower("c_name"), F.lit("customer#00000001"))).select("c_custkey", "c_name")
 
 
-@query("like_escape", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring' AND contains(p_brand, '#1')")
+@query("like_escape", "SELECT doc_id FROM documents WHERE text LIKE '%!%!%%' ESCAPE '!'")
 def like_escape(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").like("%ring") & F.contains("p_brand", F.lit("#1"))).select("p_partkey", "p_name")
+    """Texts with two literal percent signs: wildcards are escaped."""
+    return table(spark, d, "documents").where("text LIKE '%!%!%%' ESCAPE '!'").select("doc_id")
 
 
 @query("tag_filter", "SELECT doc_id FROM documents WHERE NOT list_has_any([source, lang], ['src3', 'de'])")

@@ -135,25 +135,6 @@ def decay_scores(spark, d):
     return k.select("id", F.round(S.decay_floor(S.decay(F.col("created_at"), "2025-01-01", 90), F.col("type"), ("en",)), 6).alias("decay"))
 
 
-@query("hybrid_recall", f"""{_TIERS}, j AS (SELECT fz.id, fused * {_DECAY} * CASE WHEN type = 'en' THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN l.quality = 1 THEN 1.3::DOUBLE ELSE 1 END AS score FROM fz JOIN knowledge k ON k.id = fz.id LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = fz.id)
-SELECT id, round(score, 6) AS score FROM j ORDER BY round(score, 9) DESC, id LIMIT 20""")
-def hybrid_recall(spark, d):
-    """The whole ranking: two tiers, fusion, decay and boosts."""
-    k = knowledge(spark, d).select("id", "type", "created_at")
-    lab = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    j = _fused(spark, d).join(k, "id").join(lab, "id", "left")
-    boost = F.when(F.col("type") == "en", 1.1).otherwise(1.0) * F.when(F.col("quality") == 1, 1.3).otherwise(1.0)
-    j = j.withColumn("score", F.round(F.col("fused") * S.decay(F.col("created_at"), "2025-01-01", 90) * boost, 9))
-    return R.top_k(j, 20).select("id", F.round("score", 6).alias("score"))
-
-
-@query("drift_check", f"{K} SELECT id, sha256(content) <> sha256(lower(content)) AS drifted, CASE WHEN sha256(content) <> sha256(lower(content)) THEN 0.3 ELSE 1.0 END::DOUBLE AS factor FROM knowledge")
-def drift_check(spark, d):
-    """Stored hash against the content's: a changed parent loses weight."""
-    k = knowledge(spark, d).select("id", (content_hash(F.col("content")) != content_hash(F.lower("content"))).alias("drifted"))
-    return k.withColumn("factor", F.when(F.col("drifted"), 0.3).otherwise(1.0))
-
-
 @query("temporal_rerank", f"{K} SELECT id, round(0.5::DOUBLE * least(1, length(content) / 5000.0::DOUBLE) + 0.5::DOUBLE * greatest(0, 1 - greatest(0, date_diff('day', created_at, TIMESTAMP '2024-01-20'), date_diff('day', TIMESTAMP '2024-01-25', created_at)) / 180.0::DOUBLE), 6) AS score FROM knowledge")
 def temporal_rerank(spark, d):
     """Half relevance, half nearness to the query's dates."""

@@ -18,7 +18,7 @@ def stream_sessions(spark, d):
     return S.sessions(tool_calls(spark, d)).select("actor", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("stream_error_pattern", f"{C}, e AS (SELECT actor, unnest([ts::DATE - 6, ts::DATE - 5, ts::DATE - 4, ts::DATE - 3, ts::DATE - 2, ts::DATE - 1, ts::DATE]) AS d FROM calls WHERE NOT ok) SELECT actor, d::TIMESTAMP AS start, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("stream_error_pattern", f"{C}, e AS (SELECT actor, unnest(list_transform(range(0, 30), lambda i: ts::DATE - i::INTEGER)) AS d FROM calls WHERE NOT ok) SELECT actor, d::TIMESTAMP AS start, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) >= 3")
 def stream_error_pattern(spark, d):
     """Sliding windows with repeated errors."""
     return S.error_pattern(tool_calls(spark, d)).select("actor", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -80,6 +80,10 @@ def _seeds(spark, d):
 @query("relation_tier", f"{_TK}, {_bm('0', QUERY)}, {_TOP5}, {_REL} SELECT y AS id, round(max(0.4::DOUBLE * score), 6) AS score FROM top5 JOIN both_ ON x = id WHERE y NOT IN (SELECT id FROM top5) AND y IN (SELECT id FROM knowledge) GROUP BY y")
 def relation_tier(spark, d):
     """Records one explicit link from the five best, at four tenths of the best one's score."""
+    return _linked(spark, d)
+
+
+def _linked(spark, d):
     s = _seeds(spark, d)
     near = _relations(spark, d).join(F.broadcast(s), F.col("x") == F.col("id")).groupBy(F.col("y").alias("id")).agg(F.round(F.max(0.4 * F.col("score")), 6).alias("score"))  # five seeds
     return near.join(s.select("id"), "id", "left_anti").join(knowledge(spark, d).select("id"), "id", "left_semi")
@@ -133,10 +137,7 @@ SELECT conv_id, turn, round(1.0::DOUBLE / place, 6) AS score FROM k JOIN convers
 def episode_tier(spark, d):
     """Whole episodes ranked by words and by vectors, fused, then opened into their turns by the episode's place."""
     c = table(spark, d, "conversations")
-    episodes = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))  # an episode's turns are a bounded thread
-    b = R.bm25(episodes, _queries(spark, EPISODE)).withColumn("score", F.round("score", 9))
-    v = _cosine(spark, d).join(c.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
-    f = R.rrf([(R.top_k(b, 50), 1.0), (R.top_k(v, 50), 1.0)]).withColumn("fused", F.round("fused", 9))
+    f = _episodes(spark, d, EPISODE)
     best = F.broadcast(R.top_k(f, 10, by="fused"))  # ten rows
     return c.join(best, c["conv_id"] == best["id"]).select("conv_id", "turn", F.round(1 / F.col("rank"), 6).alias("score"))
 
@@ -149,13 +150,25 @@ def episode_substring(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max(hits).alias("hits")).where("hits > 0")
 
 
+def _episodes(spark, d, text: str):
+    """Whole episodes (id) ranked by words and by vectors, fused."""
+    c = table(spark, d, "conversations")
+    episodes = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))  # an episode's turns are a bounded thread
+    b = R.bm25(episodes, _queries(spark, text)).withColumn("score", F.round("score", 9))
+    v = _cosine(spark, d).join(c.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
+    return R.rrf([(R.top_k(b, 50), 1.0), (R.top_k(v, 50), 1.0)]).withColumn("fused", F.round("fused", 9))
+
+
+def _directives(spark, d):
+    ids = knowledge(spark, d).where("project = 'src3'").select("id")
+    b = R.max_normalised(_lexical(spark, d, QUERY).join(ids, "id", "left_semi")).select("id", (0.5 * F.col("normalised")).alias("score"))
+    return b.unionByName(_cosine(spark, d).join(ids, "id", "left_semi").select("id", "score")).groupBy("id").agg(F.round(F.max("score"), 9).alias("score"))
+
+
 @query("directive_tier", f"{_TK}, {_bm('0', QUERY)}, s AS (SELECT bm0.id, score FROM bm0 JOIN knowledge k ON k.id = bm0.id WHERE project = 'src3'), a AS (SELECT id, 0.5::DOUBLE * score / max(score) OVER () AS score FROM s UNION ALL SELECT v.vec_id, round({_COS}, 9) FROM embeddings v JOIN embeddings q ON q.vec_id = 0 WHERE v.vec_id IN (SELECT id FROM knowledge WHERE project = 'src3')), m AS (SELECT id, round(max(score), 9) AS score FROM a GROUP BY id) SELECT id, round(score, 6) AS score FROM m ORDER BY score DESC, id LIMIT 10")
 def directive_tier(spark, d):
     """Conventions only: the better of half the normalised lexical score and the cosine."""
-    ids = knowledge(spark, d).where("project = 'src3'").select("id")
-    b = R.max_normalised(_lexical(spark, d, QUERY).join(ids, "id", "left_semi")).select("id", (0.5 * F.col("normalised")).alias("score"))
-    m = b.unionByName(_cosine(spark, d).join(ids, "id", "left_semi").select("id", "score")).groupBy("id").agg(F.round(F.max("score"), 9).alias("score"))
-    return m.orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+    return _directives(spark, d).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
 
 
 PARTS = ("what is the license", "who wrote the theaterand work")
@@ -170,6 +183,46 @@ def multi_query(spark, d):
     return R.top_k(f, 20, by="fused").select("id", F.round("fused", 6).alias("fused"))
 
 
+#: Weights of the tiers in the fused ranking: fixed values.
+WEIGHTS = {"lexical": 1.0, "semantic": 1.2, "hypothetical": 1.0, "views": 1.0, "graph": 0.3, "episode": 0.9, "directive": 1.0}
+_EPI = rf"""{_CONV}, eqt AS (SELECT DISTINCT unnest({TOK.format(repr(QUERY))}) AS term), epo AS (SELECT conv_id AS id, term, count(*) AS tf FROM (SELECT conv_id, unnest(ts) AS term FROM cv) WHERE term IN (SELECT term FROM eqt) GROUP BY 1, 2), edf AS (SELECT term, count(*) AS df FROM epo GROUP BY 1),
+ebm AS (SELECT id, round(sum(greatest(0.000001, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM epo JOIN edf USING (term) JOIN cl USING (id), cs GROUP BY 1),
+et AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM ebm UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM cos0 WHERE id IN (SELECT id FROM cl)), ef AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM et WHERE rk <= 50 GROUP BY id)"""
+_AGE = "greatest(0.01::DOUBLE, exp(-floor((epoch(TIMESTAMP '2025-01-01') - epoch(created_at)) / 86400) * ln(2) / 90))"
+
+
+@query("hybrid_recall", f"""{_TK}, {_bm('0', QUERY)}, cos0 AS (SELECT v.vec_id AS id, v.label, round({_COS}, 9) AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 0), cos1 AS (SELECT v.vec_id AS id, round({_COS}, 9) AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 100), {_TOP5}, {_REL}, {_EPI},
+vw AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rk FROM cos0), gr AS (SELECT y AS id, round(max(0.4::DOUBLE * score), 6) AS score FROM top5 JOIN both_ ON x = id WHERE y NOT IN (SELECT id FROM top5) AND y IN (SELECT id FROM knowledge) GROUP BY y),
+ds AS (SELECT bm0.id, score FROM bm0 JOIN knowledge k ON k.id = bm0.id WHERE project = 'src3'), dr AS (SELECT id, round(max(score), 9) AS score FROM (SELECT id, 0.5::DOUBLE * score / max(score) OVER () AS score FROM ds UNION ALL SELECT id, score FROM cos0 WHERE id IN (SELECT id FROM knowledge WHERE project = 'src3')) GROUP BY id),
+al AS (SELECT 1.0::DOUBLE AS w, id, row_number() OVER (ORDER BY score DESC, id) AS rk FROM bm0 UNION ALL SELECT 1.2, id, row_number() OVER (ORDER BY score DESC, id) FROM cos0 UNION ALL SELECT 1.0, id, row_number() OVER (ORDER BY score DESC, id) FROM cos1 UNION ALL SELECT 1.0, id, row_number() OVER (ORDER BY rk, id) FROM vw
+UNION ALL SELECT 0.3, id, row_number() OVER (ORDER BY score DESC, id) FROM gr UNION ALL SELECT 0.9, id, row_number() OVER (ORDER BY score DESC, id) FROM ef UNION ALL SELECT 1.0, id, row_number() OVER (ORDER BY score DESC, id) FROM dr),
+fz AS (SELECT id, sum(w / (60 + rk)) AS fused FROM al WHERE rk <= 100 GROUP BY id),
+j AS (SELECT fz.id, fused * CASE WHEN type = 'en' THEN greatest({_AGE}, 0.85::DOUBLE) ELSE {_AGE} END * CASE WHEN type = 'en' THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN l.quality = 1 THEN 1.3::DOUBLE ELSE 1 END AS score FROM fz JOIN knowledge k ON k.id = fz.id LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = fz.id)
+SELECT id, round(score, 6) AS score FROM j ORDER BY round(score, 9) DESC, id LIMIT 20""")
+def hybrid_recall(spark, d):
+    """The whole ranking: seven tiers with their weights, fused by rank, then decay with floors and boosts."""
+    near = _cosine(spark, d)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    views = near.join(labels, "id").withColumn("rk", F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "id")))
+    scored = {
+        "lexical": _lexical(spark, d, QUERY),
+        "semantic": near,
+        "hypothetical": _cosine(spark, d, 100),
+        "views": views.withColumn("score", -F.col("rk")),
+        "graph": _linked(spark, d),
+        "episode": _episodes(spark, d, QUERY).withColumn("score", F.col("fused")),
+        "directive": _directives(spark, d),
+    }
+    tiers = [(R.top_k(t.withColumn("query_id", F.lit(0)), 100), WEIGHTS[name]) for name, t in scored.items()]
+    fused = F.broadcast(R.rrf(tiers))  # seven times a hundred rows
+    k = knowledge(spark, d).select("id", "type", "created_at").join(fused, "id")
+    lab = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    age = S.decay_floor(S.decay(F.col("created_at"), "2025-01-01", 90), F.col("type"), ("en",))
+    boost = F.when(F.col("type") == "en", 1.1).otherwise(1.0) * F.when(F.col("quality") == 1, 1.3).otherwise(1.0)
+    j = k.join(lab, "id", "left").withColumn("score", F.round(F.col("fused") * age * boost, 9))
+    return R.top_k(j, 20).select("id", F.round("score", 6).alias("score"))
+
+
 VIEWS = {"raw": 180, "keywords": 90, "compressed": 60, "questions": 45, "summary": 30}
 
 

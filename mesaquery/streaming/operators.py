@@ -19,7 +19,7 @@ def sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
     return calls.withWatermark("ts", late).groupBy("actor", w.alias("w")).agg(F.count("*").alias("n")).select("actor", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def error_pattern(calls: DataFrame, least: int = 3, length: str = "7 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
+def error_pattern(calls: DataFrame, least: int = 3, length: str = "30 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(tool, start, n): sliding windows in which an actor had ``least`` errors."""
     g = calls.where(~F.col("ok")).withWatermark("ts", late).groupBy("actor", F.window("ts", length, slide).alias("w")).agg(F.count("*").alias("n"))
     return g.where(F.col("n") >= least).select("actor", F.col("w.start").alias("start"), "n")
@@ -36,15 +36,20 @@ def activity(calls: DataFrame, length: str = "24 hours", late: str = "1 hour") -
     return g.select("tool", F.col("w.start").alias("start"), "n")
 
 
-def idempotent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key isn't stored yet; a batch that is replayed writes the same folder again."""
+def idempotent_sink(path: str, keys: list[str], look_back: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows whose key isn't stored yet; a batch that is replayed writes the same folder again.
+
+    Only keys are read of what is stored, and with ``look_back`` only those of so
+    many batches: give the number that the stream's watermark spans.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-            seen = spark.read.parquet(path).where(F.col("batch") != batch_id).select(*keys)
+            stored = spark.read.parquet(path).where(F.col("batch") != batch_id)
+            seen = (stored if look_back is None else stored.where(F.col("batch") >= batch_id - look_back)).select(*keys)
             new = new.join(seen, keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
