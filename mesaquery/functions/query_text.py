@@ -210,6 +210,20 @@ def intent(query: str) -> str:
     return "factual" if re.match(r"\s*(who|what|when|where|which)\b", q) else "search"
 
 
+#: Endings that a search by stems leaves off, the longest first (English and Russian): fixed values.
+_ENDINGS = sorted("ing ings ed es s ies er ers ation ations ly ами ями ого его ому ему ыми ими ая яя ое ее ые ие ый ий ой ов ев ам ям ах ях ом ем а я о е ы и у ю ь".split(), key=lambda e: (-len(e), e))
+
+
+def stem(word: str, least: int = 3) -> str:
+    """A word without its ending, if ``least`` letters stay: a prefix to look for, not a dictionary form."""
+    w = word.casefold()
+    return next((w[: -len(e)] for e in _ENDINGS if w.endswith(e) and len(w) - len(e) >= least), w)
+
+
+def stems(query: str) -> list[str]:
+    return list(dict.fromkeys(stem(t) for t in terms(query)))
+
+
 def expand(query: str, other: dict[str, tuple[str, ...]]) -> list[str]:
     """A question and its variants with one word replaced by another of the same meaning."""
     words = query.split()

@@ -182,6 +182,34 @@ def name_variants(words: Column, most: int = 64) -> Column:
     return F.slice(F.array_distinct(F.concat(names, F.transform(names, F.lower), F.transform(names, F.upper))), 1, most)
 
 
+#: Words that show what a question asks for: fixed values.
+CUES = {
+    "ordering": r"\b(first|before|after|earlier|later|order of|sequence)\b",
+    "historical": r"\b(used to|previously|formerly|originally|old value|was before)\b",
+    "debug": r"\b(error|exception|fails?|crash|bug|traceback)\b",
+    "relational": r"\b(related|depends|between|connected|linked)\b",
+    "advice": r"\b(should|recommend|best way|advice|how do i)\b",
+}
+
+
+def has_cue(question: Column, kind: str) -> Column:
+    return F.lower(question).rlike(CUES[kind])
+
+
+def search_route(question: Column) -> Column:
+    """relational, hybrid or semantic: signs of a relation are a question word, a joining word and two names."""
+    low = F.lower(question)
+    signs = (low.rlike(r"^\s*(who|what|which|where|when|how|why)\b"), low.rlike(r"\b(between|and|with|related|linked|connected)\b"), F.regexp_count(question, F.lit(r"\b[A-Z][a-z]+")) >= 2)
+    n = sum((s.cast("int") for s in signs), F.lit(0))
+    return F.when(n >= 2, "relational").when(n == 1, "hybrid").otherwise("semantic")
+
+
+def question_parts(question: Column) -> Column:
+    """A compound question split at its joints; a plain one is one part."""
+    joints = r"\?\s+|;\s+|,?\s+and (?=(?:who|what|when|where|which|how|why)\b)|,?\s+as well as\s+"
+    return F.filter(F.transform(F.split(question, joints), lambda x: F.btrim(x, F.lit(" ?."))), lambda x: x != "")
+
+
 def glob(text: Column, pattern: str) -> Column:
     """A shell pattern over the whole text: * any run, ? one character, [a-z] and [^a-z] sets; case counts."""
     out, i = "", 0

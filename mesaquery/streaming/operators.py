@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def watch_folder(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """New JSON files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def watch_folder(spark: SparkSession, path: str, schema, files_per_trigger: int = 100, bytes_per_trigger: str | None = None, done: str | None = None) -> DataFrame:
+    """New JSON files of a folder as a stream, so many files or bytes a trigger.
+
+    Files whose names begin with a dot or an underscore aren't seen, so a writer
+    that renames when it is done needs no waiting time. ``done`` names a folder
+    that finished files move to; a trigger that fails is run again from its offsets.
+    """
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", bytes_per_trigger)
+    if done:
+        r = r.option("cleanSource", "archive").option("sourceArchiveDir", done)
+    return r.json(path)
 
 
 def sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
