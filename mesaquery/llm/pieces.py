@@ -16,7 +16,9 @@ tables. Characters without a piece fall back to their UTF-8 bytes.
 
 Edge cases: null and empty texts encode to the begin and end ids alone. Texts
 are whole, of any length; a part without spaces costs time linear in its length.
-Equal texts give equal rows. A model with normalisation, unused pieces or user
+Equal texts give equal rows, and rows that repeat each come out; ties of merge
+scores go to the left. An empty table gives an empty result; only the columns named
+are read, so others can't clash. A model with normalisation, unused pieces or user
 pieces, or one that isn't BPE, is refused on loading.
 """
 
@@ -38,9 +40,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SPACE = "▁"
-#: Entries of each table (parts, segments, pairs). A full table of parts becomes the older generation, from which
-#: what is met again comes back; other full tables are emptied. Together some 90 MB a worker.
-TABLE = 120_000
+#: Entries of the table of parts: full, it becomes the older generation, from which what is met again comes back.
+#: With both generations some 120 MB a worker. Then of segments and of pairs, which are emptied when full: 50 MB.
+TABLE = 300_000
+SEGMENTS, PAIRS = 120_000, 240_000
 #: Longer parts are encoded each time they come.
 LONGEST_KEPT = 32
 #: Texts on which a model is compared with the installed library before it is used.
@@ -112,7 +115,7 @@ class PieceCoder:
         key = (left + 1) << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= TABLE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             want = [self.piece[right]] if left < 0 else [self.piece[left], self.piece[right]]
             known = self.pairs[key] = self.merge("".join(want)) == want
@@ -174,7 +177,7 @@ class PieceCoder:
             if packed is None:
                 packed = self.segment(tail)
                 if len(tail) <= LONGEST_KEPT:
-                    if len(self.segments) >= TABLE:
+                    if len(self.segments) >= SEGMENTS:
                         self.segments.clear()
                     self.segments[tail] = packed
             out.append(packed)
