@@ -256,6 +256,11 @@ def test_media_round_trip(docs, rows):
         b += b"\xff" * ((-len(b)) % 576 or (0 if b else 576))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len((t or "").encode()), len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-32:]))
         assert got[i].media_bytes == len(b) + 44
+        wave = b"RIFF" + struct.pack("<I", 36 + len(b)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(b)) + b
+        mean = sum(b) / len(b)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in b) / len(b))
+        assert got[i].media_sha256 == hashlib.sha256(wave).hexdigest()
+        assert got[i].feature == f"audio/wav;false=0;carved=0;mean={mean:.4f};deviation={spread:.4f};levels={len(set(b))}"
 
 
 def png():
