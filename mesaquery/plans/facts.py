@@ -25,6 +25,7 @@ def fact_as_of(spark, d):
 
 @query("fact_current", f"{A} SELECT id, subject, object FROM v WHERE valid_to IS NULL")
 def fact_current(spark, d):
+    """Facts that are still open."""
     return _valid(spark, d).where("valid_to IS NULL").select("id", "subject", "object")
 
 
@@ -45,6 +46,7 @@ def fact_diff(spark, d):
 
 @query("fact_stats", f"{A} SELECT count(*) AS total, count(*) FILTER (WHERE valid_to IS NULL) AS current_n, count(*) FILTER (WHERE valid_to IS NOT NULL) AS closed_n, count(DISTINCT subject) AS subjects FROM v")
 def fact_stats(spark, d):
+    """Facts in all, open, closed, and their subjects, in one pass over the validity."""
     v = _valid(spark, d)
     return v.agg(F.count("*").alias("total"), F.count_if(F.col("valid_to").isNull()).alias("current_n"), F.count_if(F.col("valid_to").isNotNull()).alias("closed_n"), F.countDistinct("subject").alias("subjects"))
 
@@ -96,9 +98,11 @@ def range_distance(spark, d):
 
 @query("calendar_periods", "SELECT date_trunc('week', ts)::DATE AS week, date_trunc('month', ts)::DATE AS month, count(*) AS n FROM events GROUP BY 1, 2")
 def calendar_periods(spark, d):
+    """Events by calendar week and month."""
     return table(spark, d, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), F.to_date(F.date_trunc("month", "ts")).alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("duration_text", "SELECT o_orderkey AS id, CASE WHEN x = 0 THEN '0 days' WHEN x >= 30 THEN m || CASE WHEN m = 1 THEN ' month' ELSE ' months' END || CASE WHEN r = 0 THEN '' ELSE ' ' || r || CASE WHEN r = 1 THEN ' day' ELSE ' days' END END ELSE x || CASE WHEN x = 1 THEN ' day' ELSE ' days' END END AS said FROM (SELECT o_orderkey, o_orderkey % 100 AS x, (o_orderkey % 100) // 30 AS m, (o_orderkey % 100) % 30 AS r FROM orders)")
 def duration_text(spark, d):
+    """Durations in English words, two units at most."""
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), I.human(F.col("o_orderkey") % 100).alias("said"))

@@ -17,6 +17,7 @@ def _seeds(spark, *names: str):
 
 @query("graph_degrees", f"{E} SELECT src AS node, count(*) AS degree, sum(weight)::BIGINT AS strength FROM adj GROUP BY src")
 def graph_degrees(spark, d):
+    """Neighbours and summed weights of every node, edges read both ways."""
     return G.degrees(graph_edges(spark, d))
 
 
@@ -28,6 +29,7 @@ def cooccurrence(spark, d):
 
 @query("k_hop", f"{E}, h1 AS (SELECT DISTINCT dst AS node FROM adj WHERE src = 'p1'), h2 AS (SELECT DISTINCT dst AS node FROM adj WHERE src IN (SELECT node FROM h1) AND dst <> 'p1' AND dst NOT IN (SELECT node FROM h1)) SELECT 'p1' AS seed, 'p1' AS node, 0 AS hops UNION ALL SELECT 'p1', node, 1 FROM h1 UNION ALL SELECT 'p1', node, 2 FROM h2")
 def k_hop(spark, d):
+    """Nodes within two hops of a seed, each with its distance."""
     return G.k_hop(graph_edges(spark, d), _seeds(spark, "p1"), 2)
 
 
@@ -85,12 +87,14 @@ def transitive_infer(spark, d):
 
 @query("induced_subgraph", f"{E}, k AS (SELECT node FROM (SELECT src AS node, count(*) AS g FROM adj GROUP BY 1) WHERE g >= 30) SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
 def induced_subgraph(spark, d):
+    """Edges between nodes of thirty neighbours or more."""
     e = graph_edges(spark, d)
     return G.induced(e, G.degrees(e).where("degree >= 30").select("node")).select("src", "dst", "weight")
 
 
 @query("orphan_nodes", "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def orphan_nodes(spark, d):
+    """Nodes without a strong edge."""
     nodes = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
     li = table(spark, d, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     return G.orphans(nodes, li)
@@ -104,12 +108,14 @@ def node_upsert(spark, d):
 
 @query("edge_reinforce", "SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n, round(least(10, 1 + 0.1::DOUBLE * (count(*) - 1)), 6) AS weight FROM lineitem GROUP BY 1, 2")
 def edge_reinforce(spark, d):
+    """Edge weights from a log: each repeat strengthens, up to a limit."""
     e = G.reinforce(table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
     return e.withColumn("weight", F.round("weight", 6))
 
 
 @query("chain_edges", "SELECT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL")
 def chain_edges(spark, d):
+    """Edges from each record to the next of its key."""
     return G.chain(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey")
 
 

@@ -82,11 +82,13 @@ def html_strip(spark, d):
 
 @query("content_kinds", r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^\s*[\[{]') AND regexp_matches(text, '[\]}]\s*$') THEN 'json' WHEN regexp_matches(text, '(?m)^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}') THEN 'log' WHEN regexp_matches(text, '(?i)\b\d+ (passed|failed)\b') THEN 'test' WHEN regexp_matches(text, '(?m)^#{1,6} ') THEN 'markdown' WHEN regexp_matches(text, '(?m)^\s*(def|class|import|function|#include)\b') THEN 'code' ELSE 'text' END AS kind FROM documents) GROUP BY kind""")
 def content_kinds(spark, d):
+    """Records by what their text looks like."""
     return table(spark, d, "documents").groupBy(T.content_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("latin_share", r"SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN 0 ELSE length(regexp_replace(text, '[^\p{Latin}]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}]', '', 'g')) END, 6) AS share FROM documents")
 def latin_share(spark, d):
+    """Share of Latin letters among a text's letters."""
     return table(spark, d, "documents").select("doc_id", F.round(T.latin_share(F.col("text")), 6).alias("share"))
 
 

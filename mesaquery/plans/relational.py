@@ -85,6 +85,7 @@ def title_index(spark, d):
 
 @query("left_join_counts", "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def left_join_counts(spark, d):
+    """Counts by key, keys without rows included."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
     c = table(spark, d, "customer")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
@@ -100,6 +101,7 @@ def pending_anti(spark, d):
 
 @query("semi_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def semi_exists(spark, d):
+    """Rows with a match, whatever their number of matches."""
     o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
     c = table(spark, d, "customer")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey", "c_name")
@@ -173,6 +175,7 @@ def asof_join(spark, d):
 
 @query("set_ops", "SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers_only', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'any', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)")
 def set_ops(spark, d):
+    """Union, intersection and difference of keys."""
     c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
     kind = lambda n, x: x.select(F.lit(n).alias("kind"), "k")
     return kind("both", c.intersect(s)).unionByName(kind("customers_only", c.subtract(s))).unionByName(kind("any", c.union(s).distinct()))
@@ -188,6 +191,7 @@ def merge_keep_first(spark, d):
 
 @query("top_n_per_group", "SELECT p_brand, p_partkey, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_partkey) AS rn FROM (SELECT p_brand, p_partkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)) WHERE rn <= 3")
 def top_n_per_group(spark, d):
+    """The first rows of each group by a value, ties by id."""
     n = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     w = W.partitionBy("p_brand").orderBy(F.col("n").desc(), "p_partkey")
@@ -196,6 +200,7 @@ def top_n_per_group(spark, d):
 
 @query("order_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def order_topk(spark, d):
+    """The first rows by a value, ties by id, without a full sort."""
     return table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
@@ -223,6 +228,7 @@ def timeline_context(spark, d):
 
 @query("session_ordinals", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ago FROM conversations")
 def session_ordinals(spark, d):
+    """Places of turns from the front and from the back of their session."""
     w = W.partitionBy("conv_id")
     pos = F.row_number().over(w.orderBy("turn")).cast("long")
     return table(spark, d, "conversations").select("conv_id", "turn", pos.alias("position"), (F.count("*").over(w) - pos).alias("ago"))
@@ -230,6 +236,7 @@ def session_ordinals(spark, d):
 
 @query("token_budget", "SELECT conv_id, turn, spent FROM (SELECT conv_id, turn, CAST(sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM conversations) WHERE spent <= 300")
 def token_budget(spark, d):
+    """Records in order until their summed tokens pass the budget."""
     from ..operators.retrieval import fill_budget
 
     c = table(spark, d, "conversations").withColumn("cost", T.token_estimate(F.col("text")))
@@ -290,4 +297,5 @@ def sql_functions(spark, d):
 
 @query("json_render", "SELECT c_custkey, '{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}' AS js FROM customer")
 def json_render(spark, d):
+    """Rows rendered as JSON and read again."""
     return table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))).alias("js"))

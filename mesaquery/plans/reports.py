@@ -26,6 +26,7 @@ def store_stats(spark, d):
 
 @query("counts_by_dimension", f"{K} SELECT 'project' AS dimension, project AS value, count(*) AS n FROM knowledge GROUP BY project UNION ALL SELECT 'type', type, count(*) FROM knowledge GROUP BY type")
 def counts_by_dimension(spark, d):
+    """Records by project and by type, as one table."""
     k = knowledge(spark, d)
     one = lambda c: k.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("dimension"), "value", "n")
     return one("project").unionByName(one("type"))
@@ -73,12 +74,14 @@ def coverage_ratio(spark, d):
 
 @query("graph_stats", f"{E} SELECT substr(src, 1, 1) || substr(dst, 1, 1) AS relation, count(*) AS n, round(avg(weight), 6) AS mean_weight, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY 1")
 def graph_stats(spark, d):
+    """Edges, mean weight and ends by relation."""
     e = graph_edges(spark, d).withColumn("relation", F.concat(F.substring("src", 1, 1), F.substring("dst", 1, 1)))
     return e.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("mean_weight"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
 @query("edge_weight_bands", f"{E} SELECT count(*) FILTER (WHERE weight <= 1) AS weak, count(*) FILTER (WHERE weight = 2) AS medium, count(*) FILTER (WHERE weight = 3) AS strong, count(*) FILTER (WHERE weight > 3) AS very_strong FROM edges")
 def edge_weight_bands(spark, d):
+    """Edges by bands of weight, in one pass."""
     w = F.col("weight")
     return graph_edges(spark, d).agg(F.count_if(w <= 1).alias("weak"), F.count_if(w == 2).alias("medium"), F.count_if(w == 3).alias("strong"), F.count_if(w > 3).alias("very_strong"))
 
@@ -146,6 +149,7 @@ def period_change(spark, d):
 
 @query("daily_activity", f"{C} SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS errors, count(DISTINCT actor) AS actors FROM calls GROUP BY 1")
 def daily_activity(spark, d):
+    """Calls, errors and actors by day."""
     return tool_calls(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.countDistinct("actor").alias("actors"))
 
 
@@ -157,6 +161,7 @@ def daily_series(spark, d):
 
 @query("contributor_pivot", f"{C} SELECT actor, count(*) FILTER (WHERE tool = 'click') AS click, count(*) FILTER (WHERE tool = 'error') AS error, count(*) FILTER (WHERE tool = 'purchase') AS purchase, count(*) FILTER (WHERE tool = 'signup') AS signup, count(*) FILTER (WHERE tool = 'view') AS \"view\" FROM calls GROUP BY actor")
 def contributor_pivot(spark, d):
+    """Calls by actor, a column a kind."""
     kinds = ["click", "error", "purchase", "signup", "view"]
     return tool_calls(spark, d).groupBy("actor").pivot("tool", kinds).count().na.fill(0, kinds)
 
@@ -201,6 +206,7 @@ def laplace_predict(spark, d):
 
 @query("knowledge_gaps", f"{K} SELECT project, type, count(*) AS n FROM knowledge GROUP BY 1, 2 HAVING count(*) < 4")
 def knowledge_gaps(spark, d):
+    """Project and type pairs with few records."""
     return knowledge(spark, d).groupBy("project", "type").agg(F.count("*").alias("n")).where("n < 4")
 
 
@@ -213,6 +219,7 @@ def idle_projects(spark, d):
 
 @query("author_activity", f"{C} SELECT actor, count(*) FILTER (WHERE tool = 'purchase') AS saves, count(*) FILTER (WHERE tool = 'click') AS changes, max(ts) AS last_seen FROM calls GROUP BY actor")
 def author_activity(spark, d):
+    """Saves, changes and last sight of every actor."""
     t = F.col("tool")
     return tool_calls(spark, d).groupBy("actor").agg(F.count_if(t == "purchase").alias("saves"), F.count_if(t == "click").alias("changes"), F.max("ts").cast("timestamp_ntz").alias("last_seen"))
 

@@ -40,6 +40,7 @@ def token_stats(spark, d):
 
 @query("bm25_topk", f"{_BM25} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm ORDER BY round(score, 9) DESC, id LIMIT 20")
 def bm25_topk(spark, d):
+    """The twenty best records for one question, from the stored index."""
     b = R.bm25(knowledge(spark, d), _queries(spark, QUERY)).withColumn("score", F.round("score", 9))
     return R.top_k(b, 20).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

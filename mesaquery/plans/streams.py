@@ -26,6 +26,7 @@ def stream_error_pattern(spark, d):
 
 @query("stream_activity", f"{C} SELECT tool, date_trunc('day', ts) AS start, count(*) AS n FROM calls GROUP BY 1, 2")
 def stream_activity(spark, d):
+    """Touches by tool and day."""
     return S.activity(tool_calls(spark, d)).select("tool", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
