@@ -27,7 +27,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hops): nodes within ``depth`` hops of each seed, by frontier joins that leave out what was seen."""
-    adj = undirected(edges).select("src", "dst")
+    adj = cut(undirected(edges).select("src", "dst"))
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -63,7 +63,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, least_ch
     out = adj.groupBy("src").agg(F.sum("weight").alias("total"))
     stored = cut(adj.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = stored.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)  # what an executor loses is read again from the folder
+    links = stored.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)  # what an executor loses is read again from the folder
     n = links.select("src").distinct().count()
     ranks = links.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
     last = None
@@ -144,7 +144,7 @@ def reinforce(log: DataFrame, start: float = 1.0, step: float = 0.1, most: float
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, hops, path): one shortest path to every node within ``depth``; of equals the one through the smallest predecessor."""
-    adj = undirected(edges).select("src", "dst")
+    adj = cut(undirected(edges).select("src", "dst"))
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"), F.array("seed").alias("path"))
     frontier = seen
     for hop in range(1, depth + 1):

@@ -72,8 +72,8 @@ def _relations(spark, d):
 _TOP5 = "top5 AS (SELECT id, 2 * score / max(score) OVER () AS score FROM bm0 ORDER BY score DESC, id LIMIT 5)"
 
 
-def _seeds(spark, d):
-    top = R.top_k(_lexical(spark, d, QUERY), 5)
+def _seeds(spark, d, lexical=None):
+    top = R.top_k(lexical or _lexical(spark, d, QUERY), 5)
     return R.max_normalised(top).select("id", (2 * F.col("normalised")).alias("score"))
 
 
@@ -83,8 +83,8 @@ def relation_tier(spark, d):
     return _linked(spark, d)
 
 
-def _linked(spark, d):
-    s = _seeds(spark, d)
+def _linked(spark, d, lexical=None):
+    s = _seeds(spark, d, lexical)
     near = _relations(spark, d).join(F.broadcast(s), F.col("x") == F.col("id")).groupBy(F.col("y").alias("id")).agg(F.round(F.max(0.4 * F.col("score")), 6).alias("score"))  # five seeds
     return near.join(s.select("id"), "id", "left_anti").join(knowledge(spark, d).select("id"), "id", "left_semi")
 
@@ -150,19 +150,19 @@ def episode_substring(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max(hits).alias("hits")).where("hits > 0")
 
 
-def _episodes(spark, d, text: str):
+def _episodes(spark, d, text: str, near=None):
     """Whole episodes (id) ranked by words and by vectors, fused."""
     c = table(spark, d, "conversations")
     episodes = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))  # an episode's turns are a bounded thread
     b = R.bm25(episodes, _queries(spark, text)).withColumn("score", F.round("score", 9))
-    v = _cosine(spark, d).join(c.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
+    v = (near or _cosine(spark, d)).join(c.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
     return R.rrf([(R.top_k(b, 50), 1.0), (R.top_k(v, 50), 1.0)]).withColumn("fused", F.round("fused", 9))
 
 
-def _directives(spark, d):
+def _directives(spark, d, lexical=None, near=None):
     ids = knowledge(spark, d).where("project = 'src3'").select("id")
-    b = R.max_normalised(_lexical(spark, d, QUERY).join(ids, "id", "left_semi")).select("id", (0.5 * F.col("normalised")).alias("score"))
-    return b.unionByName(_cosine(spark, d).join(ids, "id", "left_semi").select("id", "score")).groupBy("id").agg(F.round(F.max("score"), 9).alias("score"))
+    b = R.max_normalised((lexical or _lexical(spark, d, QUERY)).join(ids, "id", "left_semi")).select("id", (0.5 * F.col("normalised")).alias("score"))
+    return b.unionByName((near or _cosine(spark, d)).join(ids, "id", "left_semi").select("id", "score")).groupBy("id").agg(F.round(F.max("score"), 9).alias("score"))
 
 
 @query("directive_tier", f"{_TK}, {_bm('0', QUERY)}, s AS (SELECT bm0.id, score FROM bm0 JOIN knowledge k ON k.id = bm0.id WHERE project = 'src3'), a AS (SELECT id, 0.5::DOUBLE * score / max(score) OVER () AS score FROM s UNION ALL SELECT v.vec_id, round({_COS}, 9) FROM embeddings v JOIN embeddings q ON q.vec_id = 0 WHERE v.vec_id IN (SELECT id FROM knowledge WHERE project = 'src3')), m AS (SELECT id, round(max(score), 9) AS score FROM a GROUP BY id) SELECT id, round(score, 6) AS score FROM m ORDER BY score DESC, id LIMIT 10")
@@ -201,17 +201,18 @@ j AS (SELECT fz.id, fused * CASE WHEN type = 'en' THEN greatest({_AGE}, 0.85::DO
 SELECT id, round(score, 6) AS score FROM j ORDER BY round(score, 9) DESC, id LIMIT 20""")
 def hybrid_recall(spark, d):
     """The whole ranking: seven tiers with their weights, fused by rank, then decay with floors and boosts."""
-    near = _cosine(spark, d)
+    # both are read by several tiers
+    lexical, near = G.cut(_lexical(spark, d, QUERY)), G.cut(_cosine(spark, d))
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     views = near.join(labels, "id").withColumn("rk", F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "id")))
     scored = {
-        "lexical": _lexical(spark, d, QUERY),
+        "lexical": lexical,
         "semantic": near,
         "hypothetical": _cosine(spark, d, 100),
         "views": views.withColumn("score", -F.col("rk")),
-        "graph": _linked(spark, d),
-        "episode": _episodes(spark, d, QUERY).withColumn("score", F.col("fused")),
-        "directive": _directives(spark, d),
+        "graph": _linked(spark, d, lexical),
+        "episode": _episodes(spark, d, QUERY, near).withColumn("score", F.col("fused")),
+        "directive": _directives(spark, d, lexical, near),
     }
     tiers = [(R.top_k(t.withColumn("query_id", F.lit(0)), 100), WEIGHTS[name]) for name, t in scored.items()]
     fused = F.broadcast(R.rrf(tiers))  # seven times a hundred rows
