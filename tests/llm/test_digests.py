@@ -151,10 +151,10 @@ def shingle_set(t):
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("group_rows, sketch", [(4_000, 64), (7, 64), (1, 10**6)])
-def test_near_copies_brute_force(spark, monkeypatch, group_rows, sketch):
+@pytest.mark.parametrize("group_items, sketch", [(500_000, 64), (900, 64), (150, 10**6)])
+def test_near_copies_brute_force(spark, monkeypatch, group_items, sketch):
     """Edited copies around similarity 0.8, chains of them, a common passage; few rows to a task force rings and blocks."""
-    monkeypatch.setattr(shingles.groups, "__defaults__", (5, 0.8, group_rows))
+    monkeypatch.setattr(shingles.groups, "__defaults__", (5, 0.8, group_items))
     monkeypatch.setattr(shingles, "SKETCH", sketch)
     r = random.Random(11)
     passage, texts = [word(r) for _ in range(15)], [None, "", " \n", "one", "One", "two words here", "a b c d e", "a b c d e f"]
