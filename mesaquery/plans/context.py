@@ -108,12 +108,12 @@ def fuzzy_tier(spark, d):
 
 @query("near_dup_merge")
 def near_dup_merge(spark, d):
-    """Records of nearly the same letters, numbers and polarity: candidates by rare words, the ratio on those alone."""
+    """Records of nearly the same wording, numbers and polarity: candidates by rare words, the ratio of matching runs of words on those alone."""
     k = knowledge(spark, d).select("id", "content", T.tokens(F.col("content")).alias("items"))
     p = D.jaccard_pairs(k, 0.7).select("a", "b")
     text = lambda c: k.select(F.col("id").alias(c), F.col("content").alias(f"t{c}"))
     j = p.join(text("a"), "a").join(text("b"), "b").where(D.same_values(F.col("ta"), F.col("tb")))
-    return R.sequence_ratio(j, "ta", "tb", least=0.85).where("ratio >= 0.85").select(F.col("b").alias("id"), F.col("a").alias("keeper"), F.round("ratio", 6).alias("ratio"))
+    return R.sequence_ratio(j, "ta", "tb", least=0.85, words=True).where("ratio >= 0.85").select(F.col("b").alias("id"), F.col("a").alias("keeper"), F.round("ratio", 6).alias("ratio"))
 
 
 _CHUNK = r"(?s).{1,1000}\z|.{1,998}\n\n|.{1,998}[.!?]\s|.{1,1000}"

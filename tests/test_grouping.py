@@ -128,3 +128,16 @@ def test_novelty_and_rerank(spark):
     assert {x.id: x.weight for x in evidence.novelty(r).collect()} == {1: 1.0, 2: 0.25, 3: round(1 / 3, 6)}
     s = r.withColumn("m", F.col("id"))
     assert [x.id for x in retrieval.rerank(s, "m").orderBy("place").collect()] == [3, 2, 1]
+
+
+def test_many_queries_meet_every_row(spark):
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = lambda **k: sorted((x.query_id, x.id, round(x.score, 9)) for x in retrieval.cosine_scores(v, q, **k).collect())
+    assert rows() == rows(broadcast_rows=7, block_rows=4) and len(rows()) == 900
+
+
+def test_ratio_by_words(spark):
+    d = spark.createDataFrame([("a b c d", "a b x d"), (None, ""), ("p", "q")], "a string, b string")
+    assert [x.ratio for x in retrieval.sequence_ratio(d, "a", "b", words=True).collect()] == [0.75, 1.0, 0.0]
+    assert [x.ratio for x in retrieval.sequence_ratio(d, "a", "b", least=0.9).collect()] == [0.0, 1.0, 0.0]
