@@ -139,9 +139,10 @@ def mix_documents(docs: DataFrame, seed: str = SEED, broadcast_sources: int = BR
     """
     names = docs.columns
     at, targets = _place(docs, seed)
-    cuts = at.where("budget > 0").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "size", "budget")).alias("_c")).withColumnRenamed("source", "_s")
+    cuts = at.where("budget > 0").groupBy("source").agg(F.max(F.struct("_key", "doc_id", "size", "budget", "copies")).alias("_c")).withColumnRenamed("source", "_s")
     per_source = targets.select(F.col("source").alias("_src"), F.col("epochs").alias("_epochs")).join(cuts, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
     per_source = materialise(per_source, "cuts")
+    shared = not per_source.where("_c.copies > 1").isEmpty()  # rows that repeat at a cut
     if per_source.count() <= broadcast_sources:
         per_source = F.broadcast(per_source)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_d"), F.col("source").alias("_of"), n_words(F.col("text")).alias("_n"), random_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
@@ -151,14 +152,19 @@ def mix_documents(docs: DataFrame, seed: str = SEED, broadcast_sources: int = BR
     at_cut = F.col("_c").isNotNull() & (F.col("_n") > 0) & place.eqNullSafe(cut)
     # sizes of the copies taken: whole ones, and at the cut one of fewer words
     whole = F.when(F.col("_c").isNotNull() & (place < cut), F.col("_epochs") + 1).otherwise(F.col("_epochs"))
-    others = rows.where(~at_cut).select("_d", "_n", F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_repeat(F.col("_n"), whole.cast("int"))).alias("_takes"))
-    same = rows.where(at_cut).groupBy("_d", "_of", "_n", "_epochs", F.col("_c.budget").alias("_budget")).agg(F.count("*").alias("_m"))
-    before = F.coalesce(F.sum("_m").over(W.partitionBy("_of").orderBy(F.xxhash64("_d")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each variant of one document
-    budget = F.greatest(F.lit(0), F.least(F.col("_m") * F.col("_n"), F.col("_budget") - before * F.col("_n")))
-    same = same.withColumn("_left", budget.cast("long"))
-    rest = F.col("_left") % F.col("_n")
-    takes = F.concat(F.array_repeat(F.col("_n"), (F.col("_epochs") * F.col("_m") + F.expr("_left div _n")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    d = others.unionByName(same.select("_d", "_n", takes.alias("_takes"))).select("_d", "_n", F.explode("_takes").alias("_take"))
+    last = F.when(at_cut, F.array("_c.budget")).otherwise(F.array().cast("array<bigint>"))
+    takes = F.when(F.col("_n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array_repeat(F.col("_n"), whole.cast("int")), last))
+    single = rows.where(~(at_cut & (F.col("_c.copies") > 1))) if shared else rows
+    taken = single.select("_d", "_n", takes.alias("_takes"))
+    if shared:
+        same = rows.where(at_cut & (F.col("_c.copies") > 1)).groupBy("_d", "_of", "_n", "_epochs", F.col("_c.budget").alias("_budget")).agg(F.count("*").alias("_m"))
+        before = F.coalesce(F.sum("_m").over(W.partitionBy("_of").orderBy(F.xxhash64("_d")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each variant of one document
+        budget = F.greatest(F.lit(0), F.least(F.col("_m") * F.col("_n"), F.col("_budget") - before * F.col("_n")))
+        same = same.withColumn("_left", budget.cast("long"))
+        rest = F.col("_left") % F.col("_n")
+        copies = F.concat(F.array_repeat(F.col("_n"), (F.col("_epochs") * F.col("_m") + F.expr("_left div _n")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+        taken = taken.unionByName(same.select("_d", "_n", copies.alias("_takes")))
+    d = taken.select("_d", "_n", F.explode("_takes").alias("_take"))
     full = F.col("_take") == F.col("_n")
     text = F.when(full, F.col("_d.text")).otherwise(F.array_join(F.slice(words(F.col("_d.text")), F.lit(1), F.col("_take").cast("int")), " "))
     new = {"text": text}
