@@ -33,6 +33,22 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
 
 
+def _compatible(c: str) -> str:
+    """The character that a wide, circled, raised or otherwise dressed one stands for, or itself."""
+    k = unicodedata.normalize("NFKC", c)
+    return k if len(k) == 1 else c
+
+
+#: Characters that compatibility folding changes to one other, by the Unicode tables; those that become several stay.
+_DRESSED = "".join(chr(i) for i in [*range(0xA0, 0x100), *range(0x2000, 0x2500), *range(0x3000, 0x3400), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0)] if _compatible(chr(i)) != chr(i))
+_UNDRESSED = "".join(map(_compatible, _DRESSED))
+
+
+def statement(text: Column) -> Column:
+    """A text with compatible characters folded and \u0451 as \u0435, for comparing statements word by word."""
+    return F.replace(F.lower(F.translate(text, _DRESSED, _UNDRESSED)), F.lit("\u0451"), F.lit("\u0435"))
+
+
 def normalised(text: Column) -> Column:
     """Trimmed, lower case, runs of white space as one space."""
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")

@@ -22,7 +22,7 @@ def exact_dups(spark, d):
 @query("statement_repeat", rf"{K}, t AS (SELECT id, array_to_string({TOK.format('content')}, ' ') AS s FROM knowledge) SELECT id, keeper FROM (SELECT id, min(id) OVER (PARTITION BY s) AS keeper FROM t) WHERE id <> keeper")
 def statement_repeat(spark, d):
     """Records that say an earlier one's token sequence again."""
-    return D.exact_duplicates(knowledge(spark, d), "id", F.sha2(F.array_join(T.tokens(F.col("content")), " "), 256)).where("id <> keeper")
+    return D.exact_duplicates(knowledge(spark, d), "id", F.sha2(F.array_join(T.tokens(T.statement(F.col("content"))), " "), 256)).where("id <> keeper")
 
 
 @query("jaccard_pairs", rf"""{K}, s AS (SELECT s, min(id) AS id FROM (SELECT id, list_sort(list_distinct({TOK.format('content')})) AS s FROM knowledge) WHERE len(s) > 0 GROUP BY s), x AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),

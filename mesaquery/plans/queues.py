@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
 from ..functions import text as T
 from ..operators import lexicon as X
@@ -16,6 +17,7 @@ from .retrieval import TOK
 
 K, C = with_("knowledge"), with_("calls")
 NOW = "2024-01-20 00:00:00"
+T_ITEM = P.StructType([P.StructField("id", P.StringType()), P.StructField("name", P.StringType())])
 
 
 def _now():
@@ -310,3 +312,45 @@ def episode_summaries(spark, d):
     g = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", "turn").alias("t"))
     more = F.when(F.col("turns") > 1, F.concat(F.lit(" (+"), (F.col("turns") - 1).cast("string"), F.lit(")"))).otherwise("")
     return g.select("conv_id", "turns", F.concat(F.substring("t", 1, 80), more).alias("summary"))
+
+
+@query("import_json_array", "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation")
+def import_json_array(spark, d):
+    """Records of a JSON array under a key of one document."""
+    path = place(spark, "array")
+    n = table(spark, d, "nation").select(F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))).alias("j"))
+    n.agg(F.concat(F.lit('{"items": ['), F.array_join(F.collect_list("j"), ",\n"), F.lit("]}")).alias("value")).write.text(path)  # twenty-five rows
+    return R.read_json_array(spark, path, T_ITEM, "items")
+
+
+@query("watch_inbox", f"{C} SELECT tool, count(*) AS n, min(id) AS first_id FROM calls GROUP BY tool")
+def watch_inbox(spark, d):
+    """Files that arrive in a folder, taken in as a stream, so many a trigger, and appended to a raw log."""
+    inbox, log = place(spark, "inbox"), place(spark, "raw-log")
+    tool_calls(spark, d).select("id", "tool", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")).repartition(6).write.json(inbox)
+    seen = S.watch_folder(spark, inbox, "id long, tool string, ts timestamp", files_per_trigger=2)
+    S.run_to_table(seen, f"{log}-state", log)
+    return spark.read.schema("id long, tool string, ts timestamp").parquet(log).groupBy("tool").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("store_copy", "SELECT 'orders' AS tab, count(*) AS n, bit_xor(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 1, 15))::BIGINT) AS digest FROM orders UNION ALL SELECT 'customer', count(*), bit_xor(('0x' || substr(md5(c_custkey || '|' || c_name || '|' || c_nationkey), 1, 15))::BIGINT) FROM customer")
+def store_copy(spark, d):
+    """Tables copied to another place, and what tells that the copies are whole."""
+    def copied(name: str, *columns: str):
+        path = place(spark, name)
+        t = table(spark, d, name)
+        t.write.parquet(path)
+        digest = F.bit_xor(F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 15), 16, 10).cast("long"))
+        return spark.read.schema(t.schema).parquet(path).agg(F.count("*").alias("n"), digest.alias("digest")).select(F.lit(name).alias("tab"), "n", "digest")
+
+    return copied("orders", "o_orderkey", "o_custkey", "o_orderstatus").unionByName(copied("customer", "c_custkey", "c_name", "c_nationkey"))
+
+
+@query("due_jobs", f"{C}, a AS (SELECT actor, max(ts) AS last_at, max(ts) FILTER (WHERE tool = 'purchase') AS done_at FROM calls WHERE ts < TIMESTAMP '{NOW}' GROUP BY actor) SELECT actor FROM a WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_at) > 1800000000 AND (done_at IS NULL OR epoch_us(TIMESTAMP '{NOW}') - epoch_us(done_at) > 259200000000) ORDER BY last_at, actor LIMIT 20")
+def due_jobs(spark, d):
+    """What the upkeep loop takes up next: idle for half an hour, not served for three days, the longest idle first."""
+    c = tool_calls(spark, d).where(F.col("ts") < _now())
+    a = c.groupBy("actor").agg(F.max("ts").alias("last_at"), F.max(F.when(F.col("tool") == "purchase", F.col("ts"))).alias("done_at"))
+    since = lambda t: F.unix_micros(_now()) - F.unix_micros(t)
+    due = (since("last_at") > 1_800_000_000) & (F.col("done_at").isNull() | (since("done_at") > 259_200_000_000))
+    return a.where(due).orderBy("last_at", "actor").limit(20).select("actor")

@@ -141,3 +141,8 @@ def test_ratio_by_words(spark):
     d = spark.createDataFrame([("a b c d", "a b x d"), (None, ""), ("p", "q")], "a string, b string")
     assert [x.ratio for x in retrieval.sequence_ratio(d, "a", "b", words=True).collect()] == [0.75, 1.0, 0.0]
     assert [x.ratio for x in retrieval.sequence_ratio(d, "a", "b", least=0.9).collect()] == [0.0, 1.0, 0.0]
+
+
+def test_statements_fold_dressed_characters(spark):
+    d = spark.createDataFrame([("\uff21\uff22 x\u00b2 \u0451\u043b\u043a\u0430",), (None,)], "t string")
+    assert [r.s for r in d.select(T.statement(F.col("t")).alias("s")).collect()] == ["ab x2 \u0435\u043b\u043a\u0430", None]
