@@ -41,8 +41,8 @@ from .common import map_arrow
 
 SPACE = "▁"
 #: Entries of the table of parts: full, it becomes the older generation, from which what is met again comes back.
-#: With both generations some 120 MB a worker. Then of segments and of pairs, which are emptied when full: 50 MB.
-TABLE = 300_000
+#: With both generations some 80 MB a worker. Then of segments and of pairs, which are emptied when full: 50 MB.
+TABLE = 200_000
 SEGMENTS, PAIRS = 120_000, 240_000
 #: Longer parts are encoded each time they come.
 LONGEST_KEPT = 32
