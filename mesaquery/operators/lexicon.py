@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .shared import cut
+from .shared import cut, stands
 
 #: Distinct query terms up to which they are pushed into the scan of the postings.
 PUSHED_TERMS = 1_000
@@ -57,12 +57,13 @@ _BUILT: dict[tuple, Lexicon] = {}
 
 
 def lexicon(docs: DataFrame, id_: str = "id", text: str = "content") -> Lexicon:
-    """The index of a corpus, built at its first use; other files, or another plan over them, are another corpus."""
+    """The index of a corpus, built at its first use; other files, or another plan over them, are another corpus. One whose folder was cleared is built again."""
     spark = docs.sparkSession
     key = (spark.sparkContext.applicationId, docs.semanticHash(), tuple(sorted(docs.inputFiles())), id_, text)
-    if key not in _BUILT:
-        _BUILT[key] = build(docs, id_, text)
-    return _BUILT[key]
+    known = _BUILT.get(key)
+    if known is None or not (stands(known.postings) and stands(known.terms)):
+        known = _BUILT[key] = build(docs, id_, text)
+    return known
 
 
 def patched(index: Lexicon, changed: DataFrame, removed: DataFrame, id_: str = "id", text: str = "content") -> Lexicon:

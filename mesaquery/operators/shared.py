@@ -31,6 +31,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def stands(df: DataFrame) -> bool:
+    """Whether what ``cut`` wrote is still there."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``cut`` wrote and nothing will read again."""
     for df in frames:

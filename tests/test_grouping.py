@@ -146,3 +146,15 @@ def test_ratio_by_words(spark):
 def test_statements_fold_dressed_characters(spark):
     d = spark.createDataFrame([("\uff21\uff22 x\u00b2 \u0451\u043b\u043a\u0430",), (None,)], "t string")
     assert [r.s for r in d.select(T.statement(F.col("t")).alias("s")).collect()] == ["ab x2 \u0435\u043b\u043a\u0430", None]
+
+
+def test_a_cleared_index_is_built_again(spark, sf_dir):
+    from mesaquery.operators.shared import discard
+    from mesaquery.session import knowledge
+
+    k = knowledge(spark, sf_dir)
+    first = lexicon.lexicon(k)
+    assert lexicon.lexicon(knowledge(spark, sf_dir)) is first
+    discard(first.postings)
+    again = lexicon.lexicon(k)
+    assert again is not first and again.postings.count() == again.terms.agg(F.sum("df")).first()[0]
