@@ -42,16 +42,10 @@ def group_consolidation(spark, d):
     return D.consolidate(k, 0.75)
 
 
-@query("cosine_dedup", f"""WITH r AS (SELECT vec_id, label, embedding, vec_id % 3 AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings), p AS (SELECT q.vec_id AS older, v.vec_id AS newer FROM r q JOIN r v ON v.label = q.label AND v.vec_id > q.vec_id AND v.s = q.s AND v.rn <= 200 AND q.rn <= 200 WHERE {_COS} >= 0.3), o AS (SELECT older FROM p GROUP BY older)
-SELECT count(DISTINCT older) > 0 AS some FROM o""")
-def cosine_dedup(spark, d):
-    """Whether newest windows hold repeats at this threshold; the merges themselves are checked in the tests."""
-    v = table(spark, d, "embeddings").withColumn("s", F.col("vec_id") % 3)
-    m = vectors.window_dedup(v, "label", "vec_id", "s", 0.3)
-    return m.agg((F.count("*") > 0).alias("some"))
-
-
-@query("cosine_merges")
+@query("cosine_merges", """WITH RECURSIVE r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings),
+f AS (SELECT label, rn, vec_id AS id, NULL::BIGINT AS keeper, [{'id': vec_id, 'e': e}] AS kept FROM r WHERE rn = 1
+UNION ALL SELECT label, rn, id, hit, CASE WHEN hit IS NULL THEN list_append(kept, {'id': id, 'e': e}) ELSE kept END FROM (SELECT f.label, r.rn, r.vec_id AS id, r.e, f.kept, list_filter(f.kept, lambda k: list_cosine_similarity(k.e, r.e) >= 0.3)[1].id AS hit FROM f JOIN r ON r.label = f.label AND r.rn = f.rn + 1 WHERE r.rn <= 200))
+SELECT id, keeper FROM f WHERE keeper IS NOT NULL""")
 def cosine_merges(spark, d):
     """Older vectors of each label's newest two hundred, merged into a newer kept one; unrelated vectors are near at 0.3 already."""
     return vectors.window_dedup(table(spark, d, "embeddings"), "label", "vec_id", least=0.3)
