@@ -41,7 +41,13 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "content") -> DataFra
     return t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def build(docs: DataFrame, id_: str = "id", text: str = "content") -> Lexicon:
+def build(docs: DataFrame, id_: str = "id", text: str = "content", parts: bool = False) -> Lexicon:
+    """The index of documents; with ``parts``, rows that share an id are parts of one document, which is never put together."""
+    if parts:
+        size = docs.groupBy(F.col(id_).alias("id")).agg(F.sum(F.size(tokens(F.col(text)))).cast("int").alias("dl"))
+        size = cut(size, "lengths")
+        p = docs.select(F.col(id_).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        return _stored(p.join(size, "id"), size.agg(F.count("*").alias("n"), F.avg("dl").alias("l")))
     lengths = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("l"))
     return _stored(postings(docs, id_, text), lengths)
 
@@ -56,13 +62,13 @@ def _stored(rows: DataFrame, lengths: DataFrame) -> Lexicon:
 _BUILT: dict[tuple, Lexicon] = {}
 
 
-def lexicon(docs: DataFrame, id_: str = "id", text: str = "content") -> Lexicon:
+def lexicon(docs: DataFrame, id_: str = "id", text: str = "content", parts: bool = False) -> Lexicon:
     """The index of a corpus, built at its first use; other files, or another plan over them, are another corpus. One whose folder was cleared is built again."""
     spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, docs.semanticHash(), tuple(sorted(docs.inputFiles())), id_, text)
+    key = (spark.sparkContext.applicationId, docs.semanticHash(), tuple(sorted(docs.inputFiles())), id_, text, parts)
     known = _BUILT.get(key)
     if known is None or not (stands(known.postings) and stands(known.terms)):
-        known = _BUILT[key] = build(docs, id_, text)
+        known = _BUILT[key] = build(docs, id_, text, parts)
     return known
 
 

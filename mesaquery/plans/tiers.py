@@ -153,8 +153,8 @@ def episode_substring(spark, d):
 def _episodes(spark, d, text: str, near=None):
     """Whole episodes (id) ranked by words and by vectors, fused."""
     c = table(spark, d, "conversations")
-    episodes = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))  # an episode's turns are a bounded thread
-    b = R.bm25(episodes, _queries(spark, text)).withColumn("score", F.round("score", 9))
+    turns = c.select(F.col("conv_id").alias("id"), F.col("text").alias("content"))
+    b = R.bm25(turns, _queries(spark, text), index=lexicon(turns, parts=True)).withColumn("score", F.round("score", 9))
     v = (near or _cosine(spark, d)).join(c.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
     return R.rrf([(R.top_k(b, 50), 1.0), (R.top_k(v, 50), 1.0)]).withColumn("fused", F.round("fused", 9))
 
