@@ -242,7 +242,21 @@ def test_best_by_bm25_against_brute_force(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("name", ["evidence_selection", "passage_ranking", "fact_tier"])
+def test_own_rank_against_brute_force(spark):
+    texts, _ = corpus()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, content string").repartition(3)
+    asked = {i: t[:4] for i, t in enumerate(texts) if i % 3 == 0}
+    scores = plain_bm25(texts, asked)
+    places = {q: 1 + sum(1 for (p, i), s in scores.items() if p == q and (-s, i) < (-scores[q, q], q)) for q in asked if asked[q]}
+    own = docs.where("id % 3 = 0").withColumn("asked", F.slice(F.split("content", " "), 1, 4)).where("content <> ''")
+    for limit in (1000, 20):
+        got = {r.query_id: r["rank"] for r in retrieval.bm25_own_rank(docs, own, 10, limit=limit).collect()}
+        assert got == {q: n for q, n in places.items() if n <= 10}
+    again = docs.unionByName(docs.where("id = 3"))  # a repeated id: one document
+    assert retrieval.bm25_own_rank(again, own, 10).where("query_id = 3").count() <= 1
+
+
+@pytest.mark.parametrize("name", ["evidence_selection", "passage_ranking", "fact_tier", "self_retrieval"])
 def test_batches_of_queries_write_no_postings(spark, sf_dir, name, monkeypatch):
     """Queries against every row keep their best in the scan: neither an index nor (query, row) pairs are stored."""
     from mesaquery.plans import catalogue
