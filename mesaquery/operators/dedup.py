@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_accents, levenshtein_ratio, number_tokens, tokens
+from .shared import batched, cut
 
 
 def exact_duplicates(docs: DataFrame, id_: str, key: Column) -> DataFrame:
@@ -15,33 +22,88 @@ def exact_duplicates(docs: DataFrame, id_: str, key: Column) -> DataFrame:
     return k.join(k.groupBy("_k").agg(F.min("id").alias("keeper")), "_k").select("id", "keeper")
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, id_: str = "id", items: str = "items", block: str | None = None, strict: bool = False) -> DataFrame:
+#: Items, the most frequent ones, whose order by frequency is given to every task (12 bytes each); others are rarer and stand before them by hash.
+RANKED_ITEMS = 500_000
+
+
+def _packed(ranks: np.ndarray, rare: np.ndarray) -> bytes:
+    """A set's ranks and rare hashes, both ascending, as few bytes."""
+    steps = np.diff(ranks, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(rare).to_bytes(4, "little") + rare.astype("<i8").tobytes() + zlib.compress(steps, 1)
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    """Rare hashes and ranks as one array of unlike 64-bit numbers."""
+    cut_at = 4 + 8 * int.from_bytes(body[:4], "little")
+    steps = np.frombuffer(zlib.decompress(body[cut_at:]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.concatenate([np.frombuffer(body[4:cut_at], "<i8"), np.cumsum(steps, dtype=np.int64)])
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, id_: str = "id", items: str = "items", block: str | None = None, strict: bool = False, ranked: int = RANKED_ITEMS) -> DataFrame:
     """(a, b, similarity), a < b: pairs of distinct sets with Jaccard similarity of at least the threshold (above it if ``strict``).
 
     Items travel as 64-bit hashes. Prefix filter: they are ordered from rare to
-    frequent, and two sets that are similar enough share an item among their first
-    n - ceil(t * n) + 1. Candidates must pass two bounds before whole sets are
-    read: sizes near enough, and enough items left after the place where the
-    prefixes meet. Equal sets count once (by their smallest id), so copies cost
+    frequent (``ranked`` of them by count, those before by hash: any one order is right), and
+    two sets that are similar enough share an item among their first
+    n - ceil(t * n) + 1. A pair comes from an item only if its sizes are near enough and
+    enough items are left after the place where the prefixes meet; the first item
+    that they share always is such a one. Sets travel packed, by rank, and are
+    compared exactly. Equal sets count once (by their smallest id), so copies cost
     nothing; ``block`` (a column) keeps pairs within groups.
     """
     group = F.col(block) if block else F.lit(0)
-    d = sets.select(F.col(id_).alias("id"), group.alias("g"), F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
-    d = d.groupBy("g", "s").agg(F.min("id").alias("id"))
-    freq = d.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
-    ordered = d.select("id", "g", F.explode("s").alias("x")).join(freq, "x").groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
-    n = F.size("o")
-    keep = (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")
-    prefix = ordered.select("id", "g", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "e")).select("id", "g", "n", "p", F.col("e.x").alias("x"))
-    prefix = prefix.join(freq.where("f > 1").select("x"), "x", "left_semi")  # an item of one set alone meets nothing
+    s = sets.select(F.col(id_).alias("id"), group.alias("g"), F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    freq = s.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    top = freq.orderBy(F.desc("f"), "x").limit(ranked).toArrow()
+    known = top.column("x").to_numpy()
+    by = np.argsort(known)
+    hashes, rank_of = known[by], by.astype(np.int64)
+    whole = len(known) < ranked  # what has no rank then stands in one set alone, and meets nothing
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"n": [], "k": [], "xs": [], "body": []}
+            values, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(hashes, values), max(0, len(hashes) - 1))
+            has = hashes[at] == values if len(hashes) else np.zeros(len(values), bool)
+            for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                v, h = values[lo:hi], has[lo:hi]
+                ranks, rare = np.sort(rank_of[at[lo:hi][h]]), np.sort(v[~h])
+                n = hi - lo
+                keep = int(n - np.ceil(threshold * n - 1e-9) + 1)
+                first = np.concatenate([rare, ranks[::-1]])[:keep]
+                body = _packed(ranks, rare)
+                out["n"].append(int(n))
+                out["k"].append(sha256(body).digest()[:16])
+                out["xs"].append([(int(x), p) for p, x in enumerate(first.tolist()) if not (whole and p < len(rare))])
+                out["body"].append(body)
+            kinds = {"n": pa.int32(), "k": pa.binary(), "xs": pa.list_(pa.struct([("x", pa.int64()), ("p", pa.int32())])), "body": pa.binary()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[c], kinds[c]) for c in kinds)], names=["id", "g", *kinds])
+
+    kind = dict(s.dtypes)
+    packed = batched(s).mapInArrow(pack, f"id {kind['id']}, g {kind['g']}, n int, k binary, xs array<struct<x:bigint,p:int>>, body binary")
+    d = packed.groupBy("g", "k").agg(F.min(F.struct("id", "n", "xs", "body")).alias("r"))
+    d = cut(d.select("g", "r.*"), "sets")
+    prefix = d.select("id", "g", "n", F.explode("xs").alias("e")).select("id", "g", "n", F.col("e.p").alias("p"), F.col("e.x").alias("x"))
     a, b = (prefix.select(F.col("id").alias(k), "g", F.col("n").alias(f"n{k}"), F.col("p").alias(f"p{k}"), "x") for k in "ab")
     need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    # the bound holds for the first item that two prefixes share; later ones of the pair are no worse than it
-    cand = a.join(b, ["g", "x"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.max(room).alias("room"), F.first(need).alias("need")).where("room >= need").select("a", "b")
-    left, right = d.select(F.col("id").alias("a"), F.col("s").alias("sa")), d.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    out = cand.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    cand = cut(a.join(b, ["g", "x"]).where((F.col("a") < F.col("b")) & (room >= need)).select("a", "b").distinct(), "candidates")
+    left, right = (d.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("body").alias(f"s{k}")) for k in "ab")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
+        for batch in batches:
+            alike = []
+            for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                if sb != last:
+                    last, mine = sb, _unpacked(sb)
+                shared = len(np.intersect1d(_unpacked(sa), mine, assume_unique=True))
+                alike.append(shared / (na + nb - shared))
+            out = pa.table({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(alike, pa.float64())})
+            yield from out.to_batches()
+
+    out = batched(cand.join(left, "a").join(right, "b")).mapInArrow(compare, f"a {kind['id']}, b {kind['id']}, similarity double")
     return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 

@@ -76,6 +76,29 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert got == {(a, b) for a in d for b in d if a < b and len(d[a] & d[b]) / len(d[a] | d[b]) >= 0.6}
 
 
+def test_jaccard_pairs_by_hash_and_by_rank(spark):
+    """Any order of items is right: with no ranks, some, and all; blocks part pairs, and strict leaves out the threshold itself."""
+    sets = [(i, i % 2, [f"t{(i * 5 + j * j) % 19}" for j in range(4 + i % 7)] + [f"own{i}"] * (i % 3 == 0)) for i in range(60)] + [(100, 0, []), (101, 1, ["q"]), (102, 1, ["q"])]
+    df = spark.createDataFrame(sets, "id long, half long, items array<string>").repartition(3)
+    first: dict = {}
+    for i, h, s in sets:
+        first.setdefault((h, frozenset(s)), i)
+    d = {i: (h, s) for (h, s), i in first.items() if s}
+    like = {(a, b): len(d[a][1] & d[b][1]) / len(d[a][1] | d[b][1]) for a in d for b in d if a < b and d[a][0] == d[b][0]}
+    assert any(x == 0.5 for x in like.values())
+    for ranked in (1, 8, 1000):
+        got = {(r.a, r.b): r.similarity for r in dedup.jaccard_pairs(df, 0.5, block="half", ranked=ranked).collect()}
+        assert got == {k: x for k, x in like.items() if x >= 0.5}
+    assert {(r.a, r.b) for r in dedup.jaccard_pairs(df, 0.5, block="half", strict=True).collect()} == {k for k, x in like.items() if x > 0.5}
+
+
+def test_jaccard_pairs_sends_whole_sets_once(spark):
+    """Only packed sets and prefixes are shuffled: no item of a set is sent to be ordered."""
+    df = spark.createDataFrame([(i, [f"t{j}" for j in range(i, i + 40)]) for i in range(30)], "id long, items array<string>")
+    plan = dedup.jaccard_pairs(df, 0.8)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "array_intersect" not in plan
+
+
 def test_value_guard(spark):
     same = lambda a, b: spark.range(1).select(dedup.same_values(F.lit(a), F.lit(b))).first()[0]
     assert not same("100 rpm", "500 rpm")
