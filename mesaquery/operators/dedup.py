@@ -128,10 +128,32 @@ def consolidate(records: DataFrame, threshold: float) -> DataFrame:
     return g.join(keep, "leader").select("id", "keeper", "members", F.when(F.col("id") == F.col("keeper"), "active").otherwise("consolidated").alias("status"))
 
 
+def _values(x: Column) -> tuple[Column, Column]:
+    """The numbers of a statement and the parity of its negations."""
+    return number_tokens(x), F.size(F.filter(tokens(x), lambda w: w.isin("not", "no", "never", "without", "kein", "nicht", "pas", "sin"))) % 2
+
+
 def same_values(a: Column, b: Column) -> Column:
     """True if two statements give the same numbers and the same parity of negations: only then may they merge."""
-    negations = lambda x: F.size(F.filter(tokens(x), lambda w: w.isin("not", "no", "never", "without", "kein", "nicht", "pas", "sin"))) % 2
-    return (number_tokens(a) == number_tokens(b)) & (negations(a) == negations(b))
+    (m, p), (n, q) = _values(a), _values(b)
+    return (m == n) & (p == q)
+
+
+def value_pairs(pairs: DataFrame, texts: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
+    """(a, b, ta, tb) of the pairs (a, b) whose texts give the same values.
+
+    A digest of each text's values settles most pairs before any text is sent, and
+    only texts of pairs that are left are; what remains is compared by the values.
+    """
+    from .retrieval import small
+
+    v = texts.select(F.col(id_).alias("id"), F.xxhash64(*_values(F.col(text))).alias("v"))
+    of = lambda c: v.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    left = cut(pairs.join(of("a"), "a").join(of("b"), "b").where("va = vb").select("a", "b"), "pairs")
+    named = small(left.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    t = texts.select(F.col(id_).alias("_id"), F.col(text).alias("_t")).join(named, "_id", "left_semi")
+    held = lambda c: t.select(F.col("_id").alias(c), F.col("_t").alias(f"t{c}"))
+    return left.join(held("a"), "a").join(held("b"), "b").where(same_values(F.col("ta"), F.col("tb")))
 
 
 PRONOUNS = tuple("he she it they him her them this that these those i we you".split())

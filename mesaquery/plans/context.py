@@ -13,7 +13,7 @@ from ..operators import dedup as D
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators.cache import ResultCache
-from ..operators.shared import place
+from ..operators.shared import cut, place
 from ..session import assertions, knowledge, table, tool_calls, with_
 from ..streaming import operators as stream
 from .facts import _PAIR, _pairs
@@ -110,9 +110,8 @@ def fuzzy_tier(spark, d):
 def near_dup_merge(spark, d):
     """Records of nearly the same wording, numbers and polarity: candidates by rare words, the ratio of matching runs of words on those alone."""
     k = knowledge(spark, d).select("id", "content", T.tokens(F.col("content")).alias("items"))
-    p = D.jaccard_pairs(k, 0.7).select("a", "b")
-    text = lambda c: k.select(F.col("id").alias(c), F.col("content").alias(f"t{c}"))
-    j = p.join(text("a"), "a").join(text("b"), "b").where(D.same_values(F.col("ta"), F.col("tb")))
+    p = cut(D.jaccard_pairs(k, 0.7).select("a", "b"), "similar")
+    j = D.value_pairs(p, k)
     return R.sequence_ratio(j, "ta", "tb", least=0.85, words=True).where("ratio >= 0.85").select(F.col("b").alias("id"), F.col("a").alias("keeper"), F.round("ratio", 6).alias("ratio"))
 
 

@@ -289,3 +289,10 @@ def test_batches_of_queries_write_no_postings(spark, sf_dir, name, monkeypatch):
 
     monkeypatch.setattr(retrieval, "lexicon", never)
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_value_pairs(spark):
+    """Pairs of the same numbers and polarity, with their texts; others go before texts are sent."""
+    texts = spark.createDataFrame([(1, "100 rpm"), (2, "runs at 100 rpm"), (3, "500 rpm"), (4, "not 100 rpm"), (5, "no 100 rpm"), (6, "alone")], "id long, content string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 5), (2, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in dedup.value_pairs(pairs, texts).select("a", "b", "ta", "tb").collect()) == [(1, 2, "100 rpm", "runs at 100 rpm"), (4, 5, "not 100 rpm", "no 100 rpm")]
