@@ -5,20 +5,25 @@ least the threshold; components of links are groups. Every such pair is found
 and none is made up:
 
 * Copies. Texts with equal sets collapse to one row by a digest of the set.
-* Sketches. A set of up to SKETCH items is its own sketch. Of larger ones the
+* Fingerprints. The SimHash of a set is searched as in ``simhash``: vantage points
+  route it to a shard and, as a query, to the neighbour shards, a tree searches
+  each shard, and components of fingerprints within its MAX_BITS are the first
+  candidate groups. These alone find the pairs that lie so near.
+* Sketches find what the radius leaves out: pairs across those groups, whose
+  fingerprints differ by more. A set of up to SKETCH items is its own sketch. Of larger ones the
   items whose hash is in the lowest 2 ** -level part make the sketch, some SKETCH / 2
   to SKETCH of them, however long the text; sets that may be similar meet on a
   level, as each takes part on its own and, near its edge, on the next one. A set
   shares at least the threshold of its items with a similar one, so a sketch
-  that shares fewer items with all others together is out. For sampled sketches
+  that shares fewer items with all other groups together is out. For sampled sketches
   the bound is that of a binomial tail: a pair right at the threshold is missed with a
   probability of TAIL at most, more similar ones with far less.
 * Prefix filter. What two sketches must share, they share already among each one's
   rarest items but for so many; only these link.
-* Candidates. Sets that share such an item are joined to the smallest of them,
-  never pairwise; components of these stars are candidate groups, and no similar
-  pair lies across two of them. Whole sets are made again for these alone.
-* Verification by vantage points. Jaccard distance is a metric. In a task, a set
+* Candidates. Groups whose sets share such an item are joined to the smallest of
+  them, never pairwise; components of these stars are candidate groups, and no
+  similar pair lies across two of them. Whole sets are made again for these alone.
+* Exact check, by vantage points. Jaccard distance is a metric. In a task, a set
   is a vantage point: its exact distances to all others come from an inverted
   index; what lies within the radius is linked, and where nothing lies between
   one and two radii, the linked sets need no distances of their own (triangle
@@ -27,8 +32,8 @@ and none is made up:
   each ring is searched by its own sets and by those of the next one; the
   innermost ring is linked already. Rings are dealt into blocks of GROUP_ITEMS.
 
-Edge cases: a null, empty or blank text has an empty set; all of these are
-copies of each other. A text of fewer words than a shingle is one shingle. Rows
+Edge cases: a null, empty or blank text has an empty set with fingerprint zero; all
+of these are copies of each other. A text of fewer words than a shingle is one shingle. Rows
 that repeat have one set. Ties don't arise: the smallest digest leads. An empty
 table has no groups. Columns other than doc_id, text and h aren't read.
 """
@@ -96,16 +101,18 @@ def sketches(s: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, h, key (a digest of the set), n (its items) and sketches of every row of ``docs`` (doc_id, text, h)."""
+    """doc_id, h, key (a digest of the set), n (its items), fp (its fingerprint) and sketches of every row of ``docs`` (doc_id, text, h)."""
+    from .simhash import set_fingerprint
+
     kind = pa.list_(pa.struct([("least", pa.int32()), ("xs", pa.list_(pa.int64()))]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [items(t.as_py(), shingle) for t in b.column(1)]
             found = [[{"least": n, "xs": x} for n, x in sketches(s, similarity)] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, kind)], names=["doc_id", "h", "key", "n", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array(found, kind)], names=["doc_id", "h", "key", "n", "fp", "sketches"])
 
-    return map_arrow(docs.select("doc_id", "text", "h"), emit, "doc_id long, h long, key long, n long, sketches array<struct<least:int,xs:array<bigint>>>")
+    return map_arrow(docs.select("doc_id", "text", "h"), emit, "doc_id long, h long, key long, n long, fp long, sketches array<struct<least:int,xs:array<bigint>>>")
 
 
 def digest(s: np.ndarray) -> int:
@@ -150,28 +157,41 @@ def _verify(similarity: float):
     return links
 
 
+def near(sets: DataFrame) -> DataFrame:
+    """(key, c) of every key: its fingerprint's component, named by the smallest fingerprint within reach."""
+    from .simhash import fingerprint_components
+
+    fps = materialise(sets.select("key", "fp").distinct(), "simhash")
+    found = fingerprint_components(materialise(fps.select("fp").distinct(), "distinct"))
+    return materialise(fps.join(found, "fp").select("key", F.col("component").alias("c")), "near")
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """(node, component) of the keys that may have similar ones; ``sets`` is what ``signatures`` gives."""
+    """(node, component) of the keys that may have similar ones, a group named by its smallest; ``sets`` is what ``signatures`` gives."""
     from .simhash import components
 
     def shared(rows: DataFrame) -> DataFrame:
-        """The rows (x, key) whose item another set has as well, with the smallest such set and how many rows have it."""
-        hubs = rows.groupBy("x").agg(F.min("key").alias("hub"), F.max("key").alias("_top"), F.count("*").alias("n")).where("hub <> _top").select("x", "hub", "n")
-        return materialise(rows.join(hubs, "x").distinct(), "shared")
+        """The rows (x, key, c) whose item a set of another component has as well, with the smallest such component and how many rows have it."""
+        hubs = rows.groupBy("x").agg(F.min("c").alias("hub"), F.max("c").alias("_top"), F.count("*").alias("n")).where("hub <> _top").select("x", "hub", "n")
+        return materialise(rows.join(hubs, "x"), "shared")
 
+    by_fp = near(sets)
     level = F.col("x").bitwiseAND(63).alias("level")
-    sketch = sets.select("key", F.explode("sketches").alias("s"))
-    need = sketch.where("size(s.xs) > 0").select("key", F.get("s.xs", F.lit(0)).alias("x"), F.col("s.least").alias("least")).select("key", level, "least").distinct()
-    rows = shared(sketch.select("key", F.explode("s.xs").alias("x")))
+    need = sets.select("key", F.explode("sketches").alias("s")).where("size(s.xs) > 0").select("key", F.get("s.xs", F.lit(0)).alias("x"), F.col("s.least").alias("least")).select("key", level, "least").distinct()
+    one = sets.groupBy("key").agg(F.first("sketches").alias("sketches")).join(by_fp, "key")  # copies collapse before they are sent
+    rows = shared(one.select("key", "c", F.explode("sketches.xs").alias("xs")).select("key", "c", F.explode("xs").alias("x")))
     for _ in range(ROUNDS):
         live = rows.groupBy("key", level).agg(F.count("*").alias("s")).join(need, ["key", "level"]).where("s >= least").select("key", "level")
-        before, rows = rows, shared(rows.select("x", "key").withColumn("level", level).join(live, ["key", "level"]).select("x", "key"))
+        before, rows = rows, shared(rows.select("x", "key", "c").withColumn("level", level).join(live, ["key", "level"]).select("x", "key", "c"))
         discard(before)
     # the rarest first: of the s items shared, s - least + 1 must do
     order = W.partitionBy("key", "level").orderBy("n", "x")
     ranked = rows.withColumn("level", level).withColumn("r", F.row_number().over(order)).withColumn("s", F.count("*").over(W.partitionBy("key", "level")))
-    few = ranked.join(need, ["key", "level"]).where("r <= s - least + 1").select("x", "key")
-    return components(shared(few).where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct())
+    few = ranked.join(need, ["key", "level"]).where("r <= s - least + 1").select("x", "key", "c")
+    stars = components(shared(few).where("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct())
+    grouped = materialise(by_fp.join(stars, by_fp["c"] == stars["node"], "left").select("key", F.coalesce("component", "c").alias("g")), "grouped")
+    names = grouped.groupBy("g").agg(F.min("key").alias("component"), F.max("key").alias("_top")).where("component <> _top").select("g", "component")
+    return grouped.join(names, "g").select(F.col("key").alias("node"), "component")
 
 
 def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, group_items: int = GROUP_ITEMS) -> DataFrame:

@@ -175,6 +175,35 @@ def test_near_copies_brute_force(spark, monkeypatch, group_items, sketch):
     assert 10 < len(got) < len(texts) - 20
 
 
+def test_fingerprints_find_what_lies_near(spark, monkeypatch):
+    """The stage searches SimHash fingerprints: these alone find the pairs within two bits, and no sketch finds those again."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        w = [word(r) + word(r) for _ in range(300)]
+        texts.append(" ".join(w))
+        for edits in (1, 1, 8):
+            for p in r.sample(range(300), edits):
+                w[p] = word(r) + "q"
+            texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    hashes = [[xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s] for s in sets]
+    fps = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) for h in hashes]
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2
+    similar = lambda a, b: len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = lambda: sorted(x.doc_id for x in simhash.apply_near_dedup(docs).collect())
+    whole = sorted(set(reach(range(len(texts)), similar).values()))
+    assert kept() == whole
+    monkeypatch.setattr(shingles, "sketches", lambda s, similarity: [])
+    by_fingerprint = sorted(set(reach(range(len(texts)), lambda a, b: near(a, b) and similar(a, b)).values()))
+    assert kept() == by_fingerprint
+    assert len(whole) < len(by_fingerprint) < len(texts)
+    monkeypatch.undo()
+    monkeypatch.setattr(simhash, "links", lambda distinct: distinct.crossJoin(distinct.agg(F.min("fp").alias("v"))).select(F.col("fp").alias("u"), "v").where("u <> v"))
+    assert kept() == whole  # all fingerprints in one component: no sketch links across, and the exact check parts them
+
+
 def test_null_ids_link_others(spark, monkeypatch):
     of = {"a": 0b11, "b": 0b1111, "c": 0b111111}
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.create_map(*(F.lit(x).cast("string") if isinstance(x, str) else F.lit(x).cast("long") for p in of.items() for x in p))[F.col("text")].alias("fp")))
