@@ -8,14 +8,14 @@ agrees the place is marked in a field of failed positions, never to be tried
 again, and the walk steps back. Whether two pieces agree is settled by merging
 their joint text once and remembered.
 
-Pieces never hold the space mark after another character (checked on loading),
-so texts part at spaces; within a part, two characters that stand side by side
-in no piece can't be joined either, which cuts punctuation and unknown
-characters off. The ids of short parts and segments are remembered in bounded
-tables. Characters without a piece fall back to their UTF-8 bytes.
+Two characters that stand side by side in no piece can't be joined, so a text is
+cut between them before it is walked. That cuts off punctuation and unknown
+characters, and parts texts at spaces, as pieces never hold the space mark after
+another character (checked on loading). The ids of short segments are remembered
+in a bounded table. Characters without a piece fall back to their UTF-8 bytes.
 
 Edge cases: null and empty texts encode to the begin and end ids alone. Texts
-are whole, of any length; a part without spaces costs time linear in its length.
+are whole, of any length; a segment without cuts costs time linear in its length.
 Equal texts give equal rows, and rows that repeat each come out; ties of merge
 scores go to the left. An empty table gives an empty result; only the columns named
 are read, so others can't clash. A model with normalisation, unused pieces or user
@@ -25,7 +25,6 @@ pieces, or one that isn't BPE, is refused on loading.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,12 +39,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SPACE = "▁"
-#: Entries of the table of parts: full, it becomes the older generation, from which what is met again comes back.
-#: With both generations some 80 MB a worker. Then of segments and of pairs, which are emptied when full: 50 MB.
-TABLE = 200_000
-SEGMENTS, PAIRS = 120_000, 240_000
-#: Longer parts are encoded each time they come.
+#: Entries of the table of segments: full, it becomes the older generation, from which what is met again comes back.
+#: With both generations some 80 MB a worker. Then of pairs, which are emptied when full: 30 MB.
+TABLE = 280_000
+PAIRS = 240_000
+#: Longer segments are encoded each time they come.
 LONGEST_KEPT = 32
+#: Characters that are looked through for cuts at once.
+STRETCH = 1 << 16
 #: Texts on which a model is compared with the installed library before it is used.
 PROBES = ("", " ", "a", "  two  spaces ", "tab\tand\nline", "éè 漢字 \U0001f600‍", SPACE + "x", "ﬁ Ａ <s></s>", "aaaaaaaaaaaaaaaaa" * 3)
 
@@ -68,25 +69,40 @@ class PieceCoder:
         self.bytes_ = {lib.id_to_piece(i): i for i in range(n) if lib.is_byte(i)}
         self.byte_ids = [self.bytes_[f"<0x{b:02X}>"] for b in range(256)] if len(self.bytes_) == 256 else []
         plain = [i for i in range(n) if not (lib.is_byte(i) or i in special)]
-        self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
+        if any(" " in lib.id_to_piece(i) or SPACE in lib.id_to_piece(i).lstrip(SPACE) for i in plain):
+            raise ValueError(f"{path}: not a model with pieces that begin words")
+        # from here on a space stands for the space mark
+        self.ids = {lib.id_to_piece(i).replace(SPACE, " "): i for i in plain}
+        self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
         self.begin, self.end = lib.bos_id(), lib.eos_id()
-        if not self.byte_ids or any(lib.is_unused(i) for i in range(n)) or any(SPACE in p.lstrip(SPACE) or any(c not in self.ids for c in p) for p in self.ids):
-            raise ValueError(f"{path}: not a BPE model with byte fallback, pieces that begin words and a piece for each of their characters")
+        self.first, self.last = (struct.pack("<I", i) for i in (self.begin, self.end))
+        if not self.byte_ids or any(lib.is_unused(i) for i in range(n)) or any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError(f"{path}: not a BPE model with byte fallback and a piece for each character of its pieces")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i))
+            if len(p) > 1:
+                self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
         self.piece = {i: p for p, i in self.ids.items()}
-        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.size, self.shorter, self.n = [0] * n, [-1] * n, n
+        for p, i in self.ids.items():
+            self.size[i] = len(p)
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
+        # a number for each character that stands in a longer piece (others: 0), and which two stand side by side in one
+        inner = {c: k for k, c in enumerate(sorted({c for p in self.ids if len(p) > 1 for c in p}), 1)}
+        self.row = np.zeros(0x110000, np.intp)
+        self.row[[ord(c) for c in inner]] = list(inner.values())
+        self.apart = np.ones((len(inner) + 1, len(inner) + 1), bool)
+        for p in self.ids:
+            for left, right in zip(p, p[1:], strict=False):
+                self.apart[inner[left], inner[right]] = False
         self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         # what an id decodes to by itself; bytes from 128 up depend on their neighbours and are left to decode()
         self.text = [""] * n
         for p, i in self.ids.items():
-            self.text[i] = p.replace(SPACE, " ")
+            self.text[i] = p
         for b in range(128):
             self.text[self.byte_ids[b]] = chr(b)
         self.high = np.zeros(n, bool)
@@ -99,20 +115,24 @@ class PieceCoder:
 
     def merge(self, text: str) -> list[str]:
         """Encoding by merging: the best-scored joinable neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1], -np.inf)
-                if s > best:
-                    best, at = s, i
-            if at < 0:
-                return parts
+        parts, score, never = list(text), self.score, -np.inf
+        scores = [score.get(two, never) for two in map(add, parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == never:
+                break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score.get(parts[at - 1] + parts[at], never)
+            if at < len(scores):
+                scores[at] = score.get(parts[at] + parts[at + 1], never)
+        return parts
 
     def agrees(self, left: int, right: int) -> bool:
         """Whether a piece can follow another (-1: stand alone) in an encoding."""
-        key = (left + 1) << 32 | right
+        key = left * self.n + right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
@@ -124,84 +144,63 @@ class PieceCoder:
     def walk(self, text: str) -> list[int]:
         """The ids of a text of known characters, by backtracking."""
         n = len(text)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (size, i) in self.automaton.iter(text):
-            found[last - size + 1].append((last + 1, i))  # for one place the ends come in rising order
+        longest = [self.ids[c] for c in text]
+        for last, (back, i) in self.automaton.iter(text):
+            longest[last - back] = i  # for one place the ends come in rising order
         failed = bytearray(n + 1)
         ids: list[int] = []
-        tried: list[tuple[int, int]] = []
-        agrees, pairs = self.agrees, self.pairs
-        at, k, before = 0, len(found[0]) - 1, -1
+        agrees, pairs, size, shorter, base = self.agrees, self.pairs, self.size, self.shorter, self.n
+        at, before, i = 0, -1, longest[0]
         while at < n:
-            here = found[at]
-            while k >= 0:
-                stop, i = here[k]
-                if not failed[stop]:
-                    known = pairs.get((before + 1) << 32 | i)
+            row = before * base
+            while i >= 0:
+                if not failed[at + size[i]]:
+                    known = pairs.get(row + i)
                     if known or known is None and agrees(before, i):
                         break
-                k -= 1
-            if k >= 0:
+                i = shorter[i]
+            if i >= 0:
                 ids.append(i)
-                tried.append((at, k))
-                at, before = stop, i
-                k = len(found[at]) - 1 if at < n else -1
+                at += size[i]
+                before, i = i, longest[at] if at < n else -1
             else:
                 failed[at] = 1
-                ids.pop()
-                before = ids[-1] if ids else -1
-                at, k = tried.pop()
-                k -= 1
+                i = ids.pop()
+                at -= size[i]
+                before, i = ids[-1] if ids else -1, shorter[i]
         return ids
 
     def segment(self, text: str) -> bytes:
-        """Packed ids of a stretch without a cut; an unknown character stands alone and gives its bytes."""
-        if len(text) == 1 and text not in self.ids:
-            return np.array([self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")], "<u4").tobytes()
-        ids = self.walk(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def part(self, key: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a space mark and ``key``."""
-        if key in self.older:
-            return self._part(key, self.older[key])
-        text, joined = SPACE + key, self.neighbours
-        cuts = [i for i, two in enumerate(map(add, text, key), 1) if two not in joined]
-        if not cuts:
-            return self._part(key, self.segment(text))
-        head = text[1 : cuts[0]]  # a part by itself
-        out = [self.parts.get(head) or self.older.get(head) or self._part(head, self.segment(text[: cuts[0]]))]
-        for start, stop in zip(cuts, [*cuts[1:], len(text)], strict=True):
-            tail = text[start:stop]
-            packed = self.segments.get(tail)
-            if packed is None:
-                packed = self.segment(tail)
-                if len(tail) <= LONGEST_KEPT:
-                    if len(self.segments) >= SEGMENTS:
-                        self.segments.clear()
-                    self.segments[tail] = packed
-            out.append(packed)
-        return self._part(key, b"".join(out))
-
-    def _part(self, key: str, packed: bytes) -> bytes:
-        """Remember a part."""
-        if len(key) <= LONGEST_KEPT:
-            if len(self.parts) >= TABLE:
-                self.older, self.parts = self.parts, {}
-            self.parts[key] = packed
+        """Packed ids, little-endian 32-bit integers, of a stretch without a cut; an unknown character stands alone and gives its bytes."""
+        packed = self.older.get(text)
+        if packed is None:
+            if len(text) == 1 and text not in self.ids:
+                ids = [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")]
+            else:
+                ids = self.walk(text)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= LONGEST_KEPT:
+            if len(self.segments) >= TABLE:
+                self.older, self.segments = self.segments, {}
+            self.segments[text] = packed
         return packed
 
+    def cut(self, text: str) -> list[str]:
+        """The segments of a text: it is cut where two characters stand side by side in no piece."""
+        out, start = [], 0
+        for base in range(0, len(text), STRETCH):
+            rows = self.row[np.frombuffer(text[base : base + STRETCH + 1].encode("utf-32-le", "surrogatepass"), "<u4")]
+            cuts = (np.flatnonzero(self.apart.take(rows[:-1] * len(self.apart) + rows[1:])) + base + 1).tolist()
+            if cuts:
+                out += [text[i:j] for i, j in zip([start, *cuts], cuts, strict=False)]
+                start = cuts[-1]
+        out.append(text[start:])
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text, begin and end included."""
-        out = []
-        if text:
-            marked = text.replace(" ", SPACE)
-            keys = [p[1:] for p in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + marked)] if SPACE * 2 in SPACE + marked else marked.split(SPACE)
-            out = [self.parts.get(k) or self.part(k) for k in keys]
-        ids = np.empty(2 + sum(map(len, out)) // 4, "<u4")
-        ids[0], ids[-1] = self.begin, self.end
-        ids[1:-1] = np.frombuffer(b"".join(out), "<u4")
-        return ids
+        out = [self.segments.get(k) or self.segment(k) for k in self.cut(" " + text.replace(SPACE, " "))] if text else []
+        return np.frombuffer(b"".join([self.first, *out, self.last]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, byte runs read as UTF-8, the mark before the first piece dropped."""

@@ -278,6 +278,35 @@ def test_pieces_on_random_strings():
     assert c.decode(__import__("numpy").array([1, 3 + 0xE9, 3 + 0x41, 2], "<u4")) == lib.decode([1, 3 + 0xE9, 3 + 0x41, 2])
 
 
+def test_pieces_keep_words_without_what_follows_them():
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.PieceCoder(pieces.model_path())
+    words = [a + b for a in ("verbe", "cher", "tion", "edwh") for b in ("keit", "aux", "ing", "le")]
+    t = " ".join(f"{v}{mark}\n{w}" for v in words for w in words for mark in ".,;")
+    assert c.encode(t).tolist() == lib.encode(t, add_bos=True, add_eos=True)
+    kept = {k for table in vars(c).values() if isinstance(table, dict) for k, v in table.items() if isinstance(v, bytes)}
+    assert len(kept) < 60  # a word at a space, one after a line break, some marks; not their 768 sequences
+
+
+def test_pieces_across_stretches(monkeypatch):
+    lib, c, r = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.PieceCoder(pieces.model_path()), random.Random(4)
+    texts = ["".join(r.choice(" ab eé漢\U0001f600\n\tthing▁'.-=14\x00‍ßüœ") for _ in range(r.randrange(40))) for _ in range(400)]
+    for stretch in (1, 2, 7):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        for t in [*texts, "a" * 100, " " * 50, "thing" * 20, "." * 33]:
+            ids = c.encode(t)
+            assert ids.tolist() == lib.encode(t, add_bos=True, add_eos=True) and c.decode(ids) == lib.decode(ids.tolist())
+
+
+def test_pieces_with_full_tables(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE", 5)
+    monkeypatch.setattr(pieces, "PAIRS", 7)
+    lib, c, r = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.PieceCoder(pieces.model_path()), random.Random(5)
+    for _ in range(50):
+        t = " ".join(r.choice(("the", "Thing,", "cher", "œuvre", "漢字", "(14)", "un", "able.\nNo")) + r.choice(("", "keit", "!")) for _ in range(30))
+        assert c.encode(t).tolist() == lib.encode(t, add_bos=True, add_eos=True)
+        assert len(c.segments) <= 5 and len(c.older) <= 5 and len(c.pairs) <= 7
+
+
 def test_media_round_trip(docs, rows):
     got = {r.doc_id: r for r in media.media_report(docs).collect()}
     for i, t, *_ in rows[:-1]:
