@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_accents, levenshtein_ratio, number_tokens, tokens
-from .shared import batched, cut
+from .shared import batched, cut, discard
 
 
 def exact_duplicates(docs: DataFrame, id_: str, key: Column) -> DataFrame:
@@ -156,6 +156,208 @@ def value_pairs(pairs: DataFrame, texts: DataFrame, id_: str = "id", text: str =
     return left.join(held("a"), "a").join(held("b"), "b").where(same_values(F.col("ta"), F.col("tb")))
 
 
+#: What ``str.split`` takes for white space, as a set of a Java regular expression.
+BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Share of the words needed that must meet within the rarest ones, beyond the first that meets: more sort out more pairs early, fewer send fewer words.
+SPARE = 0.02
+#: Places where two texts have the same word that are held at once (8 bytes each, several times over).
+CELLS = 4_000_000
+
+
+def split_words(text: Column) -> Column:
+    """Words between white space, as ``str.split`` gives them; null gives null."""
+    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(i, j, words): the longest run that two sequences share, the first in ``a``, then in ``b``; diagonal by diagonal, so nothing large is held."""
+    best = (0, 0, 0)
+    for d in range(len(a) - 1, -len(b), -1):  # i - j
+        lo = max(0, d)
+        hi = min(len(a), len(b) + d)
+        if hi - lo < best[2]:
+            continue
+        edge = np.diff(np.concatenate([[0], (a[lo:hi] == b[lo - d : hi - d]).view(np.int8), [0]]))
+        at = np.flatnonzero(edge == 1)
+        if len(at):
+            long = np.flatnonzero(edge == -1) - at
+            k = int(np.argmax(long))
+            i, n = lo + int(at[k]), int(long[k])
+            if n > best[2] or n == best[2] and (i, i - d) < best[:2]:
+                best = (i, i - d, n)
+    return best
+
+
+def matching_words(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> int:
+    """Words in the blocks that Python's SequenceMatcher (``autojunk=False``) finds in two sequences of numbers; 0 once they are sure to be under ``least`` of all.
+
+    All runs of equal words are found at once, along diagonals; the longest is taken,
+    and those to its left and right, cut to what is left there, go on. Two texts of
+    few different words, whose runs would be too many, are parted at their longest run first.
+    """
+    need = least / 2 * (len(a) + len(b)) - 1e-9
+    may, found, parts = min(len(a), len(b)), 0, [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        order = np.argsort(b, kind="stable")
+        lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+        each = hi - lo
+        cells = int(each.sum())
+        if not cells:
+            may -= min(len(a), len(b))
+            continue
+        if cells > CELLS:
+            i, j, n = _longest(a, b)
+            parts += [(a[:i], b[:j]), (a[i + n :], b[j + n :])]
+            found += n
+            may += n + min(i, j) + min(len(a) - i - n, len(b) - j - n) - min(len(a), len(b))
+            if may < need:
+                return 0
+            continue
+        i = np.repeat(np.arange(len(a)), each)
+        j = order[np.arange(cells) - np.repeat(np.cumsum(each) - each - lo, each)]
+        wide = len(a) + 1  # a run never goes on in the next diagonal
+        key = np.sort((i - j + len(b)) * wide + i)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
+        start = key[first] % wide
+        stack = [(0, len(a), 0, len(b), start, start + np.diff(np.append(first, cells)), key[first] // wide - len(b))]
+        while stack:
+            alo, ahi, blo, bhi, s, e, d = stack.pop()
+            may -= min(ahi - alo, bhi - blo)
+            if len(s):
+                n = e - s
+                k = int(n.argmax())
+                most = int(n[k])
+                ties = np.flatnonzero(n == most)
+                if len(ties) > 1:
+                    k = int(ties[np.lexsort((-d[ties], s[ties]))[0]])
+                i = int(s[k])
+                j = i - int(d[k])
+                found, may = found + most, may + most
+                for la, ha, lb, hb in ((alo, i, blo, j), (i + most, ahi, j + most, bhi)):
+                    if la < ha and lb < hb:
+                        left, right = np.maximum(s, np.maximum(la, lb + d)), np.minimum(e, np.minimum(ha, hb + d))
+                        on = left < right
+                        stack.append((la, ha, lb, hb, left[on], right[on], d[on]))
+                        may += min(ha - la, hb - lb)
+            if may < need:
+                return 0
+    return found
+
+
+def _sequence(codes: np.ndarray, rare: np.ndarray) -> bytes:
+    """A text's words in order, as few bytes: ranks, or after all ranks the places of hashes in a list."""
+    return len(rare).to_bytes(4, "little") + rare.astype("<i8").tobytes() + zlib.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _in_order(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, hashes) of ``_sequence``."""
+    cut_at = 4 + 8 * int.from_bytes(body[:4], "little")
+    return np.frombuffer(zlib.decompress(body[cut_at:]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64), np.frombuffer(body[4:cut_at], "<i8")
+
+
+def alike_texts(texts: DataFrame, least: float, id_: str = "id", text: str = "content", ranked: int = RANKED_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """((a, b, ratio), a < b, of texts of the same values whose ratio of matching runs of words is at least ``least``; (id, rep) of texts with words).
+
+    Texts of the same words in the same order are one (``rep``, the smallest id): they
+    have the same links, and a ratio of 1 among themselves. The others are linked
+    without a loss. M matching words of ``a`` and ``b`` are least / 2 * (na + nb) or
+    more, and lie in blocks in the same order, so:
+
+    * with words from rare to frequent, one that matches stands where M words less
+      those that matched before it are left in either text. Only so many of a text's
+      rarest words are sent, and the pairs that they make must have some in common (``SPARE``);
+    * a word that stands once in either text matches only where the words before and
+      after it differ in number by (1 - least) * (na + nb) at most;
+    * texts of other values never meet, as the values are part of what is joined.
+
+    What is left is compared in order. Words travel as ranks by frequency, rarer ones by hash.
+    """
+    shared = least / (2 - least)  # of a text's words with the shortest text it may be linked to
+    value = F.unhex(F.md5(F.concat_ws(" ", *_values(F.col(text)))))
+    s = texts.select(F.col(id_).alias("id"), value.alias("v"), F.transform(split_words(F.col(text)), lambda w: F.xxhash64(w)).alias("s"))
+    freq = s.select(F.explode(F.array_distinct("s")).alias("x")).groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    top = freq.orderBy(F.desc("f"), "x").limit(ranked).toArrow()
+    known = top.column("x").to_numpy()
+    by = np.argsort(known)
+    hashes, ranks = known[by], len(known)
+    whole = ranks < ranked  # what has no rank then stands in one text alone, and meets nothing
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bodies = [], []
+            values, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(hashes, values), max(0, ranks - 1))
+            has = hashes[at] == values if ranks else np.zeros(len(values), bool)
+            codes = by[at] if ranks else np.zeros(len(values), np.int64)
+            for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                c, r = codes[lo:hi].copy(), ~has[lo:hi]
+                rare, c[r] = np.unique(values[lo:hi][r], return_inverse=True)
+                c[r] += ranks
+                keys.append(sha256(values[lo:hi].tobytes()).digest()[:16])
+                bodies.append(_sequence(c, rare))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).value_lengths(), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["id", "v", "n", "k", "body"])
+
+    kind = dict(s.dtypes)["id"]
+    packed = cut(batched(s.where(F.size("s") > 0)).mapInArrow(pack, f"id {kind}, v binary, n int, k binary, body binary"), "packed")
+    of = cut(packed.select("id", "k").join(packed.groupBy("k").agg(F.min("id").alias("rep")), "k").select("id", "rep"), "copies")
+    d = cut(packed.groupBy("k").agg(F.min(F.struct("id", "v", "n", "body")).alias("r")).select("r.*"), "texts")
+    discard(packed)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for v, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                codes, rare = _in_order(body)
+                u, pos, c = np.unique(codes, return_index=True, return_counts=True)
+                # rare words by hash (their codes are in its order), then ranks from the last to the first
+                u, pos, c = (np.concatenate([y[ranks <= u], y[u < ranks][::-1]]) for y in (u, pos, c))
+                p = np.cumsum(c) - c
+                on = len(codes) - p >= (1 - SPARE) * shared * len(codes) - 1e-6
+                if whole:
+                    on &= u < ranks
+                u, pos, c, p = u[on], pos[on], c[on], p[on]
+                x = u.astype(np.uint64)
+                x[u >= ranks] = rare[u[u >= ranks] - ranks].view(np.uint64)
+                x = (x ^ np.frombuffer(v[:8], "<u8")) * np.uint64(0x9E3779B97F4A7C15)  # of unlike words or values, a pair more to compare at worst
+                out.append(((x ^ x >> np.uint64(32)).view(np.int64), np.full(len(u), len(codes)), p, c, np.where(c == 1, pos, -1)))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
+            cols = [np.concatenate(y) for y in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            table = pa.table([ids, *(pa.array(y, pa.int64() if k == 0 else pa.int32()) for k, y in enumerate(cols))], names=["id", "x", "n", "p", "c", "pos"])
+            yield from table.to_batches(max_chunksize=1 << 17)
+
+    prefix = batched(d.select("id", "v", "body")).mapInArrow(rarest, f"id {kind}, x bigint, n int, p int, c int, pos int")
+    a, b = (prefix.select("x", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "p", "c", "pos"))) for k in "ab")
+    both = F.col("na") + F.col("nb")
+    need = F.lit(least / 2) * both
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need - F.floor(SPARE * need) - 1e-6
+    shift = F.col("posa") - F.col("posb")
+    near = (F.col("posa") < 0) | (F.col("posb") < 0) | (F.abs(shift) + F.abs(F.col("na") - F.col("nb") - shift) <= (1 - least) * both + 1e-6)
+    met = a.join(b, "x").where((F.col("ida") < F.col("idb")) & room & near).groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    cand = met.agg(F.sum(F.least("ca", "cb")).alias("m"), F.first(F.floor(SPARE * need) + 1).alias("least"))
+    cand = cut(cand.where("m >= least").select("a", "b"), "candidates")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def words(body: bytes) -> np.ndarray:
+            codes, rare = _in_order(body)
+            codes[codes >= ranks] = rare[codes[codes >= ranks] - ranks]
+            return codes
+
+        last, mine = None, None
+        for batch in batches:
+            ratio = []
+            for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True):
+                if y != last:
+                    last, mine = y, words(y)
+                other = words(x)
+                ratio.append(2.0 * matching_words(other, mine, least) / (len(other) + len(mine)))
+            yield from pa.table({"a": batch.column("a"), "b": batch.column("b"), "ratio": pa.array(ratio, pa.float64())}).to_batches()
+
+    left, right = (d.select(F.col("id").alias(k), F.col("v").alias(f"v{k}"), F.col("body").alias(f"b{k}")) for k in "ab")
+    out = batched(cand.join(left, "a").join(right, "b").where("va = vb").select("a", "b", "ba", "bb")).mapInArrow(compare, f"a {kind}, b {kind}, ratio double")
+    return out.where(F.col("ratio") >= least), of
+
+
 PRONOUNS = tuple("he she it they him her them this that these those i we you".split())
 
 

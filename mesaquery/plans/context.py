@@ -13,7 +13,7 @@ from ..operators import dedup as D
 from ..operators import evidence as E
 from ..operators import retrieval as R
 from ..operators.cache import ResultCache
-from ..operators.shared import cut, place
+from ..operators.shared import place
 from ..session import assertions, knowledge, table, tool_calls, with_
 from ..streaming import operators as stream
 from .facts import _PAIR, _pairs
@@ -108,11 +108,10 @@ def fuzzy_tier(spark, d):
 
 @query("near_dup_merge")
 def near_dup_merge(spark, d):
-    """Records of nearly the same wording, numbers and polarity: candidates by rare words, the ratio of matching runs of words on those alone."""
-    k = knowledge(spark, d).select("id", "content", T.tokens(F.col("content")).alias("items"))
-    p = cut(D.jaccard_pairs(k, 0.7).select("a", "b"), "similar")
-    j = D.value_pairs(p, k)
-    return R.sequence_ratio(j, "ta", "tb", least=0.85, words=True).where("ratio >= 0.85").select(F.col("b").alias("id"), F.col("a").alias("keeper"), F.round("ratio", 6).alias("ratio"))
+    """Records of nearly the same wording, numbers and polarity: every pair of different wordings by the ratio of matching runs of words, and each copy of a wording with its first record (1)."""
+    links, of = D.alike_texts(knowledge(spark, d).select("id", "content"), 0.85)
+    copies = of.where("id <> rep").select("id", F.col("rep").alias("keeper"), F.lit(1.0).alias("ratio"))
+    return links.select(F.col("b").alias("id"), F.col("a").alias("keeper"), F.round("ratio", 6).alias("ratio")).unionByName(copies)
 
 
 _CHUNK = r"(?s).{1,1000}\z|.{1,998}\n\n|.{1,998}[.!?]\s|.{1,1000}"

@@ -296,3 +296,55 @@ def test_value_pairs(spark):
     texts = spark.createDataFrame([(1, "100 rpm"), (2, "runs at 100 rpm"), (3, "500 rpm"), (4, "not 100 rpm"), (5, "no 100 rpm"), (6, "alone")], "id long, content string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 5), (2, 3)], "a long, b long")
     assert sorted(tuple(r) for r in dedup.value_pairs(pairs, texts).select("a", "b", "ta", "tb").collect()) == [(1, 2, "100 rpm", "runs at 100 rpm"), (4, 5, "not 100 rpm", "no 100 rpm")]
+
+
+def test_alike_texts_loses_no_link(spark):
+    """Every pair of like texts is found: of equal word sets in another order, of few different words, of words that aren't tokens; copies come with their first record."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    base = [[f"w{r.choice('abcdefgh')}{r.choice('xyz')}" for _ in range(r.randint(1, 40))] for _ in range(12)]
+    texts = ["one two three four five six seven eight", "two three four five six seven eight one", "go " * 17 + "alpha beta gamma", "go " * 17 + "delta epsilon zeta", "+ - * / = + - * / =", "+ - * / = + - * / !", "", " \n"]
+    for b in base:
+        for _ in range(6):
+            w = [x if r.random() > 0.07 else "not" if r.random() < 0.1 else f"v{r.randint(0, 9)}" if r.random() < 0.1 else "new" for x in b if r.random() > 0.03]
+            texts += [" ".join(w), " \t" + "\n".join(w)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string").repartition(3)
+    value = {x.id: x.v for x in df.select("id", F.xxhash64(*dedup._values(F.col("content"))).alias("v")).collect()}
+    first: dict = {}
+    rep = {i: first.setdefault(tuple(t.split()), i) for i, t in enumerate(texts) if t.split()}
+    want = {(a, b): SequenceMatcher(None, s, t, autojunk=False).ratio() for s, a in first.items() for t, b in first.items() if a < b and value[a] == value[b]}
+    want = {k: x for k, x in want.items() if x >= 0.85}
+    assert {(0, 1), (2, 3), (4, 5)} <= set(want) and len(want) > 30
+    for ranked in (1, 20, 100_000):
+        links, of = dedup.alike_texts(df, 0.85, ranked=ranked)
+        assert {(x.a, x.b): x.ratio for x in links.collect()} == want
+        assert {x.id: x.rep for x in of.collect()} == rep
+
+
+def test_matching_words_is_sequence_matcher(monkeypatch):
+    """The same blocks as Python's, with runs held or searched one by one; 0 only under the least ratio."""
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    r = random.Random(2)
+    for cells in (dedup.CELLS, 0, 30):
+        monkeypatch.setattr(dedup, "CELLS", cells)
+        for _ in range(400):
+            v = r.choice([1, 2, 3, 6, 30])
+            a = [r.randrange(v) for _ in range(r.randint(0, 60))]
+            b = [x if r.random() > 0.1 else r.randrange(v + 1) for x in a if r.random() > 0.05]
+            b = b[7:] + b[:7] if r.random() < 0.3 else b
+            m = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            x, y = np.array(a, np.int64), np.array(b, np.int64)
+            assert dedup.matching_words(x, y) == m
+            assert dedup.matching_words(x, y, 0.85) in ((m,) if 2 * m >= 0.85 * (len(a) + len(b)) else (0, m))
+
+
+def test_blank_is_what_str_split_takes():
+    import re
+
+    assert re.sub(dedup.BLANK, "", "".join(map(chr, range(0xD800)))) == "".join("".join(map(chr, range(0xD800))).split())
