@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from hashlib import sha256
+from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -156,17 +159,46 @@ def value_pairs(pairs: DataFrame, texts: DataFrame, id_: str = "id", text: str =
     return left.join(held("a"), "a").join(held("b"), "b").where(same_values(F.col("ta"), F.col("tb")))
 
 
-#: What ``str.split`` takes for white space, as a set of a Java regular expression.
-BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Share of the words needed that must meet within the rarest ones, beyond the first that meets: more sort out more pairs early, fewer send fewer words.
 SPARE = 0.02
 #: Places where two texts have the same word that are held at once (8 bytes each, several times over).
 CELLS = 4_000_000
+#: Makes one number of two neighbours; odd and without pattern, so that unlike neighbours give unlike numbers.
+NEIGHBOUR = np.int64(0x5851F42D4C957F2D)
 
 
-def split_words(text: Column) -> Column:
-    """Words between white space, as ``str.split`` gives them; null gives null."""
-    return F.filter(F.split(text, BLANK + "+"), lambda w: w != "")
+#: Different words that a task remembers at once.
+WORDS_HELD = 500_000
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """64 bits of each word, the same in every process."""
+    return np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words), "<i8")
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, f): hashes of words and in how many texts they stand, summed over what a task remembers."""
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_word_hashes(list(held))), pa.array(list(held.values()), pa.int64())], names=["x", "f"])
+
+    held: Counter = Counter()
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            held.update(set((t or "").split()))
+            if len(held) > WORDS_HELD:
+                yield told()
+                held = Counter()
+    yield told()
+
+
+#: A negation of ``_values`` as a whole token; the first letter is looked at before its surroundings.
+NEGATION = r"(?=[nwkps])(?<![\p{L}\p{N}_])(?:not|no|never|without|kein|nicht|pas|sin)(?![\p{L}\p{N}_])"
+
+
+def value_digest(text: Column) -> Column:
+    """128 bits of ``_values``, without tokens where a text has no digit."""
+    numbers = F.when(text.rlike("[0-9]"), F.array_join(number_tokens(text), " ")).otherwise("")
+    return F.unhex(F.md5(F.concat_ws(" ", numbers, F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(NEGATION)) % 2)))
 
 
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -188,61 +220,79 @@ def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _cells(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``b`` of its items in order, first of them for each item of ``a``, how many): all places where two sequences are equal."""
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    lo = np.searchsorted(ordered, a)
+    there = np.flatnonzero(ordered[np.minimum(lo, len(b) - 1)] == a)
+    each = np.zeros(len(a), np.int64)
+    each[there] = np.searchsorted(ordered, a[there], "right") - lo[there]
+    return order, lo, each
+
+
+def _runs(order: np.ndarray, lo: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, items) of the runs that ``_cells`` make along diagonals, by i and j."""
+    i = np.repeat(np.arange(len(each)), each)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(each) - each - lo, each)]
+    wide = len(each) + 1  # a run never goes on in the next diagonal
+    key = np.sort((i - j + len(order)) * wide + i)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
+    d, i = np.divmod(key[first], wide)
+    j, n = i - d + len(order), np.diff(np.append(first, len(key)))
+    by = np.lexsort((j, i))
+    return i[by], j[by], n[by]
+
+
 def matching_words(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> int:
     """Words in the blocks that Python's SequenceMatcher (``autojunk=False``) finds in two sequences of numbers; 0 once they are sure to be under ``least`` of all.
 
-    All runs of equal words are found at once, along diagonals; the longest is taken,
-    and those to its left and right, cut to what is left there, go on. Two texts of
-    few different words, whose runs would be too many, are parted at their longest run first.
+    It takes the longest run of equal words, the first in ``a`` and then in ``b``, and
+    goes on to its left and right. Where all runs longer than some length follow one
+    another in both texts, none of them cuts another, so it comes to take them all: they
+    are taken at once, and what lies between goes on. Runs of two words and more are found by
+    pairs of neighbours, which are rarer than words. Where runs would be too many (texts of few
+    different words) the longest alone is searched.
     """
     need = least / 2 * (len(a) + len(b)) - 1e-9
     may, found, parts = min(len(a), len(b)), 0, [(a, b)]
-    while parts:
+    while parts and may >= need:
         a, b = parts.pop()
-        order = np.argsort(b, kind="stable")
-        lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
-        each = hi - lo
-        cells = int(each.sum())
+        may -= min(len(a), len(b))
+        if len(a) * len(b) <= 256:
+            x, y = a.tolist(), b.tolist()
+            if not set(x).isdisjoint(y):
+                n = sum(k.size for k in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+                found, may = found + n, may + n
+            continue
+        two = [x[:-1] * NEIGHBOUR + x[1:] for x in (a, b)] if min(len(a), len(b)) > 1 else None
+        at, length = (_cells(*two), 1) if two else (None, 0)
+        if at is None or not at[2].any():
+            at, length = _cells(a, b), 0
+        cells = int(at[2].sum())
         if not cells:
-            may -= min(len(a), len(b))
             continue
         if cells > CELLS:
-            i, j, n = _longest(a, b)
-            parts += [(a[:i], b[:j]), (a[i + n :], b[j + n :])]
-            found += n
-            may += n + min(i, j) + min(len(a) - i - n, len(b) - j - n) - min(len(a), len(b))
-            if may < need:
-                return 0
-            continue
-        i = np.repeat(np.arange(len(a)), each)
-        j = order[np.arange(cells) - np.repeat(np.cumsum(each) - each - lo, each)]
-        wide = len(a) + 1  # a run never goes on in the next diagonal
-        key = np.sort((i - j + len(b)) * wide + i)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1]))
-        start = key[first] % wide
-        stack = [(0, len(a), 0, len(b), start, start + np.diff(np.append(first, cells)), key[first] // wide - len(b))]
-        while stack:
-            alo, ahi, blo, bhi, s, e, d = stack.pop()
-            may -= min(ahi - alo, bhi - blo)
-            if len(s):
-                n = e - s
-                k = int(n.argmax())
-                most = int(n[k])
-                ties = np.flatnonzero(n == most)
-                if len(ties) > 1:
-                    k = int(ties[np.lexsort((-d[ties], s[ties]))[0]])
-                i = int(s[k])
-                j = i - int(d[k])
-                found, may = found + most, may + most
-                for la, ha, lb, hb in ((alo, i, blo, j), (i + most, ahi, j + most, bhi)):
-                    if la < ha and lb < hb:
-                        left, right = np.maximum(s, np.maximum(la, lb + d)), np.minimum(e, np.minimum(ha, hb + d))
-                        on = left < right
-                        stack.append((la, ha, lb, hb, left[on], right[on], d[on]))
-                        may += min(ha - la, hb - lb)
-            if may < need:
-                return 0
-    return found
+            blocks = [_longest(a, b)]
+        else:
+            i, j, n = _runs(*at)
+            n = n + length
+            si, sj, sn = i, j, n
+            while len(si) > 1 and (cross := (si[:-1] + sn[:-1] > si[1:]) | (sj[:-1] + sn[:-1] > sj[1:])).any():
+                on = sn > np.minimum(sn[:-1], sn[1:])[cross].max()
+                si, sj, sn = si[on], sj[on], sn[on]
+            if not len(si):
+                k = int(n.argmax())  # the first of the longest
+                si, sj, sn = i[k : k + 1], j[k : k + 1], n[k : k + 1]
+            blocks = zip(si.tolist(), sj.tolist(), sn.tolist(), strict=True)
+        pi = pj = 0
+        for i, j, n in [*blocks, (len(a), len(b), 0)]:
+            if pi < i and pj < j and (i - pi > 1 or j - pj > 1):  # one word against one: were they equal, a run would have gone on
+                parts.append((a[pi:i], b[pj:j]))
+                may += min(i - pi, j - pj)
+            found, may = found + n, may + n
+            pi, pj = i + n, j + n
+    return found if may >= need else 0
 
 
 def _sequence(codes: np.ndarray, rare: np.ndarray) -> bytes:
@@ -273,10 +323,11 @@ def alike_texts(texts: DataFrame, least: float, id_: str = "id", text: str = "co
 
     What is left is compared in order. Words travel as ranks by frequency, rarer ones by hash.
     """
+    from .retrieval import small
+
     shared = least / (2 - least)  # of a text's words with the shortest text it may be linked to
-    value = F.unhex(F.md5(F.concat_ws(" ", *_values(F.col(text)))))
-    s = texts.select(F.col(id_).alias("id"), value.alias("v"), F.transform(split_words(F.col(text)), lambda w: F.xxhash64(w)).alias("s"))
-    freq = s.select(F.explode(F.array_distinct("s")).alias("x")).groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    s = texts.select(F.col(id_).alias("id"), value_digest(F.col(text)).alias("v"), F.col(text).alias("t"))
+    freq = batched(s.select("t")).mapInArrow(_word_counts, "x bigint, f bigint").groupBy("x").agg(F.sum("f").alias("f")).where("f > 1")
     top = freq.orderBy(F.desc("f"), "x").limit(ranked).toArrow()
     known = top.column("x").to_numpy()
     by = np.argsort(known)
@@ -284,24 +335,36 @@ def alike_texts(texts: DataFrame, least: float, id_: str = "id", text: str = "co
     whole = ranks < ranked  # what has no rank then stands in one text alone, and meets nothing
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}  # codes of words: ranks, and for those without one their places in ``rare``
+        rare = np.zeros(0, np.int64)
         for batch in batches:
-            keys, bodies = [], []
-            values, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
-            at = np.minimum(np.searchsorted(hashes, values), max(0, ranks - 1))
-            has = hashes[at] == values if ranks else np.zeros(len(values), bool)
-            codes = by[at] if ranks else np.zeros(len(values), np.int64)
-            for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-                c, r = codes[lo:hi].copy(), ~has[lo:hi]
-                rare, c[r] = np.unique(values[lo:hi][r], return_inverse=True)
-                c[r] += ranks
-                keys.append(sha256(values[lo:hi].tobytes()).digest()[:16])
-                bodies.append(_sequence(c, rare))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).value_lengths(), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["id", "v", "n", "k", "body"])
+            texts = [(t or "").split() for t in batch.column(2).to_pylist()]
+            if len(held) > WORDS_HELD:
+                held, rare = {}, rare[:0]
+            if new := list({w for t in texts for w in t if w not in held}):
+                h = _word_hashes(new)
+                at = np.minimum(np.searchsorted(hashes, h), max(0, ranks - 1))
+                has = hashes[at] == h if ranks else np.zeros(len(h), bool)
+                code = ranks + len(rare) + np.cumsum(~has) - 1
+                code[has] = by[at[has]]
+                rare = np.concatenate([rare, h[~has]])
+                held.update(zip(new, code.tolist(), strict=True))
+            on, keys, bodies = np.array([bool(t) for t in texts], bool), [], []
+            for t in texts:
+                if t:
+                    c = np.array([held[w] for w in t], np.int64)
+                    r = c >= ranks
+                    own, place = np.unique(rare[c[r] - ranks], return_inverse=True)
+                    c[r] = ranks + place
+                    bodies.append(_sequence(c, own))
+                    keys.append(sha256(bodies[-1]).digest()[:16])
+            ids, values = (batch.column(k).filter(pa.array(on)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, values, pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["id", "v", "k", "body"])
 
     kind = dict(s.dtypes)["id"]
-    packed = cut(batched(s.where(F.size("s") > 0)).mapInArrow(pack, f"id {kind}, v binary, n int, k binary, body binary"), "packed")
+    packed = cut(batched(s).mapInArrow(pack, f"id {kind}, v binary, k binary, body binary"), "packed")
     of = cut(packed.select("id", "k").join(packed.groupBy("k").agg(F.min("id").alias("rep")), "k").select("id", "rep"), "copies")
-    d = cut(packed.groupBy("k").agg(F.min(F.struct("id", "v", "n", "body")).alias("r")).select("r.*"), "texts")
+    d = cut(packed.join(small(of.where("id <> rep").select("id")), "id", "left_anti").select("id", "v", "body"), "texts")
     discard(packed)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,13 +383,13 @@ def alike_texts(texts: DataFrame, least: float, id_: str = "id", text: str = "co
                 x = u.astype(np.uint64)
                 x[u >= ranks] = rare[u[u >= ranks] - ranks].view(np.uint64)
                 x = (x ^ np.frombuffer(v[:8], "<u8")) * np.uint64(0x9E3779B97F4A7C15)  # of unlike words or values, a pair more to compare at worst
-                out.append(((x ^ x >> np.uint64(32)).view(np.int64), np.full(len(u), len(codes)), p, c, np.where(c == 1, pos, -1)))
+                out.append(((x >> np.uint64(24)).view(np.int64), np.full(len(u), len(codes)), p, c, np.where(c == 1, pos, -1)))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
             cols = [np.concatenate(y) for y in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
             table = pa.table([ids, *(pa.array(y, pa.int64() if k == 0 else pa.int32()) for k, y in enumerate(cols))], names=["id", "x", "n", "p", "c", "pos"])
             yield from table.to_batches(max_chunksize=1 << 17)
 
-    prefix = batched(d.select("id", "v", "body")).mapInArrow(rarest, f"id {kind}, x bigint, n int, p int, c int, pos int")
+    prefix = batched(d).mapInArrow(rarest, f"id {kind}, x bigint, n int, p int, c int, pos int")
     a, b = (prefix.select("x", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "p", "c", "pos"))) for k in "ab")
     both = F.col("na") + F.col("nb")
     need = F.lit(least / 2) * both
@@ -338,21 +401,21 @@ def alike_texts(texts: DataFrame, least: float, id_: str = "id", text: str = "co
     cand = cut(cand.where("m >= least").select("a", "b"), "candidates")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(256)  # texts of one group come again and again
         def words(body: bytes) -> np.ndarray:
             codes, rare = _in_order(body)
             codes[codes >= ranks] = rare[codes[codes >= ranks] - ranks]
             return codes
 
-        last, mine = None, None
         for batch in batches:
             ratio = []
-            for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True):
-                if y != last:
-                    last, mine = y, words(y)
-                other = words(x)
-                ratio.append(2.0 * matching_words(other, mine, least) / (len(other) + len(mine)))
+            for p, q in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True):
+                x, y = words(p), words(q)
+                ratio.append(2.0 * matching_words(x, y, least) / (len(x) + len(y)))
             yield from pa.table({"a": batch.column("a"), "b": batch.column("b"), "ratio": pa.array(ratio, pa.float64())}).to_batches()
 
+    linked = small(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    d = cut(d.join(linked, "id", "left_semi"), "linked")
     left, right = (d.select(F.col("id").alias(k), F.col("v").alias(f"v{k}"), F.col("body").alias(f"b{k}")) for k in "ab")
     out = batched(cand.join(left, "a").join(right, "b").where("va = vb").select("a", "b", "ba", "bb")).mapInArrow(compare, f"a {kind}, b {kind}, ratio double")
     return out.where(F.col("ratio") >= least), of

@@ -344,7 +344,12 @@ def test_matching_words_is_sequence_matcher(monkeypatch):
             assert dedup.matching_words(x, y, 0.85) in ((m,) if 2 * m >= 0.85 * (len(a) + len(b)) else (0, m))
 
 
-def test_blank_is_what_str_split_takes():
-    import re
-
-    assert re.sub(dedup.BLANK, "", "".join(map(chr, range(0xD800)))) == "".join("".join(map(chr, range(0xD800))).split())
+def test_value_digest_is_that_of_values(spark, sf_dir):
+    """Digests part texts as numbers and negations do, over a table and at the edges of words."""
+    from mesaquery.session import knowledge
+
+    odd = ["not", "nothing", "not_", "a not", "no-no", "not not", "Never 5", "5 NEVER", "", None, "x9 3", "3 X9 3", "\u0436not", "not\u0661", "\u0661", "pas\nsin kein", "\u0130 no"]
+    t = knowledge(spark, sf_dir).select("content").union(spark.createDataFrame([(x,) for x in odd], "content string"))
+    v = F.to_json(F.struct(*dedup._values(F.coalesce("content", F.lit("")))))
+    rows = t.select(v.alias("v"), F.hex(dedup.value_digest(F.col("content"))).alias("d")).collect()
+    assert len({r.v for r in rows}) == len({r.d for r in rows}) == len({(r.v, r.d) for r in rows}) > 5
